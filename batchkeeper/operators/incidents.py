@@ -167,23 +167,20 @@ def diagnose(incidents: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Attach confidence, hypothesis and action of the first rule whose conditions the evidence meets."""
     spark = incidents.sparkSession
     rules = rules if rules is not None else spark.createDataFrame(RULES, RULE_COLUMNS)
-    chosen = F.struct("rule", "confidence", "hypothesis", "action")
-    enough = F.coalesce("bad_share", F.lit(0.0)) >= F.col("min_bad_share")
-    explained = ~F.col("needs_duplicates") | F.col("explained_by_duplicates")
-    facts = incidents.select(
-        "incident_id", "failure_category",
-        F.col("evidence.bad_share").alias("bad_share"),
-        F.col("evidence.explained_by_duplicates").alias("explained_by_duplicates"),
-    )
-    matched = facts.join(F.broadcast(rules), "failure_category", "left")  # the fixed rule table
+    enough = F.coalesce("evidence.bad_share", F.lit(0.0)) >= F.col("min_bad_share")
+    explained = ~F.col("needs_duplicates") | F.col("evidence.explained_by_duplicates")
     fits = F.coalesce(enough & explained, F.lit(False))
-    best = matched.groupBy("incident_id").agg(F.min(F.when(fits, chosen)).alias("best"))
-    return incidents.join(best, "incident_id", "left").select(
-        "*",
+    chosen = F.when(fits, F.struct("rule", "confidence", "hypothesis", "action"))
+    matched = incidents.join(F.broadcast(rules), "failure_category", "left")  # the fixed rule table
+    best = matched.groupBy("incident_id").agg(
+        F.first(F.struct(*incidents.columns)).alias("incident"), F.min(chosen).alias("best")
+    )
+    return best.select(
+        "incident.*",
         F.coalesce("best.confidence", F.lit("Low")).alias("confidence"),
         F.coalesce("best.hypothesis", F.lit("no rule explains this")).alias("hypothesis"),
         F.coalesce("best.action", F.lit("none")).alias("action"),
-    ).drop("best")
+    )
 
 
 def contradict(incidents: DataFrame, independent: DataFrame) -> DataFrame:

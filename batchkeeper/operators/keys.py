@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchkeeper.operators.predicates import split_null_keys
@@ -81,3 +81,23 @@ def replayed_keys(df: DataFrame, key: Sequence[str], batch: str) -> DataFrame:
             (F.col("n") / F.col("n_batch_keys")).alias("share"),
         )
     )
+
+
+def with_previous(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, bucket: Column, alias: str = "previous"
+) -> DataFrame:
+    """LAG(value) per key, without ever sorting a whole key in one task.
+
+    Rows are ordered within (key, time bucket) only. Each bucket's last value is carried
+    to the first row of the key's next bucket over one row per bucket. ``bucket`` must
+    not decrease along ``order``; ``order`` must be total within a key.
+    """
+    within = Window.partitionBy(*key, "_bucket").orderBy(*order)
+    local = df.withColumn("_bucket", bucket).withColumns(
+        {"_near": F.lag(value).over(within), "_at": F.row_number().over(within)}
+    )
+    last = local.groupBy(*key, "_bucket").agg(F.max_by(F.col(value), F.struct(*order)).alias("_last"))
+    across = Window.partitionBy(*key).orderBy("_bucket")
+    carried = last.withColumn("_carried", F.lag("_last").over(across)).drop("_last")
+    previous = F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_near"))
+    return local.join(carried, [*key, "_bucket"], "left").select(*df.columns, previous.alias(alias))

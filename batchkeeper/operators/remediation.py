@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.operators.incidents import FAILED, REMEDIATED
-from batchkeeper.operators.keys import dedupe_latest, duplicate_excess
+from batchkeeper.operators.keys import dedupe_latest, duplicate_excess, with_previous
 from batchkeeper.sources.tables import backup_partition, load_fact_partition, read_fact, restore_partition
 
 # Legal moves of an incident; None is the start.
@@ -121,16 +121,11 @@ def audit_rows(incidents: DataFrame, state: str, at, job_id: str) -> DataFrame:
     )
 
 
-def audit_transitions(audit: DataFrame, order_by: Sequence[str] = ("at",)) -> DataFrame:
-    """Every logged step with its predecessor and whether the move is legal.
-
-    An incident's log is a handful of rows, so the window per incident stays small.
-    """
-    w = Window.partitionBy("incident_id").orderBy(*order_by)
+def audit_transitions(audit: DataFrame, tie_break: Sequence[str] = ("state",)) -> DataFrame:
+    """Every logged step with its predecessor and whether the move is legal."""
     legal = F.lit(False)
     for before, after in TRANSITIONS:
         was = F.col("previous").isNull() if before is None else F.col("previous") == before
         legal = legal | (F.coalesce(was, F.lit(False)) & (F.col("state") == after))
-    return audit.withColumn("previous", F.lag("state").over(w)).withColumn("legal", F.coalesce(legal, F.lit(False)))
-
-
+    steps = with_previous(audit, ["incident_id"], ["at", *tie_break], "state", F.date_trunc("hour", "at"))
+    return steps.withColumn("legal", legal)
