@@ -146,7 +146,8 @@ def expected_batches(counts: DataFrame, dataset: str, date_from: str, date_to: s
     spark = counts.sparkSession
     day = F.sequence(F.lit(date_from).cast("date"), F.lit(date_to).cast("date"))
     calendar = spark.range(1).select(F.lit(dataset).alias("dataset"), F.explode(day).alias("batch_date"))
-    return calendar.join(counts, ["dataset", "batch_date"], "left").fillna(0, ["n_rows"])
+    numbers = [f.name for f in counts.schema.fields if f.dataType.typeName() == "long"]
+    return calendar.join(counts, ["dataset", "batch_date"], "left").fillna(0, numbers)
 
 
 # --- single checks as structs over a profile row -----------------------------
@@ -158,6 +159,18 @@ def row_count_row() -> Column:
     return check_row("row_count", None, n, in_bounds(n, lower, upper), beyond, _text("rows=", n), lower, upper)
 
 
+def history_rows(judged: DataFrame, sigmas: float = 3.0) -> DataFrame:
+    """``three_sigma`` verdicts as check rows; too little history is recorded, not failed."""
+    lower, upper = (F.col("mean") - sigmas * F.col("sd"), F.col("mean") + sigmas * F.col("sd"))
+    n = F.col("n_rows")
+    beyond = F.when(n > upper, n - F.floor(upper)).when(n < lower, F.ceil(lower) - n).otherwise(F.lit(0))
+    row = check_row(
+        "volume_history", None, n, ~F.col("status").isin("spike", "drop"), beyond,
+        _text("rows=", n, " ", F.col("status")), lower, upper,
+    )
+    return rows_of(judged, row)
+
+
 def null_rate_row(column: str, tolerance: float) -> Column:
     """Fails strictly above the tolerance; an empty batch is the row count's business."""
     nulls, share = F.col(f"null_{column}"), rate(F.col(f"null_{column}"), F.col("n_rows"))

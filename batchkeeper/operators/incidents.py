@@ -29,6 +29,7 @@ OPEN, PENDING_APPROVAL, PENDING, REMEDIATED, FAILED, ESCALATED, DECLINED = (
 TASKS = {
     "schema": "validate_schema",
     "row_count": "validate_row_count",
+    "volume_history": "validate_row_count",
     "null_rate": "validate_null_rate",
     "zero_rate": "validate_null_rate",
     "duplicates": "validate_duplicates",
@@ -74,10 +75,11 @@ ACTIONS = [
 def fault_class() -> Column:
     """Fault category of a failed check row; unknown checks are ``unclassified`` and can only escalate."""
     check, metric = F.col("check_name"), F.col("metric")
+    volume = check.isin("row_count", "volume_history")
     return (
         F.when(check == "schema", "schema_drift")
-        .when((check == "row_count") & (metric > F.col("upper")), "volume_anomaly_spike")
-        .when((check == "row_count") & (metric < F.col("lower")), "volume_anomaly_drop")
+        .when(volume & (metric > F.col("upper")), "volume_anomaly_spike")
+        .when(volume & (metric < F.col("lower")), "volume_anomaly_drop")
         .when(check.isin("null_rate", "zero_rate"), "null_spike")
         .when(check == "duplicates", "duplicate_ingestion")
         .when(check == "foreign_key", "referential_break")

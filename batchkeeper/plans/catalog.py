@@ -4,6 +4,7 @@ from batchkeeper.plans import (  # noqa: F401
     check_queries,
     history_queries,
     incident_queries,
+    stream_queries,
     table_queries,
 )
 from batchkeeper.plans.registry import ORACLE, QUERIES

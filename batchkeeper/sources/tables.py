@@ -114,15 +114,16 @@ def append_log(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 
 def write_executions(checks: DataFrame, path: str, run_id: str, run_date: str, started_at, ended_at) -> None:
-    """One row per executed check: run times, outcome, rows seen. A rerun replaces its own run only."""
+    """One row per executed check: run times, outcome, rows seen. Running a run again replaces its rows only."""
     rows = checks.select(
-        F.lit(run_id).alias("run_id"),
         F.lit(started_at).cast("timestamp").alias("started_at"),
         F.lit(ended_at).cast("timestamp").alias("ended_at"),
         "*",
         F.lit(run_date).cast("date").alias("run_date"),
+        F.lit(run_id).alias("run_id"),
     )
-    append_log(rows, path, "run_date")
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("run_date", "run_id").parquet(path)
 
 
 def append_audit(df: DataFrame, path: str) -> None:
