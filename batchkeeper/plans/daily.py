@@ -7,9 +7,10 @@ driver; the data stays in tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,15 +172,16 @@ def _references(spark: SparkSession, contract: Contract, layout: Layout, typed:
 
 
 def validate_day(
-    spark: SparkSession, contract: Contract, layout: Layout, ds: str, as_of: str
+    spark: SparkSession, contract: Contract, layout: Layout, ds: str, as_of: str, names: Sequence[str]
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Stage and check every dataset of a day: (typed batches, check rows). Nothing is loaded."""
-    staged = {name: stage(spark, d, layout, ds) for name, d in contract.datasets.items()}
+    """Stage and check the named datasets of a day: (typed batches, check rows). Nothing is loaded."""
+    staged = {name: stage(spark, contract[name], layout, ds) for name in names}
     typed = {n: cast_to_contract(df, _types(contract[n])) for n, df in staged.items() if df is not None}
     references = _references(spark, contract, layout, typed)
     log = layout.table("executions")
     found = []
-    for name, d in contract.datasets.items():
+    for name in names:
+        d = contract[name]
         if staged[name] is None:
             found.append(missing_batch(spark, d, ds))
             continue
@@ -218,12 +220,11 @@ def run_day(
 ) -> DayResult:
     """Run one day end to end. Running it again leaves the same tables."""
     configure(spark)
-    if only is not None:
-        contract = Contract({n: contract[n] for n in only}, contract.policy)
+    names = [n for n in contract.datasets if only is None or n in set(only)]
     as_of = as_of or f"{date.fromisoformat(ds) + timedelta(days=1)} 02:00:00"
     log, registry, audit = (layout.table(t) for t in ("executions", "incidents", "incident_audit_trail"))
 
-    typed, found = validate_day(spark, contract, layout, ds, as_of)
+    typed, found = validate_day(spark, contract, layout, ds, as_of, names)
     tables.write_executions(found, log, f"validate-{ds}", ds, as_of, as_of)
     found = spark.read.parquet(log).filter(
         (F.col("run_date") == F.lit(ds).cast("date")) & (F.col("run_id") == f"validate-{ds}")
@@ -231,7 +232,8 @@ def run_day(
 
     decided = materialize(incidents.triage(found, contract.policy_frame(spark), dag_id), "decided")
     run = f"{dag_id}-{ds}"
-    tables.append_audit(remediation.audit_rows(decided, incidents.OPEN, as_of, run), audit)
+    # before anything is touched: what was found, and what is about to be done about it
+    log_steps(decided, [(F.lit(True), incidents.OPEN), *_entered(incidents.PENDING, incidents.ESCALATED)], audit, as_of, run)
 
     batches = spark.createDataFrame([(n, date.fromisoformat(ds)) for n in typed], "dataset string, batch_date date")
     may_load = {row["dataset"] for row in incidents.halt_gate(batches, decided).collect()}
@@ -239,9 +241,9 @@ def run_day(
         row["dataset"]
         for row in decided.filter(F.col("status") == incidents.PENDING).select("dataset").distinct().collect()
     }
-    result = DayResult(found, decided, halted=sorted(set(contract.datasets) - may_load))
+    result = DayResult(found, decided, halted=sorted(set(names) - may_load))
     outcome = []
-    for name in [n for n in contract.datasets if n in may_load]:
+    for name in [n for n in names if n in may_load]:
         d = contract[name]
         load_batch(spark, d, typed[name], layout, ds)
         if name in to_repair and d.is_fact:
@@ -257,6 +259,16 @@ def run_day(
     return result
 
 
+def _entered(*states: str) -> list:
+    return [(F.col("status") == state, state) for state in states]
+
+
+def log_steps(rows: DataFrame, steps: list, audit: str, as_of: str, run: str) -> None:
+    """Append one audit row per incident and step; ``steps``: (which incidents, state they enter)."""
+    entered = [remediation.audit_rows(rows.filter(which), state, as_of, run) for which, state in steps]
+    tables.append_audit(reduce(lambda a, b: a.unionByName(b), entered), audit)
+
+
 def close_incidents(
     spark: SparkSession,
     decided: DataFrame,
@@ -266,23 +278,13 @@ def close_incidents(
     as_of: str,
     run: str,
 ) -> DataFrame:
-    """Final states into the registry and the audit trail. A repair nobody performed escalates."""
+    """Final states into the registry and the audit trail. A repair nobody performed has failed and escalates."""
     repaired = spark.createDataFrame(outcome, "dataset string, outcome string")
     joined = decided.join(F.broadcast(repaired), "dataset", "left")  # one row per repaired dataset
     pending = F.col("status") == incidents.PENDING
     state = F.when(pending, F.coalesce("outcome", F.lit(incidents.FAILED))).otherwise(F.col("status"))
     final = materialize(joined.withColumn("status", state).drop("outcome").select(*decided.columns), "final")
     tables.write_incidents(final, registry)
-    steps = decided.select("incident_id", F.col("status").alias("decided_status"))
-    for entered in (incidents.PENDING, incidents.ESCALATED):
-        tables.append_audit(
-            remediation.audit_rows(decided.filter(F.col("status") == entered), entered, as_of, run), audit
-        )
-    closed = final.join(steps, "incident_id").filter(F.col("decided_status") == incidents.PENDING)
-    for entered in (incidents.REMEDIATED, incidents.FAILED):
-        tables.append_audit(
-            remediation.audit_rows(closed.filter(F.col("status") == entered), entered, as_of, run), audit
-        )
-    failed = closed.filter(F.col("status") == incidents.FAILED)
-    tables.append_audit(remediation.audit_rows(failed, incidents.ESCALATED, as_of, run), audit)
+    failed = (F.col("status") == incidents.FAILED, incidents.ESCALATED)
+    log_steps(final, [*_entered(incidents.REMEDIATED, incidents.FAILED), failed], audit, as_of, run)
     return final
