@@ -8,10 +8,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchkeeper.functions.scalars import hours_between, in_bounds, rate
+from batchkeeper.functions.scalars import rate
 
 CHECK_COLUMNS = (
     "dataset",
@@ -27,38 +27,40 @@ CHECK_COLUMNS = (
 )
 
 
-def check_row(
-    check: str,
-    column: Column | str | None,
-    metric: Column,
-    passed: Column,
-    n_bad: Column,
-    evidence: Column,
-    lower: Column | None = None,
-    upper: Column | None = None,
-) -> Column:
-    """One check result as a struct; ``dataset`` and ``batch_date`` come from the row it is built on."""
-
-    def double(value: Column | None) -> Column:
-        return (F.lit(None) if value is None else value).cast("double")
-
-    name = column if isinstance(column, Column) else F.lit(column).cast("string")
-    return F.struct(
-        F.col("dataset"),
-        F.col("batch_date"),
-        F.lit(check).alias("check_name"),
-        name.alias("column_name"),
-        double(metric).alias("metric"),
-        double(lower).alias("lower"),
-        double(upper).alias("upper"),
-        passed.alias("passed"),
-        n_bad.cast("bigint").alias("n_bad"),
-        evidence.alias("evidence"),
-    )
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+def check_row(
+    check: str,
+    column: str,
+    metric: str,
+    passed: str,
+    n_bad: str,
+    evidence: str,
+    lower: str = "NULL",
+    upper: str = "NULL",
+) -> str:
+    """One check result as a SQL struct; ``dataset`` and ``batch_date`` come from the row it is built on.
+
+    SQL text and not Column objects: a run builds hundreds of these, and each call on a
+    Column costs the driver a round trip.
+    """
+    fields = {
+        "dataset": "dataset",
+        "batch_date": "batch_date",
+        "check_name": quoted(check),
+        "column_name": f"CAST({column} AS STRING)",
+        "metric": f"CAST({metric} AS DOUBLE)",
+        "lower": f"CAST({lower} AS DOUBLE)",
+        "upper": f"CAST({upper} AS DOUBLE)",
+        "passed": passed,
+        "n_bad": f"CAST({n_bad} AS BIGINT)",
+        "evidence": evidence,
+    }
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
 # --- one pass over a dataset -------------------------------------------------
@@ -150,67 +152,76 @@ def expected_batches(counts: DataFrame, dataset: str, date_from: str, date_to: s
     return calendar.join(counts, ["dataset", "batch_date"], "left").fillna(0, numbers)
 
 
-# --- single checks as structs over a profile row -----------------------------
+# --- single checks as SQL structs over a profile row --------------------------
+
+
+def _beyond(n: str = "n_rows") -> str:
+    """Rows past the violated bound."""
+    return f"CASE WHEN {n} > upper THEN {n} - floor(upper) WHEN {n} < lower THEN ceil(lower) - {n} ELSE 0 END"
 
 
-def row_count_row() -> Column:
-    n, lower, upper = F.col("n_rows"), F.col("lower"), F.col("upper")
-    beyond = F.when(n > upper, n - F.floor(upper)).when(n < lower, F.ceil(lower) - n).otherwise(F.lit(0))
-    return check_row("row_count", None, n, in_bounds(n, lower, upper), beyond, _text("rows=", n), lower, upper)
+def row_count_row() -> str:
+    passed = "coalesce(n_rows BETWEEN lower AND upper, false)"
+    return check_row("row_count", "NULL", "n_rows", passed, _beyond(), "concat('rows=', n_rows)", "lower", "upper")
 
 
 def history_rows(judged: DataFrame, sigmas: float = 3.0) -> DataFrame:
     """``three_sigma`` verdicts as check rows; too little history is recorded, not failed."""
-    lower, upper = (F.col("mean") - sigmas * F.col("sd"), F.col("mean") + sigmas * F.col("sd"))
-    n = F.col("n_rows")
-    beyond = F.when(n > upper, n - F.floor(upper)).when(n < lower, F.ceil(lower) - n).otherwise(F.lit(0))
-    row = check_row(
-        "volume_history", None, n, ~F.col("status").isin("spike", "drop"), beyond,
-        _text("rows=", n, " ", F.col("status")), lower, upper,
+    bounded = judged.selectExpr("*", f"mean - {sigmas}D * sd AS lower", f"mean + {sigmas}D * sd AS upper")
+    evidence = "concat('rows=', n_rows, ' ', status)"
+    passed = "status NOT IN ('spike', 'drop')"
+    return rows_of(
+        bounded, check_row("volume_history", "NULL", "n_rows", passed, _beyond(), evidence, "lower", "upper")
     )
-    return rows_of(judged, row)
 
 
-def null_rate_row(column: str, tolerance: float) -> Column:
+def _rate_row(check: str, label: str, counter: str, column: str, tolerance: float) -> str:
+    share = f"(CASE WHEN n_rows > 0 THEN `{counter}` / n_rows END)"
+    limit = f"{float(tolerance)!r}D"
+    evidence = f"concat('{label}=', `{counter}`, ' of ', n_rows)"
+    passed = f"coalesce({share} <= {limit}, true)"
+    return check_row(check, quoted(column), share, passed, f"`{counter}`", evidence, upper=limit)
+
+
+def null_rate_row(column: str, tolerance: float) -> str:
     """Fails strictly above the tolerance; an empty batch is the row count's business."""
-    nulls, share = F.col(f"null_{column}"), rate(F.col(f"null_{column}"), F.col("n_rows"))
-    passed = F.coalesce(share <= F.lit(tolerance), F.lit(True))
-    evidence = _text("nulls=", nulls, " of ", F.col("n_rows"))
-    return check_row("null_rate", column, share, passed, nulls, evidence, upper=F.lit(tolerance))
+    return _rate_row("null_rate", "nulls", f"null_{column}", column, tolerance)
 
 
-def zero_rate_row(column: str, tolerance: float) -> Column:
-    zeros, share = F.col(f"zero_{column}"), rate(F.col(f"zero_{column}"), F.col("n_rows"))
-    passed = F.coalesce(share <= F.lit(tolerance), F.lit(True))
-    evidence = _text("zeros=", zeros, " of ", F.col("n_rows"))
-    return check_row("zero_rate", column, share, passed, zeros, evidence, upper=F.lit(tolerance))
+def zero_rate_row(column: str, tolerance: float) -> str:
+    return _rate_row("zero_rate", "zeros", f"zero_{column}", column, tolerance)
 
 
-def duplicate_row(key: Sequence[str]) -> Column:
-    excess = F.col("excess")
-    evidence = _text("excess=", excess, " null_keys=", F.col("n_null_key"), " of ", F.col("n_rows"))
-    return check_row("duplicates", ",".join(key), excess, excess == 0, excess, evidence, upper=F.lit(0))
+def duplicate_row(key: Sequence[str]) -> str:
+    evidence = "concat('excess=', excess, ' null_keys=', n_null_key, ' of ', n_rows)"
+    return check_row("duplicates", quoted(",".join(key)), "excess", "excess = 0", "excess", evidence, upper="0")
 
 
-def fk_row(column: str) -> Column:
-    orphans = F.col("n_orphan")
-    evidence = _text("orphans=", orphans, " keys=", F.col("n_orphan_keys"), " of ", F.col("n_rows"))
-    return check_row("foreign_key", column, orphans, orphans == 0, orphans, evidence, upper=F.lit(0))
+def fk_row(column: str) -> str:
+    evidence = "concat('orphans=', n_orphan, ' keys=', n_orphan_keys, ' of ', n_rows)"
+    return check_row("foreign_key", quoted(column), "n_orphan", "n_orphan = 0", "n_orphan", evidence, upper="0")
 
 
-def freshness_row(column: str, as_of: str, max_delay_hours: float) -> Column:
+def freshness_row(column: str, as_of: str, max_delay_hours: float) -> str:
     """Lag of the newest row behind an explicit clock; no rows at all is not fresh."""
-    lag = hours_between(F.col("max_ts"), F.lit(as_of).cast("timestamp"))
-    passed = F.coalesce(lag <= F.lit(max_delay_hours), F.lit(False))
-    evidence = F.coalesce(_text("max=", F.date_format("max_ts", "yyyy-MM-dd HH:mm:ss")), F.lit("max=none"))
-    return check_row(
-        "freshness", column, lag, passed, F.when(passed, 0).otherwise(1), evidence, upper=F.lit(max_delay_hours)
-    )
+    lag = f"(timestampdiff(MICROSECOND, max_ts, TIMESTAMP {quoted(as_of)}) / 3.6e9D)"
+    limit = f"{float(max_delay_hours)!r}D"
+    passed = f"coalesce({lag} <= {limit}, false)"
+    evidence = "concat('max=', coalesce(date_format(max_ts, 'yyyy-MM-dd HH:mm:ss'), 'none'))"
+    return check_row("freshness", quoted(column), lag, passed, f"if({passed}, 0, 1)", evidence, upper=limit)
+
 
+def landing_row(max_delay_hours: float) -> str:
+    delay = "(timestampdiff(MICROSECOND, CAST(batch_date AS TIMESTAMP), landed_at) / 3.6e9D)"
+    limit = f"{float(max_delay_hours)!r}D"
+    passed = f"coalesce({delay} <= {limit}, false)"
+    evidence = "concat('landed=', coalesce(date_format(landed_at, 'yyyy-MM-dd HH:mm:ss'), 'never'))"
+    return check_row("landing_sla", "NULL", delay, passed, f"if({passed}, 0, 1)", evidence, upper=limit)
 
-def rows_of(df: DataFrame, *checks: Column) -> DataFrame:
+
+def rows_of(df: DataFrame, *checks: str) -> DataFrame:
     """Turn check structs into check rows, without another pass over ``df``."""
-    return df.select(F.inline(F.array(*checks)))
+    return df.selectExpr(f"inline(array({', '.join(checks)}))")
 
 
 # --- the checks as DataFrames ------------------------------------------------
@@ -254,28 +265,16 @@ def landing_sla(arrivals: DataFrame, max_delay_hours: float) -> DataFrame:
 
     Landing exactly at the limit passes; a batch that has not landed fails.
     """
-    delay = hours_between(F.col("batch_date").cast("timestamp"), F.col("landed_at"))
-    passed = F.coalesce(delay <= F.lit(max_delay_hours), F.lit(False))
-    landed = F.coalesce(F.date_format("landed_at", "yyyy-MM-dd HH:mm:ss"), F.lit("never"))
-    row = check_row(
-        "landing_sla", None, delay, passed, F.when(passed, 0).otherwise(1), _text("landed=", landed),
-        upper=F.lit(max_delay_hours),
-    )
-    return rows_of(arrivals, row)
+    return rows_of(arrivals, landing_row(max_delay_hours))
 
 
 def schema_check(diff: DataFrame, dataset: str, batch_date: str) -> DataFrame:
     """Every line of a ``schema_diff`` that is drift, as a failed check."""
     keyed = diff.withColumn("dataset", F.lit(dataset)).withColumn("batch_date", F.lit(batch_date).cast("date"))
-    evidence = _text(
-        F.col("kind"), ": expected ", F.coalesce("expected", F.lit("-")), ", observed ",
-        F.coalesce("observed", F.lit("-")),
+    evidence = "concat(kind, ': expected ', coalesce(expected, '-'), ', observed ', coalesce(observed, '-'))"
+    return rows_of(
+        keyed, check_row("schema", "column_name", "coalesce(bad_share, 1)", "false", "1", evidence, upper="0")
     )
-    row = check_row(
-        "schema", F.col("column_name"), F.coalesce(F.col("bad_share"), F.lit(1.0)), F.lit(False), F.lit(1), evidence,
-        upper=F.lit(0),
-    )
-    return rows_of(keyed, row)
 
 
 def union_checks(*checks: DataFrame) -> DataFrame:
@@ -333,40 +332,35 @@ def columns_frame(df: DataFrame) -> DataFrame:
 
 
 def profile(df: DataFrame, dataset: str, approximate: bool = False) -> DataFrame:
-    """Rows, NULLs, distinct values and range of every column, from one scan.
+    """Rows, NULLs, distinct values and range of every column.
 
-    Exact distinct counts make the planner send each row once per column through the
-    shuffle; ``approximate`` keeps it to one small sketch per task and column.
+    One narrow aggregation per column: each reads only its column, so together they
+    read a columnar table once, and values are merged per task before the shuffle.
+    Several exact distinct counts in one aggregate would instead send every row once
+    per column. ``approximate`` swaps the per-value shuffle for sketches in one pass.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    per_column = []
-    for i, f in enumerate(df.schema.fields):
-        c = F.col(f.name)
-        per_column += [
-            F.count_if(c.isNull()).alias(f"null_{i}"),
-            distinct(c).alias(f"distinct_{i}"),
-            F.min(c).alias(f"min_{i}"),
-            F.max(c).alias(f"max_{i}"),
+    text = {"double": "CAST(CAST({0} AS DECIMAL(28, 6)) AS STRING)", "float": "CAST(CAST({0} AS DECIMAL(28, 6)) AS STRING)",
+            "timestamp": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')", "timestamp_ntz": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')"}
+    columns = [(f.name, text.get(f.dataType.typeName(), "CAST({0} AS STRING)")) for f in df.schema.fields]
+    if approximate:
+        totals = df.selectExpr("count(1) AS n", *[
+            f"{fn.format(f'`{c}`')} AS {label}_{i}"
+            for i, (c, _) in enumerate(columns)
+            for label, fn in (("nulls", "count_if({} IS NULL)"), ("distinct", "approx_count_distinct({})"),
+                              ("low", "min({})"), ("high", "max({})"))
+        ])
+        rows = [
+            f"named_struct('dataset', {quoted(dataset)}, 'column_name', {quoted(c)}, 'n_rows', n, 'n_null', nulls_{i}, "
+            f"'n_distinct', distinct_{i}, 'min_value', {t.format(f'low_{i}')}, 'max_value', {t.format(f'high_{i}')})"
+            for i, (c, t) in enumerate(columns)
         ]
-    totals = df.agg(F.count(F.lit(1)).alias("n_rows"), *per_column)
-
-    def text(c: Column, kind: str) -> Column:
-        if kind in ("double", "float"):
-            c = c.cast("decimal(28,6)")
-        elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        return c.cast("string")
-
-    rows = [
-        F.struct(
-            F.lit(dataset).alias("dataset"),
-            F.lit(f.name).alias("column_name"),
-            F.col("n_rows"),
-            F.col(f"null_{i}").alias("n_null"),
-            F.col(f"distinct_{i}").alias("n_distinct"),
-            text(F.col(f"min_{i}"), f.dataType.typeName()).alias("min_value"),
-            text(F.col(f"max_{i}"), f.dataType.typeName()).alias("max_value"),
-        )
-        for i, f in enumerate(df.schema.fields)
-    ]
-    return totals.select(F.inline(F.array(*rows)))
+        return totals.selectExpr(f"inline(array({', '.join(rows)}))")
+    parts = []
+    for c, t in columns:
+        values = df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(values.selectExpr(
+            f"{quoted(dataset)} AS dataset", f"{quoted(c)} AS column_name", "coalesce(sum(n), 0) AS n_rows",
+            "coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS n_null", "count(v) AS n_distinct",
+            f"{t.format('min(v)')} AS min_value", f"{t.format('max(v)')} AS max_value",
+        ))
+    return reduce(lambda a, b: a.unionByName(b), parts)

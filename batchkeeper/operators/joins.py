@@ -28,8 +28,12 @@ def orphan_keys(fact: DataFrame, column: str, dim: DataFrame, ref: str) -> DataF
 
 
 def fk_orphans(fact: DataFrame, column: str, dim: DataFrame, ref: str) -> DataFrame:
-    """The offending rows themselves: the fact meets only the (few) orphan keys."""
-    bad = orphan_keys(fact, column, dim, ref).select(F.col("fk").alias(column))
+    """The offending rows themselves. Runs a job that writes the orphan keys.
+
+    Their true size is then known when the fact is joined: few keys are broadcast and
+    the fact is not shuffled; many are joined by key with skew handling.
+    """
+    bad = materialize(orphan_keys(fact, column, dim, ref).select(F.col("fk").alias(column)), "orphans")
     return fact.join(bad, column, "left_semi").select(*fact.columns)
 
 

@@ -62,13 +62,13 @@ def replayed_keys(df: DataFrame, key: Sequence[str], batch: str) -> DataFrame:
     """Keys seen again in a later batch: per (first batch, replaying batch) how many, and what share.
 
     Each occurrence is paired with the key's first batch only, so the output per key
-    grows with its batches and not with their square. Rows are reduced to one per
-    (key, batch) before the window; what is left per key is at most one row per batch.
+    grows with its batches and not with their square. The batches of a key are merged
+    as a set before the one shuffle of the keys; a set is no longer than the calendar.
     """
-    keyed, _ = split_null_keys(df, key)
-    seen = keyed.select(*key, batch).distinct()
-    first = seen.withColumn("first_batch", F.min(batch).over(Window.partitionBy(*key)))
-    per_pair = first.groupBy("first_batch", F.col(batch).alias("replay_batch")).agg(F.count(F.lit(1)).alias("n"))
+    keyed, _ = split_null_keys(df.filter(F.col(batch).isNotNull()), key)
+    seen = keyed.groupBy(*key).agg(F.collect_set(batch).alias("batches"))
+    paired = seen.select(F.array_min("batches").alias("first_batch"), F.explode("batches").alias("replay_batch"))
+    per_pair = paired.groupBy("first_batch", "replay_batch").agg(F.count(F.lit(1)).alias("n"))
     # one row per pair of batches from here on
     total = F.sum("n").over(Window.partitionBy("replay_batch"))
     return (

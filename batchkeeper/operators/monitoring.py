@@ -32,16 +32,15 @@ def retry_outcome(
     """Per task and date: tries, failures, trailing failures and whether retries ran out.
 
     ``runs``: keys, ``at`` (unique order within a key) and ``failed``. Only
-    aggregates, no ranking window: the newest try and the newest success are found with
-    map-side combination, and the failures after the last success are counted in a
-    second pass against that one row per key.
+    aggregates, no ranking window: the newest success is found with map-side
+    combination, and the failures after it are counted in a second pass against that one
+    row per key.
     """
     w_key = list(keys)
     ends = runs.groupBy(*w_key).agg(
         F.count(F.lit(1)).alias("n_tries"),
         F.count_if("failed").alias("n_failed"),
         F.max(F.when(~F.col("failed"), F.col("at"))).alias("last_success"),
-        F.max("at").alias("last_try"),
     )
     successes = ends.select(*w_key, "last_success")
     after = F.col("last_success").isNull() | (F.col("at") > F.col("last_success"))

@@ -219,7 +219,7 @@ def run_day(
     only: Iterable[str] | None = None,
 ) -> DayResult:
     """Run one day end to end. Running it again leaves the same tables."""
-    configure(spark)
+    configure(spark, layout.landing)
     names = [n for n in contract.datasets if only is None or n in set(only)]
     as_of = as_of or f"{date.fromisoformat(ds) + timedelta(days=1)} 02:00:00"
     log, registry, audit = (layout.table(t) for t in ("executions", "incidents", "incident_audit_trail"))

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(configure(spark), sf_dir)
+            return fn(configure(spark, sf_dir), sf_dir)
 
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import money
-from batchkeeper.operators import keys, merge, predicates, remediation
+from batchkeeper.operators import keys, merge, remediation
 from batchkeeper.plans import inputs
 from batchkeeper.plans.inputs import FAULTY_SQL, tidy
 from batchkeeper.plans.registry import query
@@ -114,15 +114,15 @@ FROM r GROUP BY route""",
 )
 def quarantine_split(spark, sf):
     """Rows without a known customer or a total go to quarantine, the others to staging; none is lost."""
-    customer = inputs.table(spark, sf, "customer").select("c_custkey", F.lit(True).alias("known"))
+    customer = inputs.table(spark, sf, "customer").select("c_custkey")
     orders = inputs.faulty_orders(spark, sf)
-    flagged = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").drop("c_custkey")
-    clean, rejected = predicates.split_valid(flagged, F.col("known") & F.col("o_totalprice").isNotNull())
-    root = new_scratch(spark, "quarantine")
-    kept = tables.write_staging(clean.drop("known"), root, "orders", "all")
-    aside = tables.quarantine(rejected.drop("known"), root, "orders", "all", "unknown customer or no total")
+    flagged = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    valid = F.col("c_custkey").isNotNull() & F.col("o_totalprice").isNotNull()
+    kept, aside = tables.write_split(
+        flagged, valid, new_scratch(spark, "split"), "orders", "all", "unknown customer or no total"
+    )
     both = spark.read.parquet(kept).withColumn("route", F.lit("clean")).unionByName(
-        spark.read.parquet(aside).drop("_reason").withColumn("route", F.lit("rejected"))
+        spark.read.parquet(aside).withColumn("route", F.lit("rejected"))
     )
     return both.groupBy("route").agg(
         F.count(F.lit(1)).alias("n_rows"),

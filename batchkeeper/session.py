@@ -19,13 +19,32 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else built."""
+INPUT_PER_PARTITION = 256 << 20
+MAX_PARTITIONS = 32_768
+
+
+def configure(spark: SparkSession, *inputs: str) -> SparkSession:
+    """Apply the runtime settings to a session that somebody else built.
+
+    With input folders given, shuffles start with one partition per 256 MB of input (at
+    least what the session asks for); adaptive execution then merges those that turn out
+    small. It cannot do the opposite, and 200 partitions of a 100 TB input fit nowhere.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if inputs:
+        wanted = sum(folder_size(spark, path) for path in inputs) // INPUT_PER_PARTITION
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_PARTITIONS))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
     return spark
 
 
+def folder_size(spark: SparkSession, path: str) -> int:
+    handle = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = handle.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.getContentSummary(handle).getLength() if fs.exists(handle) else 0
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: what the cluster names, else (local mode only) a temp dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)

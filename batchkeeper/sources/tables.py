@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.session import materialize
@@ -140,5 +140,19 @@ def quarantine(rejected: DataFrame, root: str, dataset: str, date: str, reason:
     return write_staging(rejected.withColumn("_reason", F.lit(reason)), f"{root.rstrip('/')}/quarantine", dataset, date)
 
 
+def write_split(df: DataFrame, valid: Column, root: str, dataset: str, date: str, reason: str) -> tuple[str, str]:
+    """Write a batch once, clean rows to staging and all others to quarantine: (clean path, rejected path).
+
+    One pass and no shuffle, whatever it took to decide which rows are valid.
+    """
+    path = f"{root.rstrip('/')}/split/{dataset}/{date}"
+    ok = F.coalesce(valid, F.lit(False))
+    routed = df.withColumns(
+        {"_reason": F.when(~ok, F.lit(reason)), "route": F.when(ok, "clean").otherwise("rejected")}
+    )
+    routed.write.mode("overwrite").partitionBy("route").parquet(path)
+    return f"{path}/route=clean", f"{path}/route=rejected"
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     return exists(spark, path)
