@@ -15,6 +15,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from batchkeeper.session import literal_table
+
 # Contract type name -> Spark SQL type name.
 TYPES = {
     "string": "string",
@@ -152,11 +154,11 @@ class Contract:
             for d in self.datasets.values()
             if d.row_bounds
         ]
-        return spark.createDataFrame(rows, "dataset string, scope string, lower double, upper double")
+        return literal_table(spark, rows, "dataset string, scope string, lower double, upper double")
 
     def tolerance_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(d.name, c, float(rate)) for d in self.datasets.values() for c, rate in d.null_tolerance.items()]
-        return spark.createDataFrame(rows, "dataset string, column_name string, tolerance double")
+        return literal_table(spark, rows, "dataset string, column_name string, tolerance double")
 
     def foreign_key_frame(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -164,8 +166,8 @@ class Contract:
             for d in self.datasets.values()
             for k in d.foreign_keys
         ]
-        return spark.createDataFrame(
-            rows, "dataset string, column_name string, ref_dataset string, ref_column string"
+        return literal_table(
+            spark, rows, "dataset string, column_name string, ref_dataset string, ref_column string"
         )
 
     def freshness_frame(self, spark: SparkSession) -> DataFrame:
@@ -174,11 +176,11 @@ class Contract:
             for d in self.datasets.values()
             if d.max_delay_hours is not None
         ]
-        return spark.createDataFrame(rows, "dataset string, ts_column string, max_delay_hours double")
+        return literal_table(spark, rows, "dataset string, ts_column string, max_delay_hours double")
 
     def policy_frame(self, spark: SparkSession) -> DataFrame:
         return policy_frame(spark, self.policy)
 
 
 def policy_frame(spark: SparkSession, policy: dict[str, str]) -> DataFrame:
-    return spark.createDataFrame(list(policy.items()), "failure_category string, policy string")
+    return literal_table(spark, list(policy.items()), "failure_category string, policy string")

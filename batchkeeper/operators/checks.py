@@ -6,12 +6,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import rate
+from batchkeeper.session import literal_table
 
 CHECK_COLUMNS = (
     "dataset",
@@ -42,6 +44,7 @@ def check_row(
     evidence: str,
     lower: str = "NULL",
     upper: str = "NULL",
+    batch_date: str = "batch_date",
 ) -> str:
     """One check result as a SQL struct; ``dataset`` and ``batch_date`` come from the row it is built on.
 
@@ -50,7 +53,7 @@ def check_row(
     """
     fields = {
         "dataset": "dataset",
-        "batch_date": "batch_date",
+        "batch_date": batch_date,
         "check_name": quoted(check),
         "column_name": f"CAST({column} AS STRING)",
         "metric": f"CAST({metric} AS DOUBLE)",
@@ -81,27 +84,23 @@ def batch_profile(
     aggregation absorbs hot keys, then per batch. Result: dataset, batch_date, n_rows,
     excess, n_null_key, null_<c>, zero_<c>, max_ts.
     """
-    counters = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in nulls}
-    counters |= {f"zero_{c}": F.count_if(F.col(c) == 0) for c in zeros}
-    newest = [F.max(F.col(ts).cast("timestamp")).alias("max_ts")] if ts else []
+    counters = {f"null_{c}": f"count_if(`{c}` IS NULL)" for c in nulls}
+    counters |= {f"zero_{c}": f"count_if(`{c}` = 0)" for c in zeros}
+    newest = [F.expr(f"max(CAST(`{ts}` AS TIMESTAMP)) AS max_ts")] if ts else []
     grouping = [F.col(batch).alias("batch_date"), *[F.col(c).alias(f"k_{c}") for c in key]]
     per_key = df.groupBy(*grouping).agg(
-        F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in counters.items()], *newest
-    )
-    whole = F.lit(True)
-    for c in key:
-        whole = whole & F.col(f"k_{c}").isNotNull()
-    return (
-        per_key.groupBy("batch_date")
-        .agg(
-            F.sum("n").alias("n_rows"),
-            F.coalesce(F.sum(F.when(whole, F.col("n") - 1)), F.lit(0)).alias("excess"),
-            F.coalesce(F.sum(F.when(~whole, F.col("n"))), F.lit(0)).alias("n_null_key"),
-            *[F.sum(k).alias(k) for k in counters],
-            *([F.max("max_ts").alias("max_ts")] if ts else []),
-        )
-        .withColumn("dataset", F.lit(dataset))
+        F.expr("count(1) AS n"), *[F.expr(f"{count} AS `{name}`") for name, count in counters.items()], *newest
     )
+    whole = " AND ".join(f"`k_{c}` IS NOT NULL" for c in key) or "true"
+    sums = [
+        "sum(n) AS n_rows",
+        f"coalesce(sum(n - 1) FILTER (WHERE {whole}), 0) AS excess",
+        f"coalesce(sum(n) FILTER (WHERE NOT ({whole})), 0) AS n_null_key",
+        *[f"sum(`{name}`) AS `{name}`" for name in counters],
+        *(["max(max_ts) AS max_ts"] if ts else []),
+    ]
+    per_batch = per_key.groupBy("batch_date").agg(*map(F.expr, sums))
+    return per_batch.withColumn("dataset", F.lit(dataset))
 
 
 def batch_counts(df: DataFrame, dataset: str, batch: str) -> DataFrame:
@@ -202,13 +201,33 @@ def fk_row(column: str) -> str:
     return check_row("foreign_key", quoted(column), "n_orphan", "n_orphan = 0", "n_orphan", evidence, upper="0")
 
 
-def freshness_row(column: str, as_of: str, max_delay_hours: float) -> str:
+def freshness_row(
+    column: str, as_of: str, max_delay_hours: float, max_ts: str = "max_ts", batch_date: str = "batch_date"
+) -> str:
     """Lag of the newest row behind an explicit clock; no rows at all is not fresh."""
-    lag = f"(timestampdiff(MICROSECOND, max_ts, TIMESTAMP {quoted(as_of)}) / 3.6e9D)"
+    lag = f"(timestampdiff(MICROSECOND, {max_ts}, TIMESTAMP {quoted(as_of)}) / 3.6e9D)"
     limit = f"{float(max_delay_hours)!r}D"
     passed = f"coalesce({lag} <= {limit}, false)"
-    evidence = "concat('max=', coalesce(date_format(max_ts, 'yyyy-MM-dd HH:mm:ss'), 'none'))"
-    return check_row("freshness", quoted(column), lag, passed, f"if({passed}, 0, 1)", evidence, upper=limit)
+    evidence = f"concat('max=', coalesce(date_format({max_ts}, 'yyyy-MM-dd HH:mm:ss'), 'none'))"
+    bad = f"if({passed}, 0, 1)"
+    return check_row("freshness", quoted(column), lag, passed, bad, evidence, upper=limit, batch_date=batch_date)
+
+
+def with_newest(profile: DataFrame) -> DataFrame:
+    """Mark each dataset's last batch and put its newest timestamp beside every batch."""
+    whole = Window.partitionBy("dataset")
+    return profile.withColumns(
+        {
+            "newest_ts": F.max("max_ts").over(whole),
+            "is_last": F.col("batch_date").eqNullSafe(F.max("batch_date").over(whole)),
+        }
+    )
+
+
+def newest_row(column: str, as_of: str, max_delay_hours: float) -> str:
+    """One freshness row per dataset, out of the profile that serves the other checks too."""
+    row = freshness_row(column, as_of, max_delay_hours, "newest_ts", "to_date(newest_ts)")
+    return f"if(is_last, {row}, NULL)"
 
 
 def landing_row(max_delay_hours: float) -> str:
@@ -220,8 +239,43 @@ def landing_row(max_delay_hours: float) -> str:
 
 
 def rows_of(df: DataFrame, *checks: str) -> DataFrame:
-    """Turn check structs into check rows, without another pass over ``df``."""
-    return df.selectExpr(f"inline(array({', '.join(checks)}))")
+    """Turn check structs into check rows, without another pass over ``df``. A NULL struct gives no row."""
+    return df.selectExpr(f"inline(filter(array({', '.join(checks)}), r -> r IS NOT NULL))")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule a team adds itself, as SQL: an aggregate per batch and the range it must stay in.
+
+    ``where`` narrows the judged rows; an aggregate that is NULL fails.
+    """
+
+    name: str
+    aggregate: str
+    lower: float | None = None
+    upper: float | None = None
+    where: str = "true"
+    column: str | None = None
+
+
+def custom_rules(df: DataFrame, dataset: str, batch: str, rules: Sequence[Rule]) -> DataFrame:
+    """All rules of a dataset in one aggregation; they share the scan and the shuffle."""
+    values = [F.expr(f"{r.aggregate} FILTER (WHERE {r.where})").alias(f"rule_{i}") for i, r in enumerate(rules)]
+    per_batch = df.groupBy(F.col(batch).alias("batch_date")).agg(*values).withColumn("dataset", F.lit(dataset))
+    rows = []
+    for i, r in enumerate(rules):
+        value = f"CAST(rule_{i} AS DOUBLE)"
+        low, high = (("NULL" if b is None else f"{float(b)!r}D") for b in (r.lower, r.upper))
+        inside = " AND ".join(
+            [f"{value} IS NOT NULL"]
+            + ([f"{value} >= {low}"] if r.lower is not None else [])
+            + ([f"{value} <= {high}"] if r.upper is not None else [])
+        )
+        passed = f"coalesce({inside}, false)"
+        column = "NULL" if r.column is None else quoted(r.column)
+        evidence = f"concat('value=', coalesce(CAST(round({value}, 6) AS DECIMAL(28, 6)), 'none'))"
+        rows.append(check_row(r.name, column, value, passed, f"if({passed}, 0, 1)", evidence, low, high))
+    return rows_of(per_batch, *rows)
 
 
 # --- the checks as DataFrames ------------------------------------------------
@@ -249,15 +303,9 @@ def fk_check(report: DataFrame, column: str) -> DataFrame:
     return rows_of(report, fk_row(column))
 
 
-def newest(profile: DataFrame) -> DataFrame:
-    """(dataset, max_ts, batch_date of it): one row per dataset."""
-    return profile.groupBy("dataset").agg(F.max("max_ts").alias("max_ts")).withColumn(
-        "batch_date", F.to_date("max_ts")
-    )
-
-
 def freshness(profile: DataFrame, column: str, as_of: str, max_delay_hours: float) -> DataFrame:
-    return rows_of(newest(profile), freshness_row(column, as_of, max_delay_hours))
+    """One row per dataset."""
+    return rows_of(with_newest(profile), newest_row(column, as_of, max_delay_hours))
 
 
 def landing_sla(arrivals: DataFrame, max_delay_hours: float) -> DataFrame:
@@ -328,7 +376,7 @@ def schema_diff(observed: DataFrame, expected: DataFrame, failures: DataFrame |
 def columns_frame(df: DataFrame) -> DataFrame:
     """(column_name, type, ordinal) of a DataFrame."""
     rows = [(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "column_name string, type string, ordinal int")
+    return literal_table(df.sparkSession, rows, "column_name string, type string, ordinal int")
 
 
 def profile(df: DataFrame, dataset: str, approximate: bool = False) -> DataFrame:

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import incident_id
 from batchkeeper.operators.checks import failed
+from batchkeeper.session import literal_table
 
 # Canonical incident states.
 OPEN, PENDING_APPROVAL, PENDING, REMEDIATED, FAILED, ESCALATED, DECLINED = (
@@ -74,17 +75,16 @@ ACTIONS = [
 
 def fault_class() -> Column:
     """Fault category of a failed check row; unknown checks are ``unclassified`` and can only escalate."""
-    check, metric = F.col("check_name"), F.col("metric")
-    volume = check.isin("row_count", "volume_history")
-    return (
-        F.when(check == "schema", "schema_drift")
-        .when(volume & (metric > F.col("upper")), "volume_anomaly_spike")
-        .when(volume & (metric < F.col("lower")), "volume_anomaly_drop")
-        .when(check.isin("null_rate", "zero_rate"), "null_spike")
-        .when(check == "duplicates", "duplicate_ingestion")
-        .when(check == "foreign_key", "referential_break")
-        .when(check.isin("freshness", "landing_sla", "static_source"), "staleness")
-        .otherwise("unclassified")
+    return F.expr(
+        """CASE
+        WHEN check_name = 'schema' THEN 'schema_drift'
+        WHEN check_name IN ('row_count', 'volume_history') AND metric > upper THEN 'volume_anomaly_spike'
+        WHEN check_name IN ('row_count', 'volume_history') AND metric < lower THEN 'volume_anomaly_drop'
+        WHEN check_name IN ('null_rate', 'zero_rate') THEN 'null_spike'
+        WHEN check_name = 'duplicates' THEN 'duplicate_ingestion'
+        WHEN check_name = 'foreign_key' THEN 'referential_break'
+        WHEN check_name IN ('freshness', 'landing_sla', 'static_source') THEN 'staleness'
+        ELSE 'unclassified' END"""
     )
 
 
@@ -102,31 +102,30 @@ def collect_evidence(checks: DataFrame) -> DataFrame:
 
     Windows over the check results themselves; the facts are not read again.
     """
-    batch = Window.partitionBy("dataset", "batch_date")
-    day = F.datediff("batch_date", F.lit("1970-01-01").cast("date"))
-    before = Window.partitionBy("dataset").orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
-
-    def of(check: str, column: str) -> Column:
-        return F.when(F.col("check_name") == check, F.col(column))
-
-    rows = checks.withColumns(
-        {
-            "staged_row_count": F.max(of("row_count", "metric")).over(batch).cast("bigint"),
-            "duplicate_rows": F.max(of("duplicates", "n_bad")).over(batch),
-            "historical_average": F.avg(of("row_count", "metric")).over(before),
-            "batch_upper": F.max(of("row_count", "upper")).over(batch),
-            "batch_lower": F.max(of("row_count", "lower")).over(batch),
-        }
+    batch = "OVER (PARTITION BY dataset, batch_date)"
+    before = (
+        "OVER (PARTITION BY dataset ORDER BY datediff(batch_date, DATE '1970-01-01') "
+        "RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    count = "CASE WHEN check_name = 'row_count' THEN {} END"
+    rows = checks.selectExpr(
+        "*",
+        f"CAST(max({count.format('metric')}) {batch} AS BIGINT) AS staged_row_count",
+        f"max(CASE WHEN check_name = 'duplicates' THEN n_bad END) {batch} AS duplicate_rows",
+        f"avg({count.format('metric')}) {before} AS historical_average",
+        f"max({count.format('upper')}) {batch} AS batch_upper",
+        f"max({count.format('lower')}) {batch} AS batch_lower",
+    )
+    return rows.selectExpr(
+        *checks.columns,
+        "staged_row_count",
+        "duplicate_rows",
+        "historical_average",
+        """coalesce(duplicate_rows > 0 AND staged_row_count - duplicate_rows BETWEEN batch_lower AND batch_upper, false)
+           AS explained_by_duplicates""",
+        """CASE WHEN check_name = 'schema' THEN metric
+                WHEN staged_row_count > 0 THEN n_bad / staged_row_count END AS bad_share""",
     )
-    distinct_rows = F.col("staged_row_count") - F.coalesce("duplicate_rows", F.lit(0))
-    explained = (F.col("duplicate_rows") > 0) & distinct_rows.between(F.col("batch_lower"), F.col("batch_upper"))
-    share = F.when(F.col("staged_row_count") > 0, F.col("n_bad") / F.col("staged_row_count"))
-    return rows.withColumns(
-        {
-            "explained_by_duplicates": F.coalesce(explained, F.lit(False)),
-            "bad_share": F.when(F.col("check_name") == "schema", F.col("metric")).otherwise(share),
-        }
-    ).drop("batch_upper", "batch_lower")
 
 
 def build_incidents(checks: DataFrame, dag_id: str, try_number: int = 1) -> DataFrame:
@@ -168,7 +167,7 @@ def apply_policy(incidents: DataFrame, policy: DataFrame) -> DataFrame:
 def diagnose(incidents: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Attach confidence, hypothesis and action of the first rule whose conditions the evidence meets."""
     spark = incidents.sparkSession
-    rules = rules if rules is not None else spark.createDataFrame(RULES, RULE_COLUMNS)
+    rules = rules if rules is not None else literal_table(spark, RULES, RULE_COLUMNS)
     enough = F.coalesce("evidence.bad_share", F.lit(0.0)) >= F.col("min_bad_share")
     explained = ~F.col("needs_duplicates") | F.col("evidence.explained_by_duplicates")
     fits = F.coalesce(enough & explained, F.lit(False))
@@ -213,7 +212,7 @@ def decide(diagnosed: DataFrame, actions: DataFrame | None = None) -> DataFrame:
     ``diagnosed`` carries confidence, action and policy.
     """
     spark = diagnosed.sparkSession
-    actions = actions if actions is not None else spark.createDataFrame(ACTIONS, ACTION_COLUMNS)
+    actions = actions if actions is not None else literal_table(spark, ACTIONS, ACTION_COLUMNS)
     known = diagnosed.join(F.broadcast(actions), "action", "left")  # the fixed action table
 
     def holds(c: Column) -> Column:
@@ -334,4 +333,4 @@ def feedback_accuracy(diagnoses: DataFrame, feedback: DataFrame) -> DataFrame:
 
 def lineage_impact(spark: SparkSession, edges: Sequence[tuple[str, str, str]]) -> DataFrame:
     """``impact`` rows from (dataset, target table, downstream names) declarations."""
-    return spark.createDataFrame(list(edges), "dataset string, target_table string, downstream string")
+    return literal_table(spark, list(edges), "dataset string, target_table string, downstream string")

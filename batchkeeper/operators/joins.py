@@ -39,20 +39,17 @@ def fk_orphans(fact: DataFrame, column: str, dim: DataFrame, ref: str) -> DataFr
 
 def fk_report(fact: DataFrame, column: str, dim: DataFrame, ref: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, NULLs, matches and orphans of one reference, overall or per batch. No row is dropped."""
-    known = dim.select(F.col(ref).alias("fk")).distinct().withColumn("known", F.lit(True))
+    known = dim.selectExpr(f"`{ref}` AS fk").distinct().selectExpr("fk", "true AS known")
     flagged = _key_counts(fact, column, by).join(known, "fk", "left")
-    is_null, orphan = F.col("fk").isNull(), F.col("fk").isNotNull() & F.col("known").isNull()
-
-    def total(condition):
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    return flagged.groupBy(*by).agg(
-        total(F.lit(True)).alias("n_rows"),
-        total(is_null).alias("n_null"),
-        total(F.col("known").isNotNull()).alias("n_matched"),
-        total(orphan).alias("n_orphan"),
-        F.count_if(orphan).alias("n_orphan_keys"),
-    )
+    orphan = "fk IS NOT NULL AND known IS NULL"
+    totals = [
+        "coalesce(sum(n), 0) AS n_rows",
+        "coalesce(sum(n) FILTER (WHERE fk IS NULL), 0) AS n_null",
+        "coalesce(sum(n) FILTER (WHERE known), 0) AS n_matched",
+        f"coalesce(sum(n) FILTER (WHERE {orphan}), 0) AS n_orphan",
+        f"count_if({orphan}) AS n_orphan_keys",
+    ]
+    return flagged.groupBy(*by).agg(*map(F.expr, totals))
 
 
 def orphan_sample(orphans: DataFrame, k: int) -> DataFrame:

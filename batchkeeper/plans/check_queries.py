@@ -503,6 +503,25 @@ def landing_sla(spark, sf):
     return tidy(rows.select("batch_date", landed, F.col("metric").alias("delay_hours"), "passed"))
 
 
+@query(
+    "custom_rules",
+    """WITH b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS batch_date,
+  max(l_quantity) FILTER (WHERE l_returnflag = 'R') AS q, min(l_extendedprice) AS p,
+  count(*) FILTER (WHERE l_discount > 0.05) AS d FROM lineitem GROUP BY 1)
+SELECT batch_date, 'returned_quantity' AS check_name, CAST(q AS DOUBLE) AS metric, coalesce(q <= 49, FALSE) AS passed FROM b
+UNION ALL SELECT batch_date, 'least_price', CAST(p AS DOUBLE), coalesce(p BETWEEN 950 AND 1000000, FALSE) FROM b
+UNION ALL SELECT batch_date, 'discounted_rows', CAST(d AS DOUBLE), d >= 10 FROM b""",
+)
+def custom_rules(spark, sf):
+    rules = [
+        checks.Rule("returned_quantity", "max(l_quantity)", upper=49, where="l_returnflag = 'R'", column="l_quantity"),
+        checks.Rule("least_price", "min(l_extendedprice)", 950, 1_000_000, column="l_extendedprice"),
+        checks.Rule("discounted_rows", "count(1)", lower=10, where="l_discount > 0.05"),
+    ]
+    judged = checks.custom_rules(inputs.items(spark, sf), "lineitem", "batch_date", rules)
+    return judged.select("batch_date", "check_name", "metric", "passed")
+
+
 PROFILE_COLUMNS = {
     "orders": {
         "o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "n", "o_totalprice": "d", "o_orderdate": "t",

@@ -33,17 +33,16 @@ def dataset_checks(
         df, dataset, "batch_date", key, list(null), list(zero), fresh[0] if fresh else None
     )
     bounded = checks.fill_missing_batches(checks.relative_bounds(profile, *tolerance), step)
-    parts = [
-        checks.rows_of(
-            bounded,
-            checks.row_count_row(),
-            checks.duplicate_row(key),
-            *[checks.null_rate_row(c, t) for c, t in null.items()],
-            *[checks.zero_rate_row(c, t) for c, t in zero.items()],
-        )
+    rows = [
+        checks.row_count_row(),
+        checks.duplicate_row(key),
+        *[checks.null_rate_row(c, t) for c, t in null.items()],
+        *[checks.zero_rate_row(c, t) for c, t in zero.items()],
     ]
     if fresh:
-        parts.append(checks.freshness(profile, fresh[0], AS_OF, fresh[1]))
+        bounded = checks.with_newest(bounded)
+        rows.append(checks.newest_row(fresh[0], AS_OF, fresh[1]))
+    parts = [checks.rows_of(bounded, *rows)]
     for column, dim, ref in references:
         report = joins.fk_report(df, column, dim, ref, by=["batch_date"]).withColumn("dataset", F.lit(dataset))
         parts.append(checks.fk_check(report, column))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from batchkeeper.contract import Contract, DatasetContract
 from batchkeeper.functions.casting import CAST_ERROR, cast_failure_share, cast_to_contract
 from batchkeeper.operators import baselines, checks, incidents, joins, predicates, remediation
-from batchkeeper.session import configure, materialize
+from batchkeeper.session import configure, literal_table, materialize
 from batchkeeper.sources import files, tables
 from batchkeeper.sources.storage import exists
 
@@ -73,12 +73,12 @@ def observed_schema(spark: SparkSession, contract: DatasetContract, staged: Data
         found = [row["field"] for row in files.json_fields(spark, path).collect()]  # one row per field name
         names = [c for c in contract.columns if c in found] + sorted(set(found) - set(contract.columns))
     rows = [(c, contract.schema.get(c, "string"), i) for i, c in enumerate(names)]
-    return spark.createDataFrame(rows, "column_name string, type string, ordinal int")
+    return literal_table(spark, rows, "column_name string, type string, ordinal int")
 
 
 def schema_checks(spark: SparkSession, contract: DatasetContract, staged: DataFrame, path: str, ds: str) -> DataFrame:
     declared = [(c, t, i) for i, (c, t) in enumerate(contract.schema.items())]
-    expected = spark.createDataFrame(declared, "column_name string, type string, ordinal int")
+    expected = literal_table(spark, declared, "column_name string, type string, ordinal int")
     diff = checks.schema_diff(
         observed_schema(spark, contract, staged, path), expected, cast_failure_share(staged, _types(contract))
     )
@@ -235,7 +235,7 @@ def run_day(
     # before anything is touched: what was found, and what is about to be done about it
     log_steps(decided, [(F.lit(True), incidents.OPEN), *_entered(incidents.PENDING, incidents.ESCALATED)], audit, as_of, run)
 
-    batches = spark.createDataFrame([(n, date.fromisoformat(ds)) for n in typed], "dataset string, batch_date date")
+    batches = literal_table(spark, [(n, ds) for n in typed], "dataset string, batch_date date")
     may_load = {row["dataset"] for row in incidents.halt_gate(batches, decided).collect()}
     to_repair = {
         row["dataset"]
@@ -279,7 +279,7 @@ def close_incidents(
     run: str,
 ) -> DataFrame:
     """Final states into the registry and the audit trail. A repair nobody performed has failed and escalates."""
-    repaired = spark.createDataFrame(outcome, "dataset string, outcome string")
+    repaired = literal_table(spark, outcome, "dataset string, outcome string")
     joined = decided.join(F.broadcast(repaired), "dataset", "left")  # one row per repaired dataset
     pending = F.col("status") == incidents.PENDING
     state = F.when(pending, F.coalesce("outcome", F.lit(incidents.FAILED))).otherwise(F.col("status"))

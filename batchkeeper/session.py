@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,33 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
+    """A small fixed table as SQL VALUES: the planner knows its rows, and no job or Python worker reads it."""
+    fields = [f.strip().split(None, 1) for f in schema.split(",")]
+
+    def cell(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, bool):
+            return str(value).lower()
+        if isinstance(value, float):
+            return f"{value!r}D"
+        if isinstance(value, int):
+            return str(value)
+        escaped = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+
+    rows = [tuple(r) for r in rows]
+    values = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows or [(None,) * len(fields)])
+    names = ", ".join(f"c{i}" for i in range(len(fields)))
+    columns = ", ".join(f"CAST(c{i} AS {kind}) AS `{name}`" for i, (name, kind) in enumerate(fields))
+    table = spark.sql(f"SELECT {columns} FROM VALUES {values} AS t({names})")
+    return table if rows else table.limit(0)
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under the scratch root; never reused between runs."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the scratch root, grouped by application so that an operator can expire it as a whole."""
+    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import DatasetContract
+from batchkeeper.session import literal_table
 from batchkeeper.sources.storage import matching
 
 TASK_RUN_SCHEMA = (
@@ -89,7 +90,7 @@ def observed_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
         for path, header in observed_headers(spark, paths).items()
         for position, name in enumerate(header)
     ]
-    return spark.createDataFrame(rows, "file string, column_name string, ordinal int")
+    return literal_table(spark, rows, "file string, column_name string, ordinal int")
 
 
 def read_batches(
