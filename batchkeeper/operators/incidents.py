@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import incident_id
 from batchkeeper.operators.checks import failed
+from batchkeeper.operators.joins import blast_radius
 from batchkeeper.session import literal_table
 
 # Canonical incident states.
@@ -331,6 +332,17 @@ def feedback_accuracy(diagnoses: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
-def lineage_impact(spark: SparkSession, edges: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """``impact`` rows from (dataset, target table, downstream names) declarations."""
-    return literal_table(spark, list(edges), "dataset string, target_table string, downstream string")
+def lineage_impact(spark: SparkSession, edges: Sequence[tuple[str, str]], datasets: Sequence[str]) -> DataFrame:
+    """(dataset, target_table, downstream) from declared table lineage; a few names per dataset. Runs jobs.
+
+    The target table is what a dataset feeds directly, downstream is all that hangs off it.
+    """
+    graph = literal_table(spark, edges, "src string, dst string")
+    start = literal_table(spark, [(d, d) for d in datasets], "dataset string, node string")
+    reached = blast_radius(graph, start, by=["dataset"]).filter("depth > 0")
+
+    def names(condition: str, alias: str) -> Column:
+        found = F.sort_array(F.collect_set(F.when(F.expr(condition), F.col("node"))))
+        return F.array_join(found, ",").alias(alias)
+
+    return reached.groupBy("dataset").agg(names("depth = 1", "target_table"), names("depth > 1", "downstream"))

@@ -109,20 +109,24 @@ def amount_consistency(
     )
 
 
-def blast_radius(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+def blast_radius(
+    edges: DataFrame, start: DataFrame, max_depth: int = 64, by: Sequence[str] = ()
+) -> DataFrame:
     """(node, depth): everything downstream of ``start``, at its smallest distance. Runs jobs.
 
-    ``edges(src, dst)``, ``start(node)``. A breadth-first join to the fixpoint: every
-    round joins only the nodes found last against the edges and keeps what is new, so
-    cycles end and each node is expanded once. Each round is a written table, which
+    ``edges(src, dst)``, ``start(node)``; columns named in ``by`` are carried from the
+    start nodes and keep several starts apart. A breadth-first join to the fixpoint:
+    every round joins only the nodes found last against the edges and keeps what is new,
+    so cycles end and each node is expanded once. Each round is a written table, which
     keeps plans short and survives lost executors.
     """
     edges = edges.select("src", "dst")
-    frontier = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
+    frontier = materialize(start.select(*by, "node").distinct().withColumn("depth", F.lit(0)), "reach")
     found = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node"))
-        new = step.distinct().join(found.select("node"), "node", "left_anti")
+        step = frontier.select(*by, F.col("node").alias("src")).join(edges, "src")
+        reached = step.select(*by, F.col("dst").alias("node")).distinct()
+        new = reached.join(found.select(*by, "node"), [*by, "node"], "left_anti")
         frontier = materialize(new.withColumn("depth", F.lit(depth)), "reach")
         if frontier.isEmpty():
             return found

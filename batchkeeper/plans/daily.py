@@ -288,3 +288,113 @@ def close_incidents(
     failed = (F.col("status") == incidents.FAILED, incidents.ESCALATED)
     log_steps(final, [*_entered(incidents.REMEDIATED, incidents.FAILED), failed], audit, as_of, run)
     return final
+
+
+def offending(spark: SparkSession, contract: Contract, layout: Layout, typed: DataFrame, rows: list) -> DataFrame:
+    """Mark (``_bad``) the rows of a batch that its approved incidents are about."""
+    name = rows[0]["dataset"]
+    bad = F.lit(False)
+    references = {k.column: k for k in contract[name].foreign_keys}
+    marked = typed
+    for row in rows:
+        column = row["column_name"]
+        if row["check_name"] == "null_rate":
+            bad = bad | F.col(column).isNull()
+        elif row["check_name"] == "schema" and column in typed.columns:
+            bad = bad | F.array_contains(CAST_ERROR, column)
+        elif row["check_name"] == "foreign_key":
+            reference = references[column]
+            table = layout.table(_table(contract[reference.ref_dataset]))
+            known = tables.read_dimension_table(spark, table).select(F.col(reference.ref_column).alias(f"_{column}"))
+            marked = marked.join(known.distinct(), F.col(column) == F.col(f"_{column}"), "left")
+            bad = bad | (F.col(column).isNotNull() & F.col(f"_{column}").isNull())
+    return marked.withColumn("_bad", bad).select(*typed.columns, "_bad")
+
+
+def apply_decisions(
+    spark: SparkSession,
+    contract: Contract,
+    layout: Layout,
+    ds: str,
+    approvals: DataFrame,
+    as_of: str,
+    dag_id: str = "daily_batches",
+) -> DataFrame:
+    """Act on human decisions about a day's escalated incidents; returns the incidents afterwards.
+
+    A dataset moves on once each of its incidents is approved or declined. Approved:
+    the offending rows go to quarantine, the others are loaded, and the check that
+    failed is run again on what was loaded. Declined: the finding is dismissed and the
+    batch stands. Volume findings have no offending rows; approving one accepts the batch.
+    """
+    configure(spark, layout.landing)
+    registry, audit = layout.table("incidents"), layout.table("incident_audit_trail")
+    day = F.col("execution_date") == F.lit(ds).cast("date")
+    known = materialize(spark.read.parquet(registry).filter(day), "registry")
+    moved = materialize(incidents.apply_approvals(known, approvals), "moved").select(*known.columns)
+    changed = moved.join(known.select("incident_id", F.col("status").alias("was")), "incident_id").filter("status <> was")
+    run = f"{dag_id}-{ds}-approval"
+    log_steps(changed, _entered(incidents.PENDING_APPROVAL, incidents.PENDING, incidents.DECLINED), audit, as_of, run)
+
+    waiting = F.col("status").isin(incidents.ESCALATED, incidents.PENDING_APPROVAL, incidents.FAILED)
+    held = {r["dataset"] for r in moved.filter(waiting).select("dataset").distinct().collect()}
+    approved: dict[str, list] = {}
+    for row in moved.filter(F.col("status") == incidents.PENDING).collect():  # a few per dataset and day
+        approved.setdefault(row["dataset"], []).append(row)
+    dismissed = {r["dataset"] for r in changed.filter(F.col("status") == incidents.DECLINED).collect()}
+
+    verdicts = []
+    for name in sorted((set(approved) | dismissed) - held):
+        d, rows = contract[name], approved.get(name, [])
+        staged = spark.read.parquet(f"{layout.table('staging')}/{name}/{ds}")
+        if not set(d.columns) <= set(staged.columns):
+            verdicts += [(r["incident_id"], incidents.FAILED) for r in rows]  # nothing to load it from
+            continue
+        typed = cast_to_contract(staged, _types(d))
+        if rows:
+            marked = offending(spark, contract, layout, typed, rows)
+            kept, _ = tables.write_split(marked, ~F.col("_bad"), layout.table("approved"), name, ds, "approved repair")
+            typed = spark.read.parquet(kept).select(*typed.columns)
+        load_batch(spark, d, typed, layout, ds)
+        if d.is_fact and any(r["check_name"] == "duplicates" for r in rows):
+            remediation.repair_and_verify(
+                spark, layout.table(_table(d)), layout.table(f"backup/{_table(d)}"), "day", list(d.primary_key),
+                [d.ts_column], [ds], _cluster(d),
+            )
+        verdicts += recheck(spark, contract, layout, d, ds, as_of, rows)
+
+    outcome = literal_table(spark, verdicts, "incident_id string, outcome string")
+    settled = F.when(F.col("status") == incidents.PENDING, F.coalesce("outcome", F.col("status"))).otherwise(F.col("status"))
+    final = materialize(
+        moved.join(F.broadcast(outcome), "incident_id", "left").withColumn("status", settled).select(*known.columns),
+        "final",
+    )
+    tables.write_incidents(final, registry)
+    finished = final.join(F.broadcast(outcome), "incident_id", "left_semi")
+    failed = (F.col("status") == incidents.FAILED, incidents.ESCALATED)
+    log_steps(finished, [*_entered(incidents.REMEDIATED, incidents.FAILED), failed], audit, as_of, run)
+    return final
+
+
+def recheck(
+    spark: SparkSession, contract: Contract, layout: Layout, d: DatasetContract, ds: str, as_of: str, rows: list
+) -> list[tuple[str, str]]:
+    """Run the failed checks again on the loaded batch: [(incident id, outcome)]."""
+    if not rows:
+        return []
+    path = layout.table(_table(d))
+    loaded = tables.read_fact(spark, path, "day", [ds]) if d.is_fact else tables.read_dimension_table(spark, path)
+    references = _references(spark, contract, layout, {})
+    again = quality_checks(spark, d, loaded, references, layout.table("executions"), ds, as_of).collect()
+    passed = {(r["check_name"], r["column_name"]): r["passed"] for r in again}
+    # an accepted volume, lateness or drift has no rows left to judge
+    accepted = {"row_count", "volume_history", "freshness", "schema"}
+    return [
+        (
+            r["incident_id"],
+            incidents.REMEDIATED
+            if r["check_name"] in accepted or passed.get((r["check_name"], r["column_name"]), False)
+            else incidents.FAILED,
+        )
+        for r in rows
+    ]

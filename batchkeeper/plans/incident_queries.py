@@ -16,11 +16,15 @@ from batchkeeper.sources import tables
 
 DAG = "daily_batches"
 
-# What hangs off each dataset: target table and the names downstream of it.
-IMPACT = [
-    ("orders", "fct_orders", "daily_sales_summary"),
-    ("lineitem", "fct_items", "daily_sales_summary"),
-    ("events", "fct_events", "daily_volume"),
+# Declared lineage between datasets, tables and reports.
+LINEAGE = [
+    ("orders", "fct_orders"),
+    ("lineitem", "fct_items"),
+    ("events", "fct_events"),
+    ("fct_orders", "daily_sales_summary"),
+    ("fct_items", "daily_sales_summary"),
+    ("fct_events", "daily_volume"),
+    ("daily_sales_summary", "weekly_sales_forecast"),
 ]
 
 
@@ -271,14 +275,15 @@ SELECT incident_id, task_id, execution_date, failure_category, severity,
   CASE WHEN decision = 'auto_fix' THEN 'RESOLVED' ELSE 'ESCALATED' END AS report_status, error_message AS observed,
   staged_row_count, round(historical_average, 6) AS historical_average, hypothesis, confidence,
   CASE dataset WHEN 'orders' THEN 'fct_orders' WHEN 'lineitem' THEN 'fct_items' ELSE 'fct_events' END AS target_table,
-  CASE dataset WHEN 'events' THEN 'daily_volume' ELSE 'daily_sales_summary' END AS downstream,
+  CASE dataset WHEN 'events' THEN 'daily_volume' ELSE 'daily_sales_summary,weekly_sales_forecast' END AS downstream,
   CASE WHEN decision = 'auto_fix' THEN action ELSE 'none' END AS remediation, escalation_reason,
   CASE WHEN decision = 'auto_fix' THEN 'restore day partition from backup' ELSE 'none' END AS rollback_plan,
   CASE WHEN decision = 'auto_fix' THEN 'none' ELSE 'investigate: ' || hypothesis END AS recommended_action
 FROM decided""",
 )
 def incident_detail(spark, sf):
-    return tidy(incidents.incident_report(_triage(spark, sf), incidents.lineage_impact(spark, IMPACT)))
+    impact = incidents.lineage_impact(spark, LINEAGE, ["orders", "lineitem", "events"])
+    return tidy(incidents.incident_report(_triage(spark, sf), impact))
 
 
 @query(

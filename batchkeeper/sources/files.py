@@ -120,6 +120,25 @@ def read_batches(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated)
 
 
+def landings(
+    spark: SparkSession, contract: DatasetContract, root: str, date_from: str, date_to: str
+) -> DataFrame:
+    """(dataset, batch_date, landed_at) for every day of the range; ``landed_at`` is NULL for absent batches.
+
+    Only file metadata is read: the content column is pruned. A batch of several parts
+    has landed when its last part has.
+    """
+    days = F.sequence(F.lit(date_from).cast("date"), F.lit(date_to).cast("date"))
+    calendar = spark.range(1).select(F.lit(contract.name).alias("dataset"), F.explode(days).alias("batch_date"))
+    paths = list(batch_files(spark, contract, root, date_from, date_to).values())
+    if not paths:
+        return calendar.withColumn("landed_at", F.lit(None).cast("timestamp"))
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    day = F.to_date(F.regexp_extract("path", _date_pattern(contract), 1))
+    landed = seen.groupBy(day.alias("batch_date")).agg(F.max("modificationTime").alias("landed_at"))
+    return calendar.join(landed, "batch_date", "left").select("dataset", "batch_date", "landed_at")
+
+
 def read_task_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run history exported by the scheduler as JSON lines."""
     return spark.read.schema(TASK_RUN_SCHEMA).json(path)

@@ -159,3 +159,9 @@ def test_retries(spark):
 def test_run_status_without_runs(spark):
     runs = spark.createDataFrame([], "state string, at timestamp")
     assert tuple(monitoring.run_status(runs).first()) == ("idle", 0, None, None)
+
+
+def test_impact_follows_the_lineage(spark):
+    edges = [("a", "fct_a"), ("fct_a", "report"), ("report", "board"), ("b", "fct_b"), ("board", "report")]
+    got = {r["dataset"]: (r["target_table"], r["downstream"]) for r in incidents.lineage_impact(spark, edges, ["a", "b"]).collect()}
+    assert got == {"a": ("fct_a", "board,report"), "b": ("fct_b", "")}

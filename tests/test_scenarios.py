@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from batchkeeper.operators import faults
 from batchkeeper.operators.remediation import audit_transitions
-from batchkeeper.plans.daily import Layout, run_day
+from batchkeeper.plans.daily import Layout, apply_decisions, run_day
+from batchkeeper.session import literal_table
 from batchkeeper.retail import retail_contract
 from batchkeeper.sources import files, generate, tables
 
@@ -92,6 +93,39 @@ def test_orphans_escalate_with_their_count(spark, layout, tmp_path):
     assert row["severity"] == "high" and result.halted == ["orders"]
 
 
+def decide(spark, layout, ds, decision):
+    rows = spark.read.parquet(layout.table("incidents")).filter(F.col("execution_date") == F.lit(ds).cast("date"))
+    approvals = rows.select(
+        "incident_id", F.lit("someone").alias("approved_by"), F.lit("").alias("comment"),
+        F.lit(decision).alias("decision"), F.lit("2026-06-20 09:00:00").cast("timestamp").alias("at"),
+    )
+    return apply_decisions(spark, CONTRACT, layout, ds, approvals, "2026-06-20 09:00:00")
+
+
+def test_approved_orphans_are_quarantined_and_the_rest_loaded(spark, layout):
+    ds = "2026-06-04"
+    undecided = apply_decisions(
+        spark, CONTRACT, layout, ds,
+        literal_table(spark, [], "incident_id string, approved_by string, comment string, decision string, at timestamp"),
+        "2026-06-20 08:00:00",
+    )
+    assert [r["status"] for r in undecided.collect()] == ["pending_approval"]
+    assert fct_orders(spark, layout, ds).count() == 0
+    final = decide(spark, layout, ds, "approve")
+    assert [r["status"] for r in final.collect()] == ["remediated"]
+    assert fct_orders(spark, layout, ds).count() == 40
+    aside = spark.read.parquet(f"{layout.table('approved')}/split/orders/{ds}/route=rejected")
+    assert aside.count() == 20 and aside.select("customer_id").distinct().collect() == [("99999",)]
+
+
+def test_declined_finding_lets_the_batch_stand(spark, layout):
+    ds = "2026-06-03"
+    final = decide(spark, layout, ds, "decline")
+    assert [r["status"] for r in final.collect()] == ["declined"]
+    day = fct_orders(spark, layout, ds)
+    assert (day.count(), day.filter("order_total IS NULL").count()) == (60, 15)
+
+
 def test_stale_source_escalates(spark, layout, tmp_path):
     ds = "2026-06-05"
 
@@ -159,7 +193,8 @@ def test_registry_and_audit_agree(spark, layout):
     registry = spark.read.parquet(layout.table("incidents"))
     assert registry.count() == registry.select("incident_id").distinct().count()
     trail = spark.read.parquet(layout.table("incident_audit_trail"))
-    rank = F.when(F.col("state") == "open", 0).when(F.col("state") == "remediation_pending", 1).otherwise(2)
+    order = ["open", "escalated", "pending_approval", "remediation_pending", "remediated"]
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
     steps = audit_transitions(trail.withColumn("rank", rank), tie_break=["rank"])
     assert steps.filter(~F.col("legal")).count() == 0
     assert registry.select("execution_date").distinct().count() == 8

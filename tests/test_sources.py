@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from batchkeeper.operators.checks import landing_sla
 from batchkeeper.operators.keys import duplicate_excess
 from batchkeeper.operators.remediation import repair_and_verify
 from batchkeeper.retail import retail_contract
@@ -38,6 +39,18 @@ def test_batches_with_different_headers_are_read_by_name(spark, tmp_path):
     assert files.read_batches(spark, CONTRACT["orders"], root, "2020-01-01", "2020-01-02").count() == 0
 
 
+def test_landing_times_come_from_the_files(spark, tmp_path):
+    root = str(tmp_path)
+    land(root, "2026-06-01", HEADER)
+    land(root, "2026-06-03", HEADER)
+    for day, hour in (("2026-06-01", 26), ("2026-06-03", 27)):
+        at = datetime.datetime.fromisoformat(day).replace(tzinfo=datetime.timezone.utc).timestamp() + hour * 3600
+        os.utime(f"{root}/orders/orders_{day}.csv", (at, at))
+    seen = files.landings(spark, CONTRACT["orders"], root, "2026-06-01", "2026-06-03")
+    verdict = landing_sla(seen, CONTRACT["orders"].max_delay_hours).orderBy("batch_date")
+    assert [(r["metric"], r["passed"]) for r in verdict.collect()] == [(26.0, True), (None, False), (27.0, False)]
+
+
 def test_json_lines_keep_undeclared_fields_visible(spark, tmp_path):
     path = str(tmp_path / "events.jsonl")
     with open(path, "w", encoding="utf-8") as handle:
