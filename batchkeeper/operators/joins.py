@@ -59,14 +59,17 @@ def orphan_sample(orphans: DataFrame, k: int) -> DataFrame:
 
 def orphan_summary(orphans: DataFrame, k: int) -> DataFrame:
     """Orphaned rows and keys, with a sample of the k lowest keys. Only those k keys are ever collected."""
-    numbered = orphan_sample(orphans, k).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list("fk")), lambda x: x.cast("string")), ",").alias("sample")
-    )
+    none = F.lit(None).cast("bigint")
     totals = orphans.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphan"), F.count(F.lit(1)).alias("n_orphan_keys")
     )
-    one = F.lit(1)
-    return totals.withColumn("_j", one).join(numbered.withColumn("_j", one), "_j").drop("_j")
+    lowest = F.transform(F.sort_array(F.collect_list("fk")), lambda x: x.cast("string"))
+    sample = orphan_sample(orphans, k).agg(F.array_join(lowest, ",").alias("sample"))
+    # one row each; put side by side without a join
+    both = totals.withColumn("sample", F.lit(None).cast("string")).unionByName(
+        sample.select(none.alias("n_orphan"), none.alias("n_orphan_keys"), "sample")
+    )
+    return both.agg(*[F.max(c).alias(c) for c in ("n_orphan", "n_orphan_keys", "sample")])
 
 
 def enrich(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str, Sequence[str]]]) -> DataFrame:
