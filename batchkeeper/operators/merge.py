@@ -19,40 +19,38 @@ def upsert(
 ) -> DataFrame:
     """Matched rows take ``update_cols`` from the source, unmatched source rows are inserted.
 
-    ``source`` must be unique by key (see ``dedupe_latest``). Rows with a NULL in the
-    key match nothing: they stay, or are inserted, outside the join, so they do not
-    pile up in one shuffle partition.
+    ``source`` must be unique by key (see ``dedupe_latest``). A left join for the rows
+    that are there and an anti join, against distinct target keys, for those that are
+    not: unlike one full outer join, both can broadcast a small source and split a key
+    that fills much of the target. Rows with a NULL in the key match nothing: they stay,
+    or are inserted, outside the joins.
     """
     kept, kept_unkeyed = split_null_keys(target, keys)
     given, given_unkeyed = split_null_keys(source, keys)
+    types = {f.name: f.dataType for f in target.schema.fields}
 
-    t = kept.select(*[F.col(c).alias(f"t_{c}") for c in target.columns], F.lit(True).alias("in_target"))
-    s = given.select(*[F.col(c).alias(f"s_{c}") for c in source.columns], F.lit(True).alias("in_source"))
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & (F.col(f"t_{k}") == F.col(f"s_{k}"))
-    joined = t.join(s, condition, "full")
-
-    in_target, in_source = F.col("in_target").isNotNull(), F.col("in_source").isNotNull()
-
-    def merged(c: str):
-        old = F.col(f"t_{c}")
-        if c in keys:
-            return F.coalesce(old, F.col(f"s_{c}")).alias(c)
-        new = F.col(f"s_{c}") if c in source.columns else F.lit(None)
-        updated = new if c in update_cols else old
-        inserted = new if c in insert_cols else F.lit(None)
-        return F.when(in_target & in_source, updated).when(in_target, old).otherwise(inserted).alias(c)
+    taken = [c for c in update_cols if c in source.columns and c not in keys]
+    changes = given.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in taken], F.lit(True).alias("_matched"))
+    joined = kept.join(changes, list(keys), "left")
+    updated = joined.select(
+        *[
+            F.when(F.col("_matched"), F.col(f"_new_{c}").cast(types[c])).otherwise(F.col(c)).alias(c)
+            if c in taken
+            else F.col(c)
+            for c in target.columns
+        ]
+    )
 
-    inserted_unkeyed = given_unkeyed.select(
+    absent = given.join(kept.select(*keys).distinct(), list(keys), "left_anti").unionByName(given_unkeyed)
+    inserted = absent.select(
         *[
             (F.col(c) if c in source.columns and (c in keys or c in insert_cols) else F.lit(None))
-            .cast(target.schema[c].dataType)
+            .cast(types[c])
             .alias(c)
             for c in target.columns
         ]
     )
-    return joined.select(*[merged(c) for c in target.columns]).unionByName(kept_unkeyed).unionByName(inserted_unkeyed)
+    return updated.unionByName(kept_unkeyed).unionByName(inserted)
 
 
 def delete_and_reload(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:

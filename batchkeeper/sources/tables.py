@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -49,22 +49,21 @@ def load_fact_partition(
 
     The rebalance hint lets adaptive execution pack small days together and split a
     day that holds most of the rows, so neither tiny files nor one giant task results.
-    Dynamic overwrite never clears a day that became empty, so days named in ``days``
-    that got no rows are dropped afterwards.
     """
+    _replace_days(df, path, day, days, lambda d: d.hint("rebalance", day).sortWithinPartitions(day, *cluster_by))
+
+
+def _replace_days(
+    df: DataFrame, path: str, day: str, days: Iterable[str], arrange: Callable[[DataFrame], DataFrame]
+) -> None:
+    """Dynamic overwrite never clears a day that became empty: days named but without rows are dropped after it."""
     spark = df.sparkSession
     expected = {str(d) for d in days}
     seen = Observation()
     if expected:
-        df = df.observe(seen, F.collect_set(F.col(day).cast("string")).alias("days"))
-    (
-        df.hint("rebalance", day)
-        .sortWithinPartitions(day, *cluster_by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day)
-        .parquet(path)
-    )
+        df = df.observe(seen, F.collect_set(F.col(day).cast("string")).alias("days"))  # one string per day
+    writer = arrange(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(day).parquet(path)
     if expected:
         for empty in expected - set(seen.get["days"] or []):
             drop_directory(spark, f"{path.rstrip('/')}/{day}={empty}")
@@ -79,13 +78,13 @@ def read_fact(spark: SparkSession, path: str, day: str, days: Sequence[str] | No
 
 
 def backup_partition(spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str]) -> None:
-    """Copy day slices aside before anything rewrites them."""
-    load_fact_partition(read_fact(spark, path, day, days), backup, day, days=days)
+    """Copy day slices aside before anything rewrites them. The slices are laid out already: no shuffle."""
+    _replace_days(read_fact(spark, path, day, days), backup, day, days, lambda d: d)
 
 
 def restore_partition(spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str]) -> None:
     """Put the backed-up day slices back in place; a day that was absent then is dropped again."""
-    load_fact_partition(read_fact(spark, backup, day, days), path, day, days=days)
+    _replace_days(read_fact(spark, backup, day, days), path, day, days, lambda d: d)
 
 
 def merge_into_fact(
