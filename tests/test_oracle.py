@@ -19,7 +19,10 @@ def connection():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
-    assert compare(spark, connection, SF, name, QUERIES[name], ORACLE.get(name)) is None
+    problem = compare(spark, connection, SF, name, QUERIES[name], ORACLE.get(name))
+    # the smallest data set holds no repeated (order, line, day), which both of these start from
+    may_be_empty = ("business_key_dups", "touched_days")
+    assert problem is None or (problem == "equal but empty" and name in may_be_empty)
 
 
 def test_every_query_has_sql():
