@@ -49,7 +49,7 @@ def remediate_duplicates(
     Reads from the backup and writes to the table, so nothing is overwritten while it
     is being read, and a crash between the two steps can simply be run again.
     """
-    backup_partition(spark, path, backup, day, days)
+    backup_partition(spark, path, backup, day, days, cluster_by)
     # the day is part of the key: the same key on another day is another row
     repaired = dedupe_latest(read_fact(spark, backup, day, days), [day, *[k for k in key if k != day]], newest_by)
     load_fact_partition(repaired, path, day, cluster_by, days=days)
@@ -78,7 +78,7 @@ def repair_and_verify(
     verdicts = {str(r["batch_date"]): r["passed"] for r in verify_days(spark, path, day, key, days).collect()}
     still_bad = [d for d in days if not verdicts.get(d, False)]
     if still_bad:
-        restore_partition(spark, path, backup, day, still_bad)
+        restore_partition(spark, path, backup, day, still_bad, cluster_by)
     return [(d, FAILED if d in still_bad else REMEDIATED) for d in days]
 
 

@@ -11,7 +11,7 @@ from batchkeeper.plans.contract_checks import all_checks, checks_ctes
 from batchkeeper.plans.inputs import tidy
 from batchkeeper.plans.registry import query
 from batchkeeper.retail import POLICY
-from batchkeeper.session import new_scratch
+from batchkeeper.session import materialize, new_scratch
 from batchkeeper.sources import tables
 
 DAG = "daily_batches"
@@ -309,22 +309,16 @@ def incident_registry(spark, sf):
     path = new_scratch(spark, "incidents")
     rows = _triage(spark, sf)
     tables.write_incidents(rows, path)
-    tables.write_incidents(spark.read.parquet(path).transform(_aside), path)
+    tables.write_incidents(materialize(spark.read.parquet(path), "rerun"), path)
     return spark.read.parquet(path).select("incident_id", "execution_date", "failure_category", "status", "n_bad")
 
 
-def _aside(df):
-    from batchkeeper.session import materialize
-
-    return materialize(df, "rerun")
-
-
 @query(
     "audit_trail",
     "WITH " + INCIDENTS_SQL + """
 SELECT incident_id, CASE WHEN decision = 'auto_fix' THEN 'remediated' ELSE 'escalated' END AS state,
   CASE WHEN decision = 'auto_fix' THEN '2024-02-01 02:10:00' ELSE '2024-02-01 02:05:00' END AS last_at,
-  CASE WHEN decision = 'auto_fix' THEN 3 ELSE 2 END AS n_steps
+  CAST(CASE WHEN decision = 'auto_fix' THEN 3 ELSE 2 END AS BIGINT) AS n_steps
 FROM decided""",
 )
 def audit_trail(spark, sf):

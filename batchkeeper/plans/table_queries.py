@@ -140,7 +140,7 @@ ITEM_KEY = ["l_orderkey", "l_linenumber"]
     "remediate_duplicates",
     """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS batch_date, count(*) AS rows_before,
   count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS excess_before,
-  count(DISTINCT (l_orderkey, l_linenumber)) AS rows_after, 0 AS excess_after
+  count(DISTINCT (l_orderkey, l_linenumber)) AS rows_after, CAST(0 AS BIGINT) AS excess_after
 FROM lineitem GROUP BY 1""",
 )
 def remediate_duplicates(spark, sf):

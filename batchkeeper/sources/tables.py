@@ -77,14 +77,19 @@ def read_fact(spark: SparkSession, path: str, day: str, days: Sequence[str] | No
     return df.filter(F.col(day).isin([F.lit(str(d)).cast("date") for d in days]))
 
 
-def backup_partition(spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str]) -> None:
+def backup_partition(
+    spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str], cluster_by: Sequence[str] = ()
+) -> None:
     """Copy day slices aside before anything rewrites them. The slices are laid out already: no shuffle."""
-    _replace_days(read_fact(spark, path, day, days), backup, day, days, lambda d: d)
+    rows = read_fact(spark, path, day, days)
+    _replace_days(rows, backup, day, days, lambda d: d.sortWithinPartitions(day, *cluster_by))
 
 
-def restore_partition(spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str]) -> None:
+def restore_partition(
+    spark: SparkSession, path: str, backup: str, day: str, days: Sequence[str], cluster_by: Sequence[str] = ()
+) -> None:
     """Put the backed-up day slices back in place; a day that was absent then is dropped again."""
-    _replace_days(read_fact(spark, backup, day, days), path, day, days, lambda d: d)
+    backup_partition(spark, backup, path, day, days, cluster_by)
 
 
 def merge_into_fact(

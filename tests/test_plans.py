@@ -54,7 +54,8 @@ def test_day_directories_are_pruned(spark, tmp_path):
 
 
 def test_one_scan_serves_all_checks_of_a_dataset(spark):
-    profile = checks.batch_profile(inputs.orders(spark, SF), "orders", "batch_date", ["o_orderkey"], ["o_custkey"], ts="o_orderdate")
+    orders = inputs.orders(spark, SF)
+    profile = checks.batch_profile(orders, "orders", "batch_date", ["o_orderkey"], ["o_custkey"], ts="o_orderdate")
     bounded = checks.with_newest(checks.fill_missing_batches(checks.relative_bounds(profile, 0.2, 0.2), "1 month"))
     rows = checks.rows_of(
         bounded, checks.row_count_row(), checks.duplicate_row(["o_orderkey"]), checks.null_rate_row("o_custkey", 0.0),
