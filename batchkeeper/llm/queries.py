@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
 
@@ -17,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.encode("kept_text", "UTF-8"), 256)
+    return found.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
+
+
+QUERIES["op6_debruijn"] = op6_debruijn
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
