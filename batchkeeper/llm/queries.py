@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchkeeper.llm import mixing
+from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
+from batchkeeper.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,6 +22,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op1_lattice"] = op1_lattice
+
+
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.encode("kept_text", "UTF-8"), 256)
@@ -33,3 +43,14 @@ def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_superminhash"] = op9_superminhash
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.measured(_table(spark, sf_dir, "documents"))
+    sized = materialize(sized.select("doc_id", "source", "mix_size", "mix_key"), "sizes")
+    mixed = mixing.mix(sized)
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+
+
+QUERIES["op10_mixing"] = op10_mixing
+ORACLE["op10_mixing"] = mixing.SQL

@@ -7,8 +7,11 @@ Hashes wrap modulo 2**64 and depend on nothing but the bytes, on whatever execut
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +32,26 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings the corpus operators rely on; memory, cores and shuffle partitions stay with the cluster."""
+    """Settings the corpus operators rely on; memory, cores and shuffle partitions stay with the cluster.
+
+    Python workers get this package's sources from the driver, so nothing need be installed on executors.
+    """
     configure(spark)
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    if package.is_dir() and context.applicationId not in _shipped:
+        archive = Path(tempfile.mkdtemp(prefix="sources-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
     return spark
 
 
