@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
 from batchkeeper.llm.lattice import near_vectors
+from batchkeeper.llm.packing import pack
 from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
@@ -29,6 +30,18 @@ def op1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_lattice"] = op1_lattice
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES["op2_packing"] = op2_packing
+
+
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.encode("kept_text", "UTF-8"), 256)
