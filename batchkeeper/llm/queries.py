@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from batchkeeper.llm import mixing
 from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.packing import pack
+from batchkeeper.llm.quality import quality_rules
 from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
@@ -51,6 +52,13 @@ def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op6_debruijn"] = op6_debruijn
 
 
+def op7_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_boosted_rules"] = op7_boosted_rules
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
