@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
 from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.packing import pack
 from batchkeeper.llm.quality import quality_rules
+from batchkeeper.llm.secrets import scan_secrets
 from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
@@ -59,6 +60,25 @@ def op7_boosted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_boosted_rules"] = op7_boosted_rules
 
 
+def op8_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secret_spans", lambda s: s["kind"] != "entropy")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("secret_spans")).alias("spans"),
+    )
+
+
+QUERIES["op8_entropy"] = op8_entropy
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 

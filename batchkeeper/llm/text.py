@@ -105,25 +105,33 @@ class Words:
         return mix(np.add.reduceat(values, at) + lens.astype(np.uint64) * np.uint64(WORD_STEP))
 
 
-def words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; null is an empty text. ``lower`` folds A to Z, and no other letter."""
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' bytes in a row, and where each begins and the last ends; null is an empty text."""
     filled = texts.cast(pa.large_string()).fill_null("")
     _, ends, content = filled.buffers()
     offsets = np.frombuffer(ends, dtype=np.int64)[filled.offset : filled.offset + len(filled) + 1]
     data = np.frombuffer(content, dtype=np.uint8)[offsets[0] : offsets[-1]] if content else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
-    if lower:
-        data = LOWER[data]
-    inside = IS_WORD[data]
-    borders = offsets[(offsets > 0) & (offsets < len(data))]
-    begins = inside.copy()
+    return data, offsets - offsets[0]
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of true values that stay within one text."""
+    borders = offsets[(offsets > 0) & (offsets < len(inside))]
+    begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[borders] = inside[borders]
-    stops = inside.copy()
     stops[:-1] &= ~inside[1:]
     stops[borders - 1] = inside[borders - 1]
-    starts = np.flatnonzero(begins)
-    return Words(data, offsets, starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets))
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def words(texts: pa.Array, lower: bool = False) -> Words:
+    """Words of each text; null is an empty text. ``lower`` folds A to Z, and no other letter."""
+    data, offsets = utf8(texts)
+    if lower:
+        data = LOWER[data]
+    starts, ends = runs(IS_WORD[data], offsets)
+    return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
 def windows(hashes: np.ndarray, n: int, step: int = WORD_STEP) -> np.ndarray:
