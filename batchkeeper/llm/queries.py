@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
+from batchkeeper.llm.html_text import extract_text
 from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.packing import pack
 from batchkeeper.llm.quality import quality_rules
@@ -44,6 +45,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_packing"] = op2_packing
 
 
+def op5_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_tag_ratio"] = op5_tag_ratio
+
+
 def op6_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(_table(spark, sf_dir, "documents"))
     digest = F.sha2(F.encode("kept_text", "UTF-8"), 256)
