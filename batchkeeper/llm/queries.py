@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
 from batchkeeper.llm.html_text import extract_text
+from batchkeeper.llm.language import identify
 from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.packing import pack
 from batchkeeper.llm.quality import quality_rules
@@ -45,6 +46,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_packing"] = op2_packing
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_mixture"] = op3_mixture
+
+
 def op5_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
