@@ -9,8 +9,8 @@ its whole word sequence. Two texts are linked if their Jaccard similarity is 0.7
 2. Texts with equal sets (equal 128-bit fingerprints) become one class, so exact copies cost nothing further.
 3. Classes that share a band (4 of 128 values) meet. A pair at 0.75 misses all 32 bands with a probability of 5e-6.
 4. In each bucket every class is verified against the bucket's smallest id, on full sets. Classes not yet in
-   one component are then compared by signature, block against block inside tasks, and what could still reach
-   the threshold is verified as well. No bucket is capped, and pairs already in one component are not listed.
+   one component are then compared block against block inside tasks: by signature, and what could still reach the
+   threshold on full sets. Only links that join components leave a task. No bucket is capped.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchkeeper.llm.graph import components
+from batchkeeper.llm.graph import UnionFind, components
 from batchkeeper.llm.text import BYTE_STEP, by_batch, column, mix, prepare, windows, words
 from batchkeeper.session import materialize
 
@@ -31,7 +31,7 @@ PERCENT = 75
 VALUES = 128
 ROWS = 4
 BANDS = VALUES // ROWS
-BLOCK = 512
+BLOCK = 256
 # a signature of 128 values that agrees in under 74 (0.58) is that of a pair at 0.75 once in 100,000 times
 AGREE = 74
 
@@ -113,45 +113,65 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.where(100 * common >= PERCENT * union).select("a", "b")
 
 
+def _block_links(rows: pa.Table, crossed: bool, band: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components of one block; those that join nothing new need not be told."""
+    node, comp, size, part = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "chunk"))
+    keys = np.stack(rows.column("bands").to_numpy(zero_copy_only=False)).astype(np.int64)
+    values = keys.view(np.uint16)
+    flat = np.concatenate(rows.column("shingles").to_numpy(zero_copy_only=False))
+    names, shingle = np.unique(flat, return_inverse=True)
+    first = np.concatenate(([0], np.cumsum(size)))
+    mine = np.zeros(len(names), dtype=bool)
+    groups = UnionFind()
+    roots = comp.copy()
+    links = []
+    for i in range(len(node) - 1):
+        rest = slice(i + 1, None)
+        open_ = roots[rest] != roots[i]
+        if crossed:
+            open_ &= part[rest] != part[i]
+        open_ &= 100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i])
+        at = np.flatnonzero(open_) + i + 1
+        # a pair that shares several bands is looked at in the first of them
+        at = at[(keys[at, :band] != keys[i, :band]).all(axis=1)]
+        at = at[(values[at] == values[i]).sum(axis=1) >= AGREE]
+        if not len(at):
+            continue
+        own = shingle[first[i] : first[i + 1]]
+        mine[own] = True
+        theirs = np.concatenate([shingle[first[j] : first[j + 1]] for j in at])
+        begin = np.concatenate(([0], np.cumsum(size[at])[:-1]))
+        common = np.add.reduceat(mine[theirs].astype(np.int64), begin)
+        mine[own] = False
+        for j in at[100 * common >= PERCENT * (size[at] + size[i] - common)]:
+            if groups.root(int(comp[i])) != groups.root(int(comp[j])):
+                groups.link(int(comp[i]), int(comp[j]))
+                links.append((max(node[i], node[j]), min(node[i], node[j])))
+                roots[roots == roots[j]] = roots[i]
+    if links:
+        a, b = zip(*links, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block; gives pairs of different components whose signatures and sizes allow a link."""
+    """Rows sorted by block: gathers one block at a time."""
     held: list[pa.RecordBatch] = []
-    now = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held)
-        node, comp, size, part = (
-            rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "chunk")
-        )
-        values = np.stack(rows.column("bands").to_numpy(zero_copy_only=False)).view(np.uint16)
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            open_ = comp[rest] != comp[i]
-            if now[2] != now[3]:
-                open_ &= part[rest] != part[i]
-            open_ &= 100 * np.minimum(size[rest], size[i]) >= PERCENT * np.maximum(size[rest], size[i])
-            at = np.flatnonzero(open_) + i + 1
-            at = at[(values[at] == values[i]).sum(axis=1) >= AGREE]
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.maximum(node[at], node[i])), pa.array(np.minimum(node[at], node[i]))], names=["a", "b"]
-                )
-
+    now: tuple | None = None
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "key", "low", "high")), strict=True))
         begin = 0
-        for i in range(len(keys) + 1):
-            if i == len(keys) or keys[i] != keys[begin]:
-                if keys[begin] != now:
-                    if held:
-                        yield from flush()
-                    held, now = [], keys[begin]
-                held.append(batch.slice(begin, i - begin))
-                begin = i
-                if i == len(keys):
-                    break
+        while begin < len(keys):
+            end = begin + 1
+            while end < len(keys) and keys[end] == keys[begin]:
+                end += 1
+            if keys[begin] != now:
+                if held:
+                    yield from _block_links(pa.Table.from_batches(held), now[2] != now[3], now[0])
+                held, now = [], keys[begin]
+            held.append(batch.slice(begin, end - begin))
+            begin = end
     if held:
-        yield from flush()
+        yield from _block_links(pa.Table.from_batches(held), now[2] != now[3], now[0])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialize(verified(pairs, sets), "links")
 
     if not links.isEmpty() or not pairs.isEmpty():
-        more = verified(_open_pairs(members, rows, components(links, "a", "b")).join(pairs, ["a", "b"], "left_anti"), sets)
+        more = _open_links(members, rows, sets, components(links, "a", "b"))
         links = materialize(links.unionByName(more), "links")
     groups = materialize(components(links, "a", "b"), "groups")
     out = rows.drop("bands").join(groups, "node", "left")
@@ -200,20 +220,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _open_pairs(members: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs that share a bucket of three or more, lie in different components, and look alike by signature."""
+def _open_links(members: DataFrame, rows: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links between components among the members of buckets of three or more, block against block."""
     groups = materialize(groups, "groups")
-    placed = materialize(
-        members.where("n > 2")
-        .join(groups, "node", "left")
-        .withColumn("component", F.coalesce("component", "node")),
-        "placed",
-    )
+    placed = members.where("n > 2").join(groups, "node", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "node")), "placed")
     torn = placed.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("most"))
     torn = materialize(torn.where("low < most").drop("low", "most"), "torn")
     loose = placed.join(torn, ["band", "key"])
-    signatures = rows.where("bands is not null").select("node", "bands")
-    loose = loose.join(signatures, "node")
+    loose = loose.join(rows.where("bands is not null").select("node", "bands"), "node").join(sets, "node")
     # blocks of about BLOCK classes: each class meets every block of its bucket, in one task for each two blocks
     chunks = F.ceil(F.col("n") / BLOCK).cast("long")
     loose = loose.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
@@ -221,7 +236,6 @@ def _open_pairs(members: DataFrame, rows: DataFrame, groups: DataFrame) -> DataF
     block = ["band", "key", "low", "high"]
     loose = loose.select(
         "band", "key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
-        "chunk", "node", "component", "n_shingles", "bands",
+        "chunk", "node", "component", "n_shingles", "bands", "shingles",
     )
-    dealt = loose.repartition(*block).sortWithinPartitions(*block)
-    return dealt.mapInArrow(_compare, PAIR).distinct()
+    return loose.repartition(*block).sortWithinPartitions(*block).mapInArrow(_compare, PAIR).distinct()
