@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
+from batchkeeper.llm.cotraining import classify
 from batchkeeper.llm.html_text import extract_text
 from batchkeeper.llm.language import identify
 from batchkeeper.llm.lattice import near_vectors
@@ -53,6 +54,13 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_mixture"] = op3_mixture
 
 
+def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_cotraining"] = op4_cotraining
+
+
 def op5_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
