@@ -9,6 +9,7 @@ batch of documents walks all of them together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +43,6 @@ FEATURES = {
     "words_a_line": 0,
 }
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
 
 
 def _set(members: bytes) -> np.ndarray:
@@ -212,43 +212,75 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray) -> Trees | None:
     )
 
 
-def _statistics(batch: pa.RecordBatch) -> dict:
-    stats = statistics(column(batch, "text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
+    """Trees from the labelled rows of ``docs``; None without labels of both kinds.
+
+    ``labels`` has the id and ``quality``, 1 or 0; rows with null in either, or of no document, teach nothing.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = known.where("quality in (0, 1)").distinct()
+    texts = _texts(docs, id_col, text_col)
+    known = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    # a table of at most MAX_LABELLED rows
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(MAX_LABELLED), "labelled")
+
+    def describe(batch: pa.RecordBatch) -> dict:
+        features = statistics(column(batch, "text"))["features"]
+        return {
+            "doc_id": column(batch, "doc_id"), "quality": column(batch, "quality"),
+            "features": pa.array(list(features), pa.list_(pa.float64())),
+        }
+
+    taught = by_batch(texts.join(sample, "doc_id"), "doc_id long, quality int, features array<double>", describe)
+    rows = taught.orderBy("doc_id", "quality", "features").toArrow()
+    if not rows.num_rows:
+        return None
+    x = np.stack(rows.column("features").to_numpy())
+    return fit(x, rows.column("quality").to_numpy().astype(np.float64), np.array(list(FEATURES.values())))
+
+
+def _judge(trees: Trees | None, texts: pa.Array) -> dict[str, np.ndarray]:
+    """The counts, ``base_failed``, ``score`` (NaN without trees) and ``kept`` of each text."""
+    stats = statistics(texts)
     features = stats.pop("features")
-    return {"doc_id": column(batch, "doc_id")} | stats | {"features": pa.array(list(features), pa.list_(pa.float64()))}
+    n, repeated = stats["n_words"], stats["n_repeat_words"]
+    failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
+    score = np.full(len(n), np.nan) if trees is None else trees.score(features)
+    return stats | {"base_failed": failed, "score": score, "kept": ~failed & ~(score < 0.5)}
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the counts, ``base_failed``, ``score`` and ``kept`` for each row of ``docs``.
 
-    ``labels`` has the id and ``quality``, 1 or 0; rows with null in either, or of no document, teach nothing.
     ``kept`` is false where a base rule fails, and where the trees give the label 1 less than one half. Without
     labels of both kinds the base rules decide, and ``score`` is null. Null and empty texts have no words, and
     fail. Rows that share an id are judged each by its own text. Other columns are ignored; an empty table
     gives none.
     """
     prepare(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    stats = materialize(by_batch(texts, STATS, _statistics), "statistics")
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    sample = stats.join(known.where("quality in (0, 1)"), "doc_id")
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "n_words", "word_chars", "quality").limit(MAX_LABELLED)
-    taught = sample.select("features", "quality").toArrow()
-    trees = None
-    if taught.num_rows:
-        x = np.stack(taught.column("features").to_numpy())
-        trees = fit(x, taught.column("quality").to_numpy().astype(np.float64), np.array(list(FEATURES.values())))
-
-    def judge(batch: pa.RecordBatch) -> dict:
-        n, repeated = (column(batch, c).to_numpy() for c in ("n_words", "n_repeat_words"))
-        failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
-        score = pa.nulls(len(n), pa.float64())
-        kept = ~failed
-        if trees is not None:
-            found = trees.score(np.stack(column(batch, "features").to_numpy(zero_copy_only=False)))
-            score, kept = pa.array(found), kept & (found >= 0.5)
-        out = {c: column(batch, c) for c in ("doc_id", *COUNTS)}
-        return out | {"base_failed": pa.array(failed), "score": score, "kept": pa.array(kept)}
-
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
-    return by_batch(stats, schema, judge)
+    trees = learn(docs, labels, id_col, text_col)
+
+    def rows(batch: pa.RecordBatch) -> dict:
+        found = _judge(trees, column(batch, "text"))
+        score = pa.array(found.pop("score"), from_pandas=True)
+        return {"doc_id": column(batch, "doc_id")} | found | {"score": score}
+
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
+    return by_batch(_texts(docs, id_col, text_col), schema, rows)
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`quality_rules` keeps."""
+    prepare(docs.sparkSession)
+    trees = learn(docs, labels, id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(_judge(trees, column(batch, text_col))["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchkeeper.llm.text import by_batch, column, prepare, runs, utf8
 
@@ -149,7 +150,7 @@ def scan(texts: pa.Array) -> list[list[Span]]:
     return out
 
 
-SPANS = "array<struct<kind: string, start: long, end: long>>"
+SPAN_FIELDS = T.StructType.fromDDL("secret_spans array<struct<kind: string, start: long, end: long>>, redacted string").fields
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -161,7 +162,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     prepare(docs.sparkSession)
     source = docs.drop("secret_spans", "redacted").withColumn(text_col, F.col(text_col).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    schema = T.StructType([*source.schema, *SPAN_FIELDS])
 
     def rows(batch: pa.RecordBatch) -> dict:
         texts = column(batch, text_col)
@@ -172,4 +173,4 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "secret_spans": pa.array(spans, SPAN_TYPE), "redacted": pa.array(clean, pa.string())
         }
 
-    return by_batch(source, f"{schema}, secret_spans {SPANS}, redacted string", rows)
+    return by_batch(source, schema, rows)

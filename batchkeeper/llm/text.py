@@ -16,6 +16,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from batchkeeper.session import configure
 
@@ -150,7 +151,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def by_batch(
-    df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array] | None]
+    df: DataFrame, schema: str | StructType, rows: Callable[[pa.RecordBatch], dict[str, list | np.ndarray | pa.Array] | None]
 ) -> DataFrame:
     """``rows`` turns each Arrow batch into columns of ``schema``; None gives no rows."""
 
