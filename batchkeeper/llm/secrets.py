@@ -150,7 +150,8 @@ def scan(texts: pa.Array) -> list[list[Span]]:
     return out
 
 
-SPAN_FIELDS = T.StructType.fromDDL("secret_spans array<struct<kind: string, start: long, end: long>>, redacted string").fields
+SPAN = T.StructType().add("kind", T.StringType()).add("start", T.LongType()).add("end", T.LongType())
+SPAN_FIELDS = [T.StructField("secret_spans", T.ArrayType(SPAN)), T.StructField("redacted", T.StringType())]
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
