@@ -35,7 +35,11 @@ ANCHOR = 16
 SLICE = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 
-PIECES = "doc_id long, start long, n long, anchor long, words long"
+#: Equal windows agree on the anchor and, of the 34 other words, on the 17 before it or on the 17 after it.
+HALF = (WINDOW - ANCHOR) // 2
+
+PIECES = "doc_id long, start long, n long, anchor long, words long, sides long"
+COLUMNS = ("doc_id", "start", "n", "anchor", "words", "sides")
 
 
 def _smallest(values: np.ndarray, n: int) -> np.ndarray:
@@ -48,7 +52,11 @@ def _smallest(values: np.ndarray, n: int) -> np.ndarray:
 
 
 def pieces(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``start, n, anchor, words`` of the pieces of one document: ``n`` windows from word ``start`` on."""
+    """``start, n, anchor, words, sides`` of the pieces of one document: ``n`` windows from word ``start`` on.
+
+    ``words`` is a hash of all the piece's words. ``sides`` holds 32 bits for the anchor with the words before it,
+    and 32 for it with those after it; a half is 0 where no window of the piece reaches so far.
+    """
     out = []
     inverse = pow(BYTE_STEP, -1, 1 << 64)
     for base in range(0, len(hashes) - WINDOW + 1, SLICE):
@@ -58,9 +66,21 @@ def pieces(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
         place = _smallest(packed, WINDOW - ANCHOR + 1) & PLACE
         start = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         n = np.diff(np.append(start, len(place)))
-        sums = np.concatenate(([0], np.cumsum(own * powers(BYTE_STEP, len(own)), dtype=np.uint64))).astype(np.uint64)
-        text = (sums[start + n + WINDOW - 1] - sums[start]) * powers(inverse, len(own))[start]
-        out.append((start + base, n, runs[place[start].astype(np.int64)], mix(text)))
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(own * powers(BYTE_STEP, len(own)), out=sums[1:])
+        unshift = powers(inverse, len(own))
+
+        def of(first: np.ndarray, last: np.ndarray, sums: np.ndarray = sums, unshift: np.ndarray = unshift) -> np.ndarray:
+            """A hash of the words from each first to before each last."""
+            return mix((sums[last] - sums[first]) * unshift[first])
+
+        text = of(start, start + n + WINDOW - 1)
+        at = place[start].astype(np.int64)
+        low = np.maximum(at - HALF, 0)
+        high = np.minimum(at + ANCHOR + HALF, len(own))
+        before = np.where(at - HALF >= start, of(low, at + ANCHOR) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        after = np.where(at - HALF <= start + n - 1, of(at, high) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        out.append((start + base, n, runs[at], text, before << np.uint64(32) | after))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -72,13 +92,11 @@ def _pieces(batch: pa.RecordBatch) -> dict | None:
     for i, doc in enumerate(ids):
         own = hashes[found.first[i] : found.first[i + 1]]
         if len(own) >= WINDOW:
-            start, n, anchor, text = pieces(own)
-            rows.append((np.full(len(n), doc, dtype=np.int64), start, n, anchor.view(np.int64), text.view(np.int64)))
+            start, n, *hashed = pieces(own)
+            rows.append((np.full(len(n), doc, dtype=np.int64), start, n, *(x.view(np.int64) for x in hashed)))
     if not rows:
         return None
-    return dict(
-        zip(("doc_id", "start", "n", "anchor", "words"), (np.concatenate(x) for x in zip(*rows, strict=True)), strict=True)
-    )
+    return dict(zip(COLUMNS, (np.concatenate(x) for x in zip(*rows, strict=True)), strict=True))
 
 
 def _digest(found: list[bytes]) -> bytes:
@@ -145,12 +163,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     anchors = materialize(anchors.where("low < high").select("anchor"), "anchors")
     shared = materialize(found.join(anchors, "anchor"), "shared")
     distinct = shared.groupBy(*piece).agg(
-        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("times")
+        F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.count("*").alias("times"),
+        F.min("sides").alias("sides"),
     )
     distinct = materialize(distinct, "distinct")
-    variants = distinct.groupBy("anchor").agg(F.count("*").alias("variants"))
-    distinct = materialize(distinct.join(materialize(variants.where("variants > 1"), "variants"), "anchor", "left"), "known")
-    at = materialize(shared.join(distinct, piece), "occurrences")
+    # branches: different pieces that may share a window, as they agree on the anchor and the words on one side
+    half = F.explode(F.array(F.shiftright("sides", 32), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(1 << 33)))
+    halves = distinct.select(*piece, half.alias("half")).where(~F.col("half").isin(0, 1 << 33))
+    met = halves.groupBy("anchor", "half").agg(F.count("*").alias("pieces")).where("pieces > 1").drop("pieces")
+    branches = halves.join(materialize(met, "met"), ["anchor", "half"]).select(*piece, F.lit(True).alias("branch")).distinct()
+    distinct = materialize(distinct.drop("sides").join(materialize(branches, "branches"), piece, "left"), "known")
+    at = materialize(shared.drop("sides").join(distinct, piece), "occurrences")
 
     # links: all occurrences of one piece lead to the other, and all of the other come from it
     many = at.where("source < last")
@@ -173,7 +196,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     wanted = paths.select(
         F.col("source").alias("doc_id"), F.col("head").alias("start"), F.col("path_n").alias("n"), F.lit(True).alias("path")
     ).unionByName(
-        at.where("variants > 1 and doc_id = source").select("doc_id", "start", "n", F.lit(False).alias("path"))
+        at.where("branch and doc_id = source").select("doc_id", "start", "n", F.lit(False).alias("path"))
     )
     wanted = materialize(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "path")).alias("wanted")), "wanted")
     digests = by_batch(

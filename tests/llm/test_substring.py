@@ -63,7 +63,18 @@ def test_empty_table(spark):
 def test_pieces_tile_the_windows():
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 2**63, 500).astype(np.uint64)
-    start, n, _, _ = pieces(hashes)
+    start, n, *_ = pieces(hashes)
     assert start[0] == 0
     assert (start[1:] == start[:-1] + n[:-1]).all()
     assert n.sum() == 500 - WINDOW + 1
+
+
+def test_equal_words_make_equal_pieces_wherever_they_stand():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 2**63, 300).astype(np.uint64)
+    found = []
+    for lead in (0, 7, 400):
+        text = np.concatenate((rng.integers(0, 2**63, lead).astype(np.uint64), passage, rng.integers(0, 2**63, 90).astype(np.uint64)))
+        _, n, anchor, own, sides = pieces(text)
+        found.append(set(zip(n.tolist(), anchor.tolist(), own.tolist(), sides.tolist(), strict=True)))
+    assert len(found[0] & found[1] & found[2]) > 8
