@@ -63,14 +63,14 @@ def entropy_windows(text: str, limit: float, size: int = WINDOW) -> list[tuple[i
     out: list[tuple[int, int]] = []
     most = (math.log2(size) - limit) * size + 1e-9
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _TERM[n + 1] - _TERM[n]
         if i >= size:
             gone = text[i - size]
             n = counts[gone]
             counts[gone] = n - 1
             total += _TERM[n - 1] - _TERM[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += _TERM[n + 1] - _TERM[n]
         if i >= size - 1 and total <= most:
             if out and out[-1][1] >= i - size + 1:
                 out[-1] = (out[-1][0], i + 1)
