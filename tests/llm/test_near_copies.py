@@ -1,7 +1,6 @@
 """SuperMinHash near copies and lattice cells against all-pairs versions."""
 
 import random
-import re
 
 import numpy as np
 import pytest
@@ -9,31 +8,7 @@ import pytest
 from batchkeeper.llm.graph import UnionFind, components
 from batchkeeper.llm.lattice import cells, decode, near_vectors, roots
 from batchkeeper.llm.superminhash import near_duplicates, signature
-
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def shingles(text):
-    found = WORDS.findall((text or "").translate(FOLD))
-    return frozenset(tuple(found[i : i + 5]) for i in range(max(1, len(found) - 4))) if found else frozenset()
-
-
-def groups(ids, linked):
-    found = UnionFind()
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if a is not None and b is not None and linked(a, b):
-                found.link(a, b)
-    return found
-
-
-def near(text, rng, changes):
-    found = text.split(" ")
-    for _ in range(changes):
-        found[rng.randrange(len(found))] = f"new{rng.randrange(10**6)}"
-    return " ".join(found)
-
+from tests_support import groups_of, near, shingles
 
 def corpus():
     rng = random.Random(5)
@@ -56,7 +31,7 @@ def test_groups_equal_all_pairs(spark):
     rows = [(i, t, "x", 0.5) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bands string, n_shingles double").repartition(5)
     sets = [shingles(t) for t in texts]
-    want = groups(
+    want = groups_of(
         list(range(len(texts))),
         lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]),
     )
