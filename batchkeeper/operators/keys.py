@@ -8,24 +8,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchkeeper.operators.predicates import split_null_keys
+from batchkeeper.session import materialize
 
 
 def dedupe_latest(df: DataFrame, key: Sequence[str], newest_by: Sequence[str]) -> DataFrame:
     """One row per key: the newest by ``newest_by``, ties broken by all other columns.
 
-    An aggregate instead of a ranking window: each task first reduces its own rows to
-    one per key, so a key that holds a third of the table reaches the shuffle as one
-    row per task and never has to fit, or be sorted, in a single one. Rows whose key
-    has a NULL cannot be told apart and are all kept.
+    Keys that occur more than once are found by a count over the key columns alone and
+    written out (this runs a job), so their true size is known. Only their rows go through
+    an aggregate, which first reduces each task's rows to one per key: a key that holds a
+    third of the table never has to fit, or be sorted, in one task. All other rows pass as
+    they are. Rows whose key has a NULL cannot be told apart and are all kept.
     """
     keyed, unkeyed = split_null_keys(df, key)
     lead = [c for c in newest_by if c not in key]
     ordered = lead + [c for c in df.columns if c not in key and c not in lead]
     if not ordered:
-        newest = keyed.dropDuplicates(list(key))
-    else:
-        newest = keyed.groupBy(*key).agg(F.max(F.struct(*ordered)).alias("_newest")).select(*key, "_newest.*")
-    return newest.select(*df.columns).unionByName(unkeyed)
+        return keyed.dropDuplicates(list(key)).select(*df.columns).unionByName(unkeyed)
+    repeated = materialize(duplicate_keys(df, key).select(*key), "repeated_keys")
+    several = keyed.join(repeated, list(key), "left_semi")
+    newest = several.groupBy(*key).agg(F.max(F.struct(*ordered)).alias("_newest")).select(*key, "_newest.*")
+    single = keyed.join(repeated, list(key), "left_anti")
+    return single.select(*df.columns).unionByName(newest.select(*df.columns)).unionByName(unkeyed)
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:

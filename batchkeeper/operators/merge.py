@@ -7,9 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchkeeper.operators.keys import duplicate_keys
 from batchkeeper.operators.predicates import split_null_keys
 
 
+def require_unique(source: DataFrame, keys: Sequence[str], listed: int = 5) -> None:
+    """Raise with some of the keys that occur more than once. Runs a job."""
+    repeated = duplicate_keys(source, keys).orderBy(*keys).limit(listed).collect()
+    if repeated:
+        raise ValueError(f"source rows share a key {tuple(keys)}: {[tuple(r) for r in repeated]} (key, rows)")
+
+
 def upsert(
     target: DataFrame,
     source: DataFrame,
@@ -19,7 +27,7 @@ def upsert(
 ) -> DataFrame:
     """Matched rows take ``update_cols`` from the source, unmatched source rows are inserted.
 
-    ``source`` must be unique by key (see ``dedupe_latest``). A left join for the rows
+    ``source`` must be unique by key (see ``require_unique``, ``dedupe_latest``). A left join for the rows
     that are there and an anti join, against distinct target keys, for those that are
     not: unlike one full outer join, both can broadcast a small source and split a key
     that fills much of the target. Rows with a NULL in the key match nothing: they stay,
@@ -54,7 +62,11 @@ def upsert(
 
 
 def delete_and_reload(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Remove the target rows a batch replaces, then append the batch."""
+    """Remove the target rows with a key of the batch, then append the batch.
+
+    For batches that stand for whole days see :func:`batchkeeper.sources.tables.reload_batch`, which
+    also removes the rows that the batch no longer holds.
+    """
     return target.join(source.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(
         source.select(*target.columns)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.operators import faults
+from batchkeeper.session import size_by
 
 AS_OF = "2024-01-31 06:00:00"
 NO_KEY = -99999  # a key no table holds, whatever its size
@@ -40,7 +41,9 @@ SCHEMAS = {
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    size_by(spark, path)
+    return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
 def month(ts: str):

@@ -21,25 +21,40 @@ SETTINGS = {
 
 
 INPUT_PER_PARTITION = 256 << 20
-MAX_PARTITIONS = 32_768
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+_sizes: dict[str, dict[str, int]] = {}
 
 
 def configure(spark: SparkSession, *inputs: str) -> SparkSession:
     """Apply the runtime settings to a session that somebody else built.
 
-    With input folders given, shuffles start with one partition per 256 MB of input (at
-    least what the session asks for); adaptive execution then merges those that turn out
-    small. It cannot do the opposite, and 200 partitions of a 100 TB input fit nowhere.
+    ``inputs`` are the files or folders that what follows will read: see :func:`size_by`.
     """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
-    if inputs:
-        wanted = sum(folder_size(spark, path) for path in inputs) // INPUT_PER_PARTITION
-        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(wanted, MAX_PARTITIONS))
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(partitions))
+    _sizes[spark.sparkContext.applicationId] = {}
+    spark.conf.unset(INITIAL_PARTITIONS)
+    for path in inputs:
+        size_by(spark, path)
     return spark
 
 
+def size_by(spark: SparkSession, path: str) -> None:
+    """Let shuffles start with one partition per 256 MB of all inputs named since :func:`configure`.
+
+    At least what the session asks for, and as many as the inputs need; adaptive execution
+    then merges those that turn out small. It cannot do the opposite, and 200 partitions of
+    a 100 TB input fit nowhere.
+    """
+    sizes = _sizes.setdefault(spark.sparkContext.applicationId, {})
+    if path not in sizes:
+        sizes[path] = folder_size(spark, path)
+        wanted = sum(sizes.values()) // INPUT_PER_PARTITION
+        partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+        spark.conf.set(INITIAL_PARTITIONS, str(partitions))
+
+
 def folder_size(spark: SparkSession, path: str) -> int:
     handle = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = handle.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())

@@ -101,16 +101,37 @@ def merge_into_fact(
     insert_cols: Sequence[str],
     cluster_by: Sequence[str] = (),
 ) -> None:
-    """MERGE into a day-partitioned table, reading and rewriting only the days the source touches."""
-    from batchkeeper.operators.merge import upsert
+    """MERGE into a day-partitioned table, reading and rewriting only the days the source touches.
+
+    The source is written out once and read from there. Rows that share a key are refused, as
+    either of them could win: see :func:`batchkeeper.operators.keys.dedupe_latest`.
+    """
+    from batchkeeper.operators.merge import require_unique, upsert
 
     spark = source.sparkSession
+    source = materialize(source, "merge_source")
+    require_unique(source, keys)
     touched = [str(r[0]) for r in source.select(day).distinct().collect()]  # one row per day
     merged = upsert(read_fact(spark, path, day, touched), source, keys, update_cols, insert_cols)
     # a table cannot be overwritten while it is read: write the result aside first
     load_fact_partition(materialize(merged, "merge"), path, day, cluster_by)
 
 
+def reload_batch(
+    source: DataFrame, path: str, day: str, batch_days: Sequence[str], cluster_by: Sequence[str] = ()
+) -> None:
+    """Delete the days of a batch and load the batch anew: rows it no longer holds are gone as well.
+
+    ``batch_days`` are the days the batch stands for, also those it now has no rows for. Rows of any
+    other day would replace days the batch has no say in, and are refused.
+    """
+    days = [F.lit(str(d)).cast("date") for d in batch_days]
+    foreign = source.filter(~F.coalesce(F.col(day).isin(days), F.lit(False)))
+    if not foreign.isEmpty():
+        raise ValueError(f"the batch holds rows outside its days: {[tuple(r) for r in foreign.limit(3).collect()]}")
+    load_fact_partition(source, path, day, cluster_by, days=batch_days)
+
+
 def append_log(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Append-only tables: audit trail, execution metrics."""
     writer = df.write.mode("append")

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from batchkeeper.sources import tables
 from batchkeeper.operators import joins, keys, merge, predicates
 
 
@@ -125,3 +126,27 @@ def test_touched_partitions(spark):
     target = spark.createDataFrame([(d(2024, 1, 1),), (d(2024, 1, 1),), (d(2024, 1, 2),)], "day date")
     source = spark.createDataFrame([(d(2024, 1, 1),), (d(2024, 1, 9),)], "day date")
     assert rows(joins.touched_partitions(target, source, "day")) == [(d(2024, 1, 1), 2)]
+
+
+def test_upsert_refuses_sources_that_share_a_key(spark):
+    source = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    with pytest.raises(ValueError, match=r"\(1, 2\)"):
+        merge.require_unique(source, ["k"])
+    merge.require_unique(source.filter("v <> 'b'"), ["k"])
+
+
+def test_reload_clears_what_the_batch_no_longer_holds(spark, tmp_path):
+    path = str(tmp_path / "fct")
+    rows_ = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-01-02"), (4, "2024-01-03")]
+    df = spark.createDataFrame(rows_, "k int, d string").selectExpr("k", "cast(d as date) as day")
+    tables.load_fact_partition(df, path, "day")
+    tables.reload_batch(df.filter("k = 2"), path, "day", ["2024-01-01", "2024-01-02"])
+    assert rows(tables.read_fact(spark, path, "day").select("k")) == [(2,), (4,)]
+    with pytest.raises(ValueError, match="outside"):
+        tables.reload_batch(df, path, "day", ["2024-01-01"])
+
+
+def test_lineage_of_any_depth_resolves(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "src string, dst string")
+    reached = joins.blast_radius(edges, spark.createDataFrame([("n0",)], "node string"))
+    assert sorted(r["depth"] for r in reached.collect()) == list(range(71))
