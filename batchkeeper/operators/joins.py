@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import money
-from batchkeeper.session import materialize
+from batchkeeper.session import materialize, new_scratch
 
 
 def _key_counts(fact: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -120,18 +120,22 @@ def blast_radius(
     ``edges(src, dst)``, ``start(node)``; columns named in ``by`` are carried from the
     start nodes and keep several starts apart. A breadth-first join to the fixpoint:
     every round joins only the nodes found last against the edges and keeps what is new,
-    so cycles end and each node is expanded once. Each round is a written table, which
-    keeps plans short and survives lost executors.
+    so cycles end and each node is expanded once. Each round adds a folder to one table,
+    which keeps plans as short in the last round as in the first and survives lost executors.
     """
+    spark = edges.sparkSession
     edges = edges.select("src", "dst")
-    frontier = materialize(start.select(*by, "node").distinct().withColumn("depth", F.lit(0)), "reach")
-    found = frontier
+    root = new_scratch(spark, "reach")
+    first = start.select(*by, "node").distinct().withColumn("depth", F.lit(0))
+    first.write.parquet(f"{root}/round=0")
     depth = 0
-    while not frontier.isEmpty():
+    while True:
+        frontier = spark.read.schema(first.schema).parquet(f"{root}/round={depth}")
+        found = spark.read.schema(first.schema).parquet(root)
+        if frontier.isEmpty():
+            return found.select(*first.columns)
         depth += 1
         step = frontier.select(*by, F.col("node").alias("src")).join(edges, "src")
         reached = step.select(*by, F.col("dst").alias("node")).distinct()
         new = reached.join(found.select(*by, "node"), [*by, "node"], "left_anti")
-        frontier = materialize(new.withColumn("depth", F.lit(depth)), "reach")
-        found = found.unionByName(frontier)
-    return found
+        new.withColumn("depth", F.lit(depth)).write.parquet(f"{root}/round={depth}")
