@@ -46,10 +46,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         if self.fast is not None and not any(s in text for s in self.special):
-            ids = self.fast.encode_to_numpy(text, disallowed_special=())
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return ids.astype("<u4").tobytes()
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # a run of white space too long for its pattern matcher
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def byte_pairs(tokenizer):

@@ -19,7 +19,7 @@ from batchkeeper.llm.secrets import entropy_windows, redacted, scan, scan_secret
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_TEXTS = [
     None, "", " ", "\n", "a  b", " lead", "trail ", "tab\tx y", "a\n\nb c", "it's 12,5 we'll", "'s 're x's", "你好 世界 !? ..",
-    "ünï² ½ x y z", "🙂 🙂🙂 a", "a b", "x\x1c y", "word <|endoftext|> word", "long" * 300, "many words " * 4000,
+    "ünï² ½ x y z", "🙂 🙂🙂 a", "a b", "x\x1c y", "word <|endoftext|> word", "long" * 300, "many words " * 4000, " " * 1_200_000,
 ]
 
 
