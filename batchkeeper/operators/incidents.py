@@ -17,7 +17,7 @@ from batchkeeper.operators.joins import blast_radius
 from batchkeeper.session import literal_table
 
 # Canonical incident states.
-OPEN, PENDING_APPROVAL, PENDING, REMEDIATED, FAILED, ESCALATED, DECLINED = (
+OPEN, PENDING_APPROVAL, PENDING, REMEDIATED, FAILED, ESCALATED, DECLINED, ACCEPTED, CLOSED = (
     "open",
     "pending_approval",
     "remediation_pending",
@@ -25,6 +25,8 @@ OPEN, PENDING_APPROVAL, PENDING, REMEDIATED, FAILED, ESCALATED, DECLINED = (
     "remediation_failed",
     "escalated",
     "declined",
+    "accepted",  # a human took the batch as it is; nothing was left to check again
+    "closed",  # a later run of the same day no longer finds it
 )
 
 # The validation task that runs each check.
@@ -38,6 +40,7 @@ TASKS = {
     "foreign_key": "validate_joins",
     "freshness": "validate_freshness",
     "landing_sla": "validate_freshness",
+    "stray_rows": "validate_freshness",
     "static_source": "validate_freshness",
 }
 
@@ -84,7 +87,7 @@ def fault_class() -> Column:
         WHEN check_name IN ('null_rate', 'zero_rate') THEN 'null_spike'
         WHEN check_name = 'duplicates' THEN 'duplicate_ingestion'
         WHEN check_name = 'foreign_key' THEN 'referential_break'
-        WHEN check_name IN ('freshness', 'landing_sla', 'static_source') THEN 'staleness'
+        WHEN check_name IN ('freshness', 'landing_sla', 'static_source', 'stray_rows') THEN 'staleness'
         ELSE 'unclassified' END"""
     )
 
@@ -288,7 +291,7 @@ def halt_gate(load_list: DataFrame, incidents: DataFrame) -> DataFrame:
     ``load_list(dataset, batch_date)``. One broken batch blocks itself and nothing else.
     """
     blocking = F.col("status").isin(ESCALATED, PENDING_APPROVAL, FAILED) | (
-        (F.col("severity") == "high") & ~F.col("status").isin(REMEDIATED, DECLINED)
+        (F.col("severity") == "high") & ~F.col("status").isin(REMEDIATED, DECLINED, ACCEPTED, CLOSED)
     )
     blocked = incidents.filter(blocking).select("dataset", F.col("execution_date").alias("batch_date")).distinct()
     return load_list.join(blocked, ["dataset", "batch_date"], "left_anti")
@@ -297,17 +300,30 @@ def halt_gate(load_list: DataFrame, incidents: DataFrame) -> DataFrame:
 def incident_report(decided: DataFrame, impact: DataFrame) -> DataFrame:
     """The report fields of each incident: status, diagnosis, impact, action, rollback.
 
+    Resolved is what a recheck has closed, not what is about to be repaired; ``verification`` says which.
     ``impact(dataset, target_table, downstream)``: what hangs off each dataset.
     """
     auto = F.col("decision") == "auto_fix"
-    recommended = F.when(auto, "none").otherwise(F.concat(F.lit("investigate: "), F.col("hypothesis")))
+    status = F.col("status")
+    verified = status.isin(REMEDIATED, CLOSED)
+    report_status = (
+        F.when(verified, "RESOLVED")
+        .when(status.isin(DECLINED, ACCEPTED), "DISMISSED")
+        .when(status == PENDING, "IN_PROGRESS")
+        .otherwise("ESCALATED")
+    )
+    verification = (
+        F.when(verified, "passed").when(status == FAILED, "failed").when(status == PENDING, "outstanding").otherwise("none")
+    )
+    recommended = F.when(verified | (auto & (status == PENDING)), "none").otherwise(F.concat(F.lit("investigate: "), F.col("hypothesis")))
     return decided.join(F.broadcast(impact), "dataset", "left").select(  # one row per dataset
         "incident_id",
         "task_id",
         "execution_date",
         "failure_category",
         "severity",
-        F.when(auto, "RESOLVED").otherwise("ESCALATED").alias("report_status"),
+        report_status.alias("report_status"),
+        verification.alias("verification"),
         F.col("error_message").alias("observed"),
         F.col("evidence.staged_row_count").alias("staged_row_count"),
         F.col("evidence.historical_average").alias("historical_average"),

@@ -25,6 +25,13 @@ TRANSITIONS = (
     ("remediation_pending", "remediated"),
     ("remediation_pending", "remediation_failed"),
     ("remediation_failed", "escalated"),
+    ("remediation_pending", "accepted"),
+    ("escalated", "closed"),
+    ("pending_approval", "closed"),
+    ("remediated", "closed"),
+    ("declined", "closed"),
+    ("accepted", "closed"),
+    ("closed", "open"),
 )
 
 

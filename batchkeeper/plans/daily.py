@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.contract import Contract, DatasetContract
 from batchkeeper.functions.casting import CAST_ERROR, cast_failure_share, cast_to_contract
-from batchkeeper.operators import baselines, checks, incidents, joins, predicates, remediation
+from batchkeeper.operators import baselines, checks, incidents, joins, keys, predicates, remediation
 from batchkeeper.session import configure, literal_table, materialize
 from batchkeeper.sources import files, tables
 from batchkeeper.sources.storage import exists
@@ -95,6 +95,11 @@ def volume_history(spark: SparkSession, contract: DatasetContract, counts: DataF
             & (F.col("dataset") == contract.name)
             & (F.col("batch_date") >= F.lit(since).cast("date"))
             & (F.col("batch_date") < F.lit(ds).cast("date"))
+            # a day is logged under its own date: only these folders are read
+            & (F.col("run_date") >= F.lit(since).cast("date"))
+            & (F.col("run_date") < F.lit(ds).cast("date"))
+            # a day whose count was out of bounds is no example of a usual day
+            & F.col("passed")
         )
         # the same day may have been run more than once: its latest run counts
         last = logged.groupBy("dataset", "batch_date").agg(F.max_by("metric", "ended_at").cast("bigint").alias("n_rows"))
@@ -134,6 +139,9 @@ def quality_checks(
         parts.append(checks.rows_of(profile, checks.freshness_row(ts, as_of, contract.max_delay_hours)))
     if contract.is_fact:
         parts.append(volume_history(spark, contract, profile, log, ds))
+    rules = declared_rules(contract, present, ts)
+    if rules:
+        parts.append(checks.custom_rules(batch, contract.name, "batch_date", rules))
     for reference in contract.foreign_keys:
         dim = references.get(reference.ref_dataset)
         if dim is not None and reference.column in present and reference.ref_column in dim.columns:
@@ -142,6 +150,19 @@ def quality_checks(
     return checks.union_checks(*parts)
 
 
+def declared_rules(contract: DatasetContract, present: set[str], ts: str | None) -> list[checks.Rule]:
+    """Rules of one aggregation: no rows of another day, and no value outside a declared domain."""
+    rules = []
+    if contract.is_fact and ts:
+        rules.append(checks.Rule("stray_rows", "count(*)", upper=0, where=f"NOT (to_date(`{ts}`) <=> batch_date)", column=ts))
+    for column, values in contract.accepted_values.items():
+        if column in present:
+            known = ", ".join(checks.quoted(v) for v in values)
+            outside = f"`{column}` IS NOT NULL AND `{column}` NOT IN ({known})"
+            rules.append(checks.Rule("accepted_values", "count(*)", upper=0, where=outside, column=column))
+    return rules
+
+
 def missing_batch(spark: SparkSession, contract: DatasetContract, ds: str) -> DataFrame:
     """The check rows of a batch that never landed."""
     bounds = contract.row_bounds
@@ -156,7 +177,7 @@ def missing_batch(spark: SparkSession, contract: DatasetContract, ds: str) -> Da
 
 
 def _references(spark: SparkSession, contract: Contract, layout: Layout, typed: dict[str, DataFrame]) -> dict:
-    """Dimensions to check against: this run's if usable, else the last published ones."""
+    """Dimensions to check against: this run's if among ``typed`` and usable, else the last published ones."""
     out = {}
     for name in {k.ref_dataset for d in contract.datasets.values() for k in d.foreign_keys}:
         wanted = {
@@ -177,32 +198,58 @@ def validate_day(
     """Stage and check the named datasets of a day: (typed batches, check rows). Nothing is loaded."""
     staged = {name: stage(spark, contract[name], layout, ds) for name in names}
     typed = {n: cast_to_contract(df, _types(contract[n])) for n, df in staged.items() if df is not None}
-    references = _references(spark, contract, layout, typed)
     log = layout.table("executions")
-    found = []
-    for name in names:
+
+    def judged(name: str, references: dict[str, DataFrame]) -> list[DataFrame]:
         d = contract[name]
         if staged[name] is None:
-            found.append(missing_batch(spark, d, ds))
-            continue
-        found.append(schema_checks(spark, d, staged[name], d.path(layout.landing, ds), ds))
-        found.append(quality_checks(spark, d, typed[name], references, log, ds, as_of))
+            return [missing_batch(spark, d, ds)]
+        return [
+            schema_checks(spark, d, staged[name], d.path(layout.landing, ds), ds),
+            quality_checks(spark, d, typed[name], references, log, ds, as_of),
+        ]
+
+    # dimensions first: one that fails its own checks is no reference (repeated keys are the same keys)
+    own = {n: typed[n] for n in typed if not contract[n].is_fact}
+    found = [rows for n in names if not contract[n].is_fact for rows in judged(n, {})]
+    if found:
+        found = [materialize(checks.union_checks(*found), "dimension_checks")]
+        bad = checks.failed(found[0]).filter("check_name <> 'duplicates'").select("dataset").distinct().collect()
+        own = {n: df for n, df in own.items() if n not in {r["dataset"] for r in bad}}
+    references = _references(spark, contract, layout, own)
+    found += [rows for n in names if contract[n].is_fact for rows in judged(n, references)]
     return typed, checks.union_checks(*found)
 
 
 def load_batch(
     spark: SparkSession, contract: DatasetContract, typed: DataFrame, layout: Layout, ds: str
 ) -> None:
-    """Publish a dimension, or replace a fact's day. Rows of another day are set aside, not loaded."""
-    clean = typed.select(*[c for c in typed.columns if c != CAST_ERROR])
+    """Publish a dimension, or replace a fact's day.
+
+    Rows of another day, and rows with a value that does not cast, are set aside and not loaded: they get
+    here only after the check that found them was settled by a human.
+    """
     path = layout.table(_table(contract))
-    if not contract.is_fact:
+    broken = F.size(CAST_ERROR) > 0 if CAST_ERROR in typed.columns else F.lit(False)
+    rows = typed.withColumn("_broken", F.coalesce(broken, F.lit(False)))
+    fits = ~F.col("_broken")
+    if contract.is_fact:
+        rows = tables.with_day(rows, contract.ts_column)
+        fits = fits & (F.col("day") == F.lit(ds).cast("date"))
+    own, aside = predicates.split_valid(rows, fits)
+    why = F.when(F.col("_broken"), "a value does not cast").otherwise("event time outside the batch day")
+    tables.quarantine(aside, layout.warehouse, contract.name, ds, why)
+    clean = own.drop("_broken", CAST_ERROR)
+    if contract.is_fact:
+        tables.load_fact_partition(clean, path, "day", _cluster(contract), days=[ds])
+    else:
         tables.publish_dimension(clean, path, ds)
-        return
-    dated = tables.with_day(clean, contract.ts_column)
-    own, strays = predicates.split_valid(dated, F.col("day") == F.lit(ds).cast("date"))
-    tables.quarantine(strays, layout.warehouse, contract.name, ds, "event time outside the batch day")
-    tables.load_fact_partition(own, path, "day", _cluster(contract), days=[ds])
+
+
+def deduplicated(contract: DatasetContract, typed: DataFrame) -> DataFrame:
+    """The batch with the newest row of each key, as a table."""
+    newest = [contract.ts_column] if contract.ts_column in typed.columns else []
+    return materialize(keys.dedupe_latest(typed, list(contract.primary_key), newest), "repaired")
 
 
 def _cluster(contract: DatasetContract) -> list[str]:
@@ -218,73 +265,125 @@ def run_day(
     dag_id: str = "daily_batches",
     only: Iterable[str] | None = None,
 ) -> DayResult:
-    """Run one day end to end. Running it again leaves the same tables."""
-    configure(spark, layout.landing)
+    """Run one day end to end: check, repair the staged batch where that is approved, check again, load once.
+
+    Running it again leaves the same tables. Of the registry and the logs it replaces the day's rows of the
+    datasets it ran; findings that are gone are closed, and what a human has decided stays decided.
+    """
     names = [n for n in contract.datasets if only is None or n in set(only)]
+    landed = [contract[n].path(layout.landing, ds) for n in names]
+    configure(spark, *[path for path in landed if exists(spark, path)])
     as_of = as_of or f"{date.fromisoformat(ds) + timedelta(days=1)} 02:00:00"
     log, registry, audit = (layout.table(t) for t in ("executions", "incidents", "incident_audit_trail"))
 
     typed, found = validate_day(spark, contract, layout, ds, as_of, names)
-    tables.write_executions(found, log, f"validate-{ds}", ds, as_of, as_of)
+    tables.write_executions(found, log, f"validate-{ds}", ds, as_of, as_of, names)
     found = spark.read.parquet(log).filter(
-        (F.col("run_date") == F.lit(ds).cast("date")) & (F.col("run_id") == f"validate-{ds}")
+        (F.col("run_date") == F.lit(ds).cast("date")) & F.col("dataset").isin(names)
     ).select(*checks.CHECK_COLUMNS)
 
-    decided = materialize(incidents.triage(found, contract.policy_frame(spark), dag_id), "decided")
+    decided = incidents.triage(found, contract.policy_frame(spark), dag_id)
+    before = registered(spark, registry, ds, names, decided)
+    decided = materialize(carry_decisions(decided, before), "decided")
+    gone = before.join(decided.select("incident_id"), "incident_id", "left_anti").select(*decided.columns)
+    gone = gone.filter(F.col("status") != incidents.CLOSED).withColumn("status", F.lit(incidents.CLOSED))
+    gone = materialize(gone, "gone")
     run = f"{dag_id}-{ds}"
     # before anything is touched: what was found, and what is about to be done about it
-    log_steps(decided, [(F.lit(True), incidents.OPEN), *_entered(incidents.PENDING, incidents.ESCALATED)], audit, as_of, run)
+    fresh = F.col("status").isin(incidents.PENDING, incidents.ESCALATED)
+    log_steps(decided, [(fresh, incidents.OPEN), *_entered(incidents.PENDING, incidents.ESCALATED)], audit, as_of, run)
+    log_steps(gone, _entered(incidents.CLOSED), audit, as_of, run)
 
     batches = literal_table(spark, [(n, ds) for n in typed], "dataset string, batch_date date")
     may_load = {row["dataset"] for row in incidents.halt_gate(batches, decided).collect()}
-    to_repair = {
-        row["dataset"]
-        for row in decided.filter(F.col("status") == incidents.PENDING).select("dataset").distinct().collect()
-    }
+    to_repair: dict[str, list] = {}
+    for row in decided.filter(F.col("status") == incidents.PENDING).collect():  # a few per dataset
+        to_repair.setdefault(row["dataset"], []).append(row)
     result = DayResult(found, decided, halted=sorted(set(names) - may_load))
     outcome = []
     for name in [n for n in names if n in may_load]:
-        d = contract[name]
-        load_batch(spark, d, typed[name], layout, ds)
-        if name in to_repair and d.is_fact:
-            path, backup = layout.table(_table(d)), layout.table(f"backup/{_table(d)}")
-            states = remediation.repair_and_verify(
-                spark, path, backup, "day", list(d.primary_key), [d.ts_column], [ds], _cluster(d)
-            )
-            outcome += [(name, state) for _, state in states]
+        d, batch = contract[name], typed[name]
+        if name in to_repair:
+            batch = deduplicated(d, batch)
+            verdicts = recheck(spark, contract, layout, d, batch, ds, as_of, to_repair[name])
+            outcome += verdicts
+            if any(state != incidents.REMEDIATED for _, state in verdicts):
+                result.halted = sorted([*result.halted, name])
+                continue
+            result.repaired.append(name)
+        load_batch(spark, d, batch, layout, ds)
         result.loaded.append(name)
-    result.repaired = [n for n, state in outcome if state == incidents.REMEDIATED]
 
-    result.incidents = close_incidents(spark, decided, outcome, registry, audit, as_of, run)
+    result.incidents = close_incidents(spark, decided, gone, outcome, registry, audit, as_of, run, [(ds, n) for n in names])
     return result
 
 
+def registered(spark: SparkSession, registry: str, ds: str, names: Sequence[str], like: DataFrame) -> DataFrame:
+    """The day's incidents of these datasets as an earlier run left them."""
+    if not exists(spark, registry):
+        return like.limit(0)
+    day = (F.col("execution_date") == F.lit(ds).cast("date")) & F.col("dataset").isin(list(names))
+    # a registry without any incident so far has no file that could tell its columns
+    return materialize(spark.read.schema(like.schema).parquet(registry).filter(day).select(*like.columns), "before")
+
+
+def carry_decisions(decided: DataFrame, before: DataFrame) -> DataFrame:
+    """Findings a human has dismissed, accepted or been asked about keep that status."""
+    settled = (incidents.DECLINED, incidents.ACCEPTED, incidents.PENDING_APPROVAL)
+    earlier = before.filter(F.col("status").isin(*settled)).select("incident_id", F.col("status").alias("_was"))
+    joined = decided.join(earlier, "incident_id", "left")
+    return joined.withColumn("status", F.coalesce("_was", "status")).select(*decided.columns)
+
+
 def _entered(*states: str) -> list:
     return [(F.col("status") == state, state) for state in states]
 
 
 def log_steps(rows: DataFrame, steps: list, audit: str, as_of: str, run: str) -> None:
-    """Append one audit row per incident and step; ``steps``: (which incidents, state they enter)."""
-    entered = [remediation.audit_rows(rows.filter(which), state, as_of, run) for which, state in steps]
-    tables.append_audit(reduce(lambda a, b: a.unionByName(b), entered), audit)
+    """Append one audit row per incident and step; ``steps``: (which incidents, state they enter), in order.
+
+    A step that the log already holds for this run is not logged again. Each closing starts the count anew,
+    so that a finding which comes back is opened again. ``step`` numbers an incident's rows.
+    """
+    spark = rows.sparkSession
+    entered = [
+        remediation.audit_rows(rows.filter(which), state, as_of, run).withColumn("step", F.lit(i + 1).cast("bigint"))
+        for i, (which, state) in enumerate(steps)
+    ]
+    new = reduce(lambda a, b: a.unionByName(b), entered)
+    if exists(spark, audit):
+        past = materialize(
+            spark.read.schema(new.schema).parquet(audit).join(rows.select("incident_id").distinct(), "incident_id", "left_semi"), "past"
+        )
+        so_far = past.groupBy("incident_id").agg(
+            F.max("step").alias("_last"), F.count_if(F.col("state") == incidents.CLOSED).alias("_closed")
+        )
+        turn = F.when(F.col("_closed") > 0, F.concat(F.lit(f"{run}#"), F.col("_closed"))).otherwise(F.lit(run))
+        new = new.join(so_far, "incident_id", "left").withColumn("remediation_job_id", turn)
+        new = new.withColumn("step", F.col("step") + F.coalesce("_last", F.lit(0))).drop("_last", "_closed")
+        held = past.select("incident_id", "state", "remediation_job_id")
+        new = new.join(held, ["incident_id", "state", "remediation_job_id"], "left_anti")
+    tables.append_audit(materialize(new, "steps"), audit)
 
 
 def close_incidents(
     spark: SparkSession,
     decided: DataFrame,
+    gone: DataFrame,
     outcome: list[tuple[str, str]],
     registry: str,
     audit: str,
     as_of: str,
     run: str,
+    pairs: list[tuple[str, str]],
 ) -> DataFrame:
     """Final states into the registry and the audit trail. A repair nobody performed has failed and escalates."""
-    repaired = literal_table(spark, outcome, "dataset string, outcome string")
-    joined = decided.join(F.broadcast(repaired), "dataset", "left")  # one row per repaired dataset
+    repaired = literal_table(spark, outcome, "incident_id string, outcome string")
+    joined = decided.join(F.broadcast(repaired), "incident_id", "left")  # one row per repaired incident
     pending = F.col("status") == incidents.PENDING
     state = F.when(pending, F.coalesce("outcome", F.lit(incidents.FAILED))).otherwise(F.col("status"))
     final = materialize(joined.withColumn("status", state).drop("outcome").select(*decided.columns), "final")
-    tables.write_incidents(final, registry)
+    tables.write_incidents(final.unionByName(gone), registry, pairs)
     failed = (F.col("status") == incidents.FAILED, incidents.ESCALATED)
     log_steps(final, [*_entered(incidents.REMEDIATED, incidents.FAILED), failed], audit, as_of, run)
     return final
@@ -323,11 +422,13 @@ def apply_decisions(
     """Act on human decisions about a day's escalated incidents; returns the incidents afterwards.
 
     A dataset moves on once each of its incidents is approved or declined. Approved:
-    the offending rows go to quarantine, the others are loaded, and the check that
-    failed is run again on what was loaded. Declined: the finding is dismissed and the
-    batch stands. Volume findings have no offending rows; approving one accepts the batch.
+    the offending rows go to quarantine, the check that failed is run again on the others,
+    and they are loaded if it passes. Declined: the finding is dismissed and the batch
+    stands; values that do not cast are set aside, not loaded as NULL. Volume findings have
+    no offending rows; approving one accepts the batch.
     """
-    configure(spark, layout.landing)
+    staged = [f"{layout.table('staging')}/{n}/{ds}" for n in contract.datasets]
+    configure(spark, *[path for path in staged if exists(spark, path)])
     registry, audit = layout.table("incidents"), layout.table("incident_audit_trail")
     day = F.col("execution_date") == F.lit(ds).cast("date")
     known = materialize(spark.read.parquet(registry).filter(day), "registry")
@@ -355,13 +456,12 @@ def apply_decisions(
             marked = offending(spark, contract, layout, typed, rows)
             kept, _ = tables.write_split(marked, ~F.col("_bad"), layout.table("approved"), name, ds, "approved repair")
             typed = spark.read.parquet(kept).select(*typed.columns)
-        load_batch(spark, d, typed, layout, ds)
-        if d.is_fact and any(r["check_name"] == "duplicates" for r in rows):
-            remediation.repair_and_verify(
-                spark, layout.table(_table(d)), layout.table(f"backup/{_table(d)}"), "day", list(d.primary_key),
-                [d.ts_column], [ds], _cluster(d),
-            )
-        verdicts += recheck(spark, contract, layout, d, ds, as_of, rows)
+        if any(r["check_name"] == "duplicates" for r in rows):
+            typed = deduplicated(d, typed)
+        found = recheck(spark, contract, layout, d, _loadable(d, typed, ds), ds, as_of, rows)
+        verdicts += found
+        if all(state != incidents.FAILED for _, state in found):
+            load_batch(spark, d, typed, layout, ds)
 
     outcome = literal_table(spark, verdicts, "incident_id string, outcome string")
     settled = F.when(F.col("status") == incidents.PENDING, F.coalesce("outcome", F.col("status"))).otherwise(F.col("status"))
@@ -372,29 +472,41 @@ def apply_decisions(
     tables.write_incidents(final, registry)
     finished = final.join(F.broadcast(outcome), "incident_id", "left_semi")
     failed = (F.col("status") == incidents.FAILED, incidents.ESCALATED)
-    log_steps(finished, [*_entered(incidents.REMEDIATED, incidents.FAILED), failed], audit, as_of, run)
+    states = (incidents.REMEDIATED, incidents.ACCEPTED, incidents.FAILED)
+    log_steps(finished, [*_entered(*states), failed], audit, as_of, run)
     return final
 
 
+def _loadable(d: DatasetContract, typed: DataFrame, ds: str) -> DataFrame:
+    """The rows of a batch that a load would take."""
+    fits = ~F.coalesce(F.size(CAST_ERROR) > 0, F.lit(False)) if CAST_ERROR in typed.columns else F.lit(True)
+    if d.is_fact and d.ts_column in typed.columns:
+        fits = fits & (F.to_date(d.ts_column) == F.lit(ds).cast("date"))
+    return typed.filter(fits)
+
+
 def recheck(
-    spark: SparkSession, contract: Contract, layout: Layout, d: DatasetContract, ds: str, as_of: str, rows: list
+    spark: SparkSession,
+    contract: Contract,
+    layout: Layout,
+    d: DatasetContract,
+    batch: DataFrame,
+    ds: str,
+    as_of: str,
+    rows: list,
 ) -> list[tuple[str, str]]:
-    """Run the failed checks again on the loaded batch: [(incident id, outcome)]."""
+    """Run the failed checks again on the batch as it is about to be loaded: [(incident id, outcome)]."""
     if not rows:
         return []
-    path = layout.table(_table(d))
-    loaded = tables.read_fact(spark, path, "day", [ds]) if d.is_fact else tables.read_dimension_table(spark, path)
     references = _references(spark, contract, layout, {})
-    again = quality_checks(spark, d, loaded, references, layout.table("executions"), ds, as_of).collect()
+    again = quality_checks(spark, d, batch, references, layout.table("executions"), ds, as_of).collect()
     passed = {(r["check_name"], r["column_name"]): r["passed"] for r in again}
-    # an accepted volume, lateness or drift has no rows left to judge
+    # a volume, lateness or drift that a human took as it is leaves no rows to judge
     accepted = {"row_count", "volume_history", "freshness", "schema"}
-    return [
-        (
-            r["incident_id"],
-            incidents.REMEDIATED
-            if r["check_name"] in accepted or passed.get((r["check_name"], r["column_name"]), False)
-            else incidents.FAILED,
-        )
-        for r in rows
-    ]
+
+    def verdict(r) -> str:
+        if r["decision"] != "auto_fix" and r["check_name"] in accepted:
+            return incidents.ACCEPTED
+        return incidents.REMEDIATED if passed.get((r["check_name"], r["column_name"]), False) else incidents.FAILED
+
+    return [(r["incident_id"], verdict(r)) for r in rows]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from batchkeeper.session import materialize
-from batchkeeper.sources.storage import drop_directory, exists, matching
+from batchkeeper.session import literal_table, materialize
+from batchkeeper.sources.storage import drop_directory, exists
 
 
 def write_staging(df: DataFrame, root: str, dataset: str, date: str) -> str:
@@ -18,19 +19,32 @@ def write_staging(df: DataFrame, root: str, dataset: str, date: str) -> str:
     return path
 
 
+POINTERS = "turn bigint, version string, folder string"
+
+
 def publish_dimension(df: DataFrame, path: str, version: str) -> str:
-    """Full refresh into a new version directory; readers switch once it is complete."""
-    target = f"{path.rstrip('/')}/version={version}"
-    df.write.mode("overwrite").parquet(target)
-    return target
+    """Full refresh into a folder of its own, then a pointer to it: readers see the old or the new, never half.
+
+    Publishing a version again writes another folder, so the one in use stays until the pointer moves.
+    """
+    spark, root = df.sparkSession, path.rstrip("/")
+    folder = f"version={version}/write={uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{folder}")
+    turn = 1
+    if exists(spark, f"{root}/current"):
+        turn += spark.read.schema(POINTERS).parquet(f"{root}/current").agg(F.max("turn")).first()[0] or 0
+    literal_table(spark, [(turn, str(version), folder)], POINTERS).write.mode("append").parquet(f"{root}/current")
+    return f"{root}/{folder}"
 
 
 def read_dimension_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version. A version being written has no _SUCCESS file and is not seen."""
-    done = matching(spark, f"{path.rstrip('/')}/version=*/_SUCCESS")
-    if not done:
+    """What was published last, whatever its version is called."""
+    root = path.rstrip("/")
+    if not exists(spark, f"{root}/current"):
         raise FileNotFoundError(f"no published version under {path}")
-    return spark.read.parquet(done[-1].rsplit("/", 1)[0])
+    pointers = spark.read.schema(POINTERS).parquet(f"{root}/current")  # one row per refresh
+    folder = pointers.agg(F.max_by("folder", "turn")).first()[0]
+    return spark.read.parquet(f"{root}/{folder}")
 
 
 def with_day(df: DataFrame, ts: str, day: str = "day") -> DataFrame:
@@ -138,8 +152,13 @@ def append_log(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def write_executions(checks: DataFrame, path: str, run_id: str, run_date: str, started_at, ended_at) -> None:
-    """One row per executed check: run times, outcome, rows seen. Running a run again replaces its rows only."""
+def write_executions(
+    checks: DataFrame, path: str, run_id: str, run_date: str, started_at, ended_at, datasets: Sequence[str] = ()
+) -> None:
+    """One row per executed check: run times, outcome, rows seen.
+
+    A run replaces the rows of the date and datasets it holds, and of the ``datasets`` it named; all others stay.
+    """
     rows = checks.select(
         F.lit(started_at).cast("timestamp").alias("started_at"),
         F.lit(ended_at).cast("timestamp").alias("ended_at"),
@@ -147,22 +166,39 @@ def write_executions(checks: DataFrame, path: str, run_id: str, run_date: str, s
         F.lit(run_date).cast("date").alias("run_date"),
         F.lit(run_id).alias("run_id"),
     )
+    _replace_pairs(rows, path, "run_date", [(run_date, d) for d in datasets])
+
+
+def _replace_pairs(rows: DataFrame, path: str, date: str, pairs: Iterable[tuple[str, str]]) -> None:
+    """Replace the (date, dataset) folders that ``rows`` holds, and drop the named ones it has nothing for."""
+    rows = materialize(rows, "log_rows")  # they may stem from what is about to be replaced
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("run_date", "run_id").parquet(path)
+    writer.partitionBy(date, "dataset").parquet(path)
+    named = {(str(d), n) for d, n in pairs}
+    if named:  # a handful of datasets
+        held = {(str(r[0]), r[1]) for r in rows.select(date, "dataset").distinct().collect()}
+        for day, dataset in named - held:
+            drop_directory(rows.sparkSession, f"{path.rstrip('/')}/{date}={day}/dataset={dataset}")
 
 
 def append_audit(df: DataFrame, path: str) -> None:
     append_log(df, path)
 
 
-def write_incidents(incidents: DataFrame, path: str, day: str = "execution_date") -> None:
-    """Incident registry: one row per incident id, rewritten per execution date."""
-    load_fact_partition(incidents, path, day)
+def write_incidents(
+    incidents: DataFrame, path: str, pairs: Iterable[tuple[str, str]] = (), day: str = "execution_date"
+) -> None:
+    """Incident registry: one row per incident id, rewritten per execution date and dataset.
+
+    ``pairs`` are the (date, dataset) that were judged, also those without an incident now.
+    """
+    _replace_pairs(incidents, path, day, pairs)
 
 
-def quarantine(rejected: DataFrame, root: str, dataset: str, date: str, reason: str) -> str:
+def quarantine(rejected: DataFrame, root: str, dataset: str, date: str, reason: str | Column) -> str:
     """Side output for rows kept out of a load; a rerun replaces its own batch."""
-    return write_staging(rejected.withColumn("_reason", F.lit(reason)), f"{root.rstrip('/')}/quarantine", dataset, date)
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    return write_staging(rejected.withColumn("_reason", why), f"{root.rstrip('/')}/quarantine", dataset, date)
 
 
 def write_split(df: DataFrame, valid: Column, root: str, dataset: str, date: str, reason: str) -> tuple[str, str]:

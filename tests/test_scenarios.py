@@ -149,8 +149,7 @@ def test_duplicates_are_repaired_verified_and_closed(spark, layout, tmp_path):
     assert result.repaired == ["orders"] and result.halted == []
     day = fct_orders(spark, layout, ds)
     assert day.count() == 60 == day.select("order_id").distinct().count()
-    backup = tables.read_fact(spark, layout.table("backup/fct_orders"), "day", [ds])
-    assert backup.count() == 90
+    assert spark.read.parquet(f"{layout.table('staging')}/orders/{ds}").count() == 90
 
 
 def test_twelve_rows_escalate_by_bound_and_history(spark, layout, tmp_path):
@@ -193,9 +192,101 @@ def test_registry_and_audit_agree(spark, layout):
     registry = spark.read.parquet(layout.table("incidents"))
     assert registry.count() == registry.select("incident_id").distinct().count()
     trail = spark.read.parquet(layout.table("incident_audit_trail"))
-    order = ["open", "escalated", "pending_approval", "remediation_pending", "remediated"]
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("state"))
-    steps = audit_transitions(trail.withColumn("rank", rank), tie_break=["rank"])
+    steps = audit_transitions(trail, tie_break=["step"])
     assert steps.filter(~F.col("legal")).count() == 0
+    assert trail.count() == trail.select("incident_id", "step").distinct().count()
     assert registry.select("execution_date").distinct().count() == 8
     assert registry.filter(F.col("execution_date") == F.lit(datetime.date(2026, 6, 6))).count() > 0
+
+
+@pytest.fixture
+def fresh(spark, tmp_path):
+    """A small landing of its own for each test."""
+    own = Layout(str(tmp_path / "landing"), str(tmp_path / "warehouse"))
+    generate.write_landing(
+        spark, own.landing, CONTRACT, days=2, customers=100, products=20, orders_per_day=60, events_per_day=200
+    )
+    return own
+
+
+def state(spark, layout):
+    """Registry, check log and audit trail as comparable rows."""
+    registry = spark.read.parquet(layout.table("incidents")).select("incident_id", "dataset", "status")
+    log = spark.read.parquet(layout.table("executions")).select("dataset", "check_name", "column_name", "metric", "passed")
+    trail = spark.read.parquet(layout.table("incident_audit_trail")).select("incident_id", "step", "state")
+    return [sorted(map(str, df.collect())) for df in (registry, log, trail)]
+
+
+def test_reruns_keep_close_and_reopen(spark, fresh, tmp_path):
+    ds = "2026-06-01"
+    d = CONTRACT["orders"]
+    raw = files.read_batch(spark, d, fresh.landing, ds)
+    raw.write.option("header", True).csv(str(tmp_path / "clean"))
+
+    def land(change):
+        clean = spark.read.option("header", True).csv(str(tmp_path / "clean"))
+        change(clean).write.mode("overwrite").option("header", True).csv(d.path(fresh.landing, ds))
+
+    def blanked(df):
+        return faults.blank(df, "order_total", F.substring("order_id", 4, 8).cast("int") % 4 == 0)
+
+    land(blanked)
+    run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    once = state(spark, fresh)
+    run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    assert state(spark, fresh) == once  # a rerun leaves the same tables
+    run_day(spark, CONTRACT, fresh, ds, only=["customers"])
+    assert state(spark, fresh) == once  # and a partial one the other datasets' rows
+
+    land(lambda df: df)
+    result = run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    assert result.halted == [] and result.incidents.count() == 0
+    registry = spark.read.parquet(fresh.table("incidents"))
+    assert [r["status"] for r in registry.collect()] == ["closed"]
+
+    land(blanked)
+    run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    steps = audit_transitions(spark.read.parquet(fresh.table("incident_audit_trail")), tie_break=["step"])
+    assert steps.filter(~F.col("legal")).count() == 0
+    assert [r["state"] for r in steps.orderBy("step").collect()] == ["open", "escalated", "closed", "open", "escalated"]
+
+    decide(spark, fresh, ds, "decline")
+    result = run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    assert statuses(result) == {"declined"} and "orders" in result.loaded  # what a human decided stays decided
+
+
+def test_dimension_with_repeated_keys_is_repaired_before_it_is_published(spark, fresh, tmp_path):
+    again = F.substring("customer_id", 5, 6).cast("int") <= 3
+    relanded(spark, fresh, "customers", None, lambda df: faults.append_duplicates(df, again), tmp_path)
+    result = run_day(spark, CONTRACT, fresh, "2026-06-01", only=ORDERS)
+    customers = tables.read_dimension_table(spark, fresh.table("dim_customers"))
+    assert customers.count() == 100 == customers.select("customer_id").distinct().count()
+    assert "customers" in result.repaired and "remediated" in statuses(result)
+    assert "orders" in result.loaded
+
+
+def test_dimension_cut_short_is_no_reference(spark, fresh, tmp_path):
+    run_day(spark, CONTRACT, fresh, "2026-06-01", only=ORDERS)
+    relanded(spark, fresh, "customers", None, lambda df: df.orderBy("customer_id").limit(12), tmp_path)
+    result = run_day(spark, CONTRACT, fresh, "2026-06-02", only=ORDERS)
+    assert result.halted == ["customers"] and "orders" in result.loaded
+    assert tables.read_dimension_table(spark, fresh.table("dim_customers")).count() == 100
+
+
+def test_rows_of_another_day_halt_until_somebody_decides(spark, fresh, tmp_path):
+    ds = "2026-06-01"
+
+    def stray(df):
+        third = F.substring("order_id", 4, 8).cast("int") % 3 == 0
+        return df.withColumn("order_ts", F.when(third, F.lit("2026-05-20 10:00:00")).otherwise(F.col("order_ts")))
+
+    relanded(spark, fresh, "orders", ds, stray, tmp_path)
+    result = run_day(spark, CONTRACT, fresh, ds, only=ORDERS)
+    found = result.incidents.filter("check_name = 'stray_rows'").collect()
+    assert [(r["metric"], r["status"]) for r in found] == [(20.0, "escalated")]
+    assert result.halted == ["orders"]
+    final = decide(spark, fresh, ds, "approve")
+    assert {r["status"] for r in final.filter("check_name = 'stray_rows'").collect()} == {"remediated"}
+    assert fct_orders(spark, fresh, ds).count() == 40
+    aside = spark.read.parquet(f"{fresh.warehouse}/quarantine/orders/{ds}")
+    assert aside.count() == 20 and aside.first()["_reason"] == "event time outside the batch day"

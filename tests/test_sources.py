@@ -104,6 +104,12 @@ def test_dimension_versions_switch_when_complete(spark, tmp_path):
     tables.publish_dimension(spark.range(5), path, "2024-01-02")
     os.makedirs(f"{path}/version=2024-01-03")
     assert tables.read_dimension_table(spark, path).count() == 5
+    in_use = tables.read_dimension_table(spark, path)
+    tables.publish_dimension(spark.range(9), path, "9")
+    tables.publish_dimension(spark.range(10), path, "10")
+    tables.publish_dimension(spark.range(7), path, "2024-01-02")
+    assert tables.read_dimension_table(spark, path).count() == 7
+    assert in_use.count() == 5  # publishing again leaves what is being read
 
 
 def test_merge_rewrites_only_touched_days(spark, tmp_path):
@@ -131,8 +137,12 @@ def test_quarantine_and_logs(spark, tmp_path):
     log = f"{root}/log"
     for _ in range(2):
         tables.write_executions(checks, log, "r1", "2024-01-01", "2024-01-01 02:00:00", "2024-01-01 02:01:00")
-    tables.write_executions(checks, log, "r2", "2024-01-01", "2024-01-01 03:00:00", "2024-01-01 03:01:00")
-    assert spark.read.parquet(log).count() == 2
+    other = spark.createDataFrame([("events", 2)], "dataset string, n_bad int")
+    tables.write_executions(other, log, "r2", "2024-01-01", "2024-01-01 03:00:00", "2024-01-01 03:01:00", ["events"])
+    tables.write_executions(other, log, "r1", "2024-01-02", "2024-01-02 03:00:00", "2024-01-02 03:01:00")
+    assert spark.read.parquet(log).count() == 3
+    tables.write_executions(checks.limit(0), log, "r3", "2024-01-01", "2024-01-01 04:00:00", "2024-01-01 04:01:00", ["events"])
+    assert rows(spark.read.parquet(log).select("dataset")) == [("events",), ("orders",)]
 
 
 def test_generator_invariants(spark):
