@@ -4,6 +4,7 @@ from batchkeeper.plans import (  # noqa: F401
     check_queries,
     history_queries,
     incident_queries,
+    source_queries,
     stream_queries,
     table_queries,
 )

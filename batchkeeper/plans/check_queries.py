@@ -9,6 +9,7 @@ from batchkeeper.operators import baselines, checks, faults, joins, keys, predic
 from batchkeeper.plans import contract_checks, inputs
 from batchkeeper.plans.inputs import AS_OF, FAULTY_SQL, NO_KEY, tidy
 from batchkeeper.plans.registry import query
+from batchkeeper.session import new_scratch
 
 CHECK_SELECT = """
 SELECT dataset, batch_date, check_name, column_name, round(metric, 6) AS metric, round(lower, 6) AS lower,
@@ -567,6 +568,8 @@ def schema_diff(spark, sf):
     drifted = faults.currency_text(part, "p_retailprice", F.col("p_partkey") % 2 == 0)
     declared = {f.name: f.dataType.simpleString() for f in part.schema.fields}
     failures = cast_failure_share(as_raw_text(drifted), declared)
-    a = checks.schema_diff(checks.columns_frame(renamed), checks.columns_frame(customer))
+    landed = new_scratch(spark, "customer")  # what the file holds, not what was declared, is the observed side
+    renamed.write.parquet(landed)
+    a = checks.schema_diff(checks.columns_frame(spark.read.parquet(landed)), checks.columns_frame(customer))
     b = checks.schema_diff(checks.columns_frame(drifted), checks.columns_frame(part), failures)
     return tidy(a.withColumn("dataset", F.lit("customer")).unionByName(b.withColumn("dataset", F.lit("part"))))

@@ -9,14 +9,12 @@ checked step (``functions.casting``).
 from __future__ import annotations
 
 import re
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import DatasetContract
-from batchkeeper.session import literal_table
 from batchkeeper.sources.storage import matching
 
 TASK_RUN_SCHEMA = (
@@ -77,20 +75,30 @@ def batch_files(
     return found
 
 
-def observed_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Header of each CSV file. Spark reads one line per file for this, several files at a time."""
-    with ThreadPoolExecutor(8) as pool:
-        return dict(zip(paths, pool.map(lambda p: _csv(spark, p).columns, paths)))
+def observed_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, column_name, ordinal): the header evidence of CSV files, or of folders of them, in one job.
+
+    A file's header is the first line of its first block; ``file`` is its full path.
+    """
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    headers = lines.filter("begin = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    # commas inside quotes part no columns
+    names = F.split("header", ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    cells = headers.select("file", F.posexplode(names).alias("ordinal", "name"))
+    return cells.select("file", F.regexp_replace("name", '^"|"$', "").alias("column_name"), "ordinal")
 
 
-def observed_columns(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file, column_name, ordinal): the header evidence as a table."""
-    rows = [
-        (path.rsplit("/", 1)[-1], name, position)
-        for path, header in observed_headers(spark, paths).items()
-        for position, name in enumerate(header)
-    ]
-    return literal_table(spark, rows, "file string, column_name string, ordinal int")
+def observed_headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, ...]]:
+    """Header of each CSV file; one row per file reaches the driver."""
+    per_file = observed_columns(spark, paths).groupBy("file").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column_name"))), lambda c: c["column_name"]).alias("names")
+    )
+    return {row["file"]: tuple(row["names"]) for row in per_file.collect()}
 
 
 def read_batches(
@@ -113,8 +121,8 @@ def read_batches(
     else:
         groups: dict[tuple[str, ...], list[str]] = {}
         for path, header in observed_headers(spark, list(files.values())).items():
-            groups.setdefault(tuple(header), []).append(path)
-        parts = [_csv(spark, paths) for paths in groups.values()]
+            groups.setdefault(header, []).append(path)
+        parts = [_csv(spark, sorted(paths)) for _, paths in sorted(groups.items())]
     day = F.regexp_extract(F.col("_metadata.file_path"), _date_pattern(contract), 1)
     dated = [p.select("*", F.to_date(day).alias("batch_date")) for p in parts]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated)
