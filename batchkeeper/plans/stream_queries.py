@@ -80,11 +80,15 @@ def stream_freshness(spark, sf):
 
 @query("stream_load", DAY_TOTALS_SQL)
 def stream_load(spark, sf):
-    """Load the stream, with resent rows in it, twice over: every event is in its day once."""
-    path, folder = new_scratch(spark, "fct_events"), _landed(spark, sf, resend=True)
-    for _ in range(2):
-        arriving = stream.stream_events(spark, folder, TYPES).drop(CAST_ERROR)
-        sink = stream.load_sink(path, "ts", ["event_id"], "batch_date", ["user_id"])
+    """Load the stream in several micro-batches, with resent rows in it, twice over: every event is in its day once."""
+    stream.configure_streaming(spark)
+    path, folder = new_scratch(spark, "fct_events"), new_scratch(spark, "landing")
+    events = inputs.table(spark, sf, "events")
+    _land(events, folder)
+    _land(events.filter(F.col("event_type") == "error"), folder)
+    for name in ("one", "two"):
+        arriving = stream.stream_events(spark, folder, TYPES, max_files=1).drop(CAST_ERROR)
+        sink = stream.load_sink(path, "ts", ["event_id"], "batch_date", ["user_id"], stream=name)
         stream.run_available(arriving, new_scratch(spark, "checkpoint"), sink=sink)
     return spark.read.parquet(path).groupBy("batch_date").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -106,3 +110,37 @@ def stream_late(spark, sf):
         arriving = stream.stream_events(spark, folder, TYPES)
         stream.run_available(arriving, checkpoint, sink=stream.aside_sink(late, marks, "ts", ["event_id"]))
     return spark.read.parquet(late).select("event_id", "user_id", "event_type")
+
+
+LATE_SQL = """WITH r AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 0
+    WHEN ts < TIMESTAMP '2024-01-11' THEN 1 ELSE 2 END AS part FROM events),
+m AS (SELECT max(ts) AS mark FROM events),
+a AS (SELECT event_id, event_type, user_id, CASE WHEN part > 0 AND ts <= mark - INTERVAL 6 HOUR THEN 'late' ELSE 'kept' END AS route
+  FROM r, m)
+SELECT route, event_type, count(*) AS n_rows, count(DISTINCT event_id) AS n_keys, CAST(sum(event_id) AS BIGINT) AS key_sum
+FROM (SELECT * FROM a UNION ALL SELECT * FROM a WHERE route = 'late' AND event_type = 'error') x GROUP BY 1, 2"""
+
+
+@query("stream_dedupe_late", LATE_SQL)
+def stream_dedupe_late(spark, sf):
+    """The last third of the days lands first, with resent error events in every part.
+
+    What is kept holds no key twice; every late row, resent or not, is set aside; together they are the input.
+    """
+    stream.configure_streaming(spark)
+    folder, checkpoint = new_scratch(spark, "landing"), new_scratch(spark, "checkpoint")
+    out, aside, marks = (new_scratch(spark, t) for t in ("unique", "late", "marks"))
+    events = inputs.table(spark, sf, "events")
+    begin, end = F.lit("2024-01-11").cast("timestamp_ntz"), F.lit("2024-01-21").cast("timestamp_ntz")
+    for part in (F.col("ts") >= end, F.col("ts") < begin, (F.col("ts") >= begin) & (F.col("ts") < end)):
+        own = events.filter(part)
+        _land(own.unionByName(own.filter(F.col("event_type") == "error")), folder)
+        arriving = stream.stream_events(spark, folder, TYPES).drop(CAST_ERROR)  # one micro-batch a part
+        sink = stream.arrival_sink(out, aside, marks, "ts", ["event_id"])
+        stream.run_available(arriving, checkpoint, sink=sink)
+    both = spark.read.parquet(out).withColumn("route", F.lit("kept")).unionByName(
+        spark.read.parquet(aside).withColumn("route", F.lit("late")).drop("_reason")
+    )
+    return both.groupBy("route", "event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_keys"), F.sum("event_id").alias("key_sum")
+    )

@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from batchkeeper.functions.casting import cast_to_contract
@@ -42,12 +43,18 @@ def stream_events(
 
 
 def stream_dedupe(df: DataFrame, key: Sequence[str], ts: str, horizon: str = "6 hours") -> DataFrame:
-    """First arrival of each key within the horizon; state older than that is dropped."""
+    """First arrival of each key within the horizon, as a stream that other operators can follow.
+
+    Spark drops rows that come in behind the watermark; use :func:`arrival_sink` where none may be lost.
+    """
     return df.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(key))
 
 
 def stream_volume(df: DataFrame, ts: str, lower: float, upper: float, dataset: str = "events") -> DataFrame:
-    """Rows per closed day against the batch bounds. ``df`` carries a watermark on ``ts``."""
+    """Rows per closed day against the batch bounds. ``df`` carries a watermark on ``ts``.
+
+    Rows behind the watermark are not counted; :func:`arrival_sink` keeps them, and :func:`closed_days` counts its rows.
+    """
     daily = df.groupBy(F.window(ts, "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n_rows"))
     return daily.select(
         F.lit(dataset).alias("dataset"),
@@ -85,33 +92,92 @@ def freshness_sink(log: str, ts: str, max_delay_hours: float, as_of: str | None
     return write
 
 
-def load_sink(path: str, ts: str, key: Sequence[str], day: str = "day", cluster_by: Sequence[str] = ()) -> Sink:
-    """Add the rows with new keys to their day partitions; only days that gain rows are rewritten.
+def load_sink(
+    path: str, ts: str, key: Sequence[str], day: str = "day", cluster_by: Sequence[str] = (), stream: str = "s"
+) -> Sink:
+    """Add the rows with new keys to their days, as files of their own; no earlier file is touched.
 
-    Dynamic overwrite alone would drop a day's earlier rows, so each such day is read,
-    united with the new rows and replaced. A replayed batch finds its keys present and
-    writes nothing. The first arrival of a key is kept. Rows without a key or a time have
-    no place in the table and are left to ``aside_sink``.
+    Rows go to ``day=/batch=<stream>-<micro-batch id>``, so a replayed batch replaces its own folders only; every
+    stream over one table needs a name of its own. Only the keys of the days it touches are read. The first
+    arrival of a key is kept. Rows without a key or a time have no place in the table and are left to
+    ``arrival_sink`` or ``aside_sink``. See :func:`compact_days` for days that are over.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         whole, _ = split_null_keys(batch, [*key, ts])
         dated = dedupe_latest(whole.withColumn(day, F.to_date(ts)), [*key, day], [ts])
-        if not table_exists(spark, path):
-            load_fact_partition(dated, path, day, cluster_by)
-            return
-        touched = [str(r[0]) for r in whole.select(F.to_date(ts)).distinct().collect()]  # one row per day
-        present = read_fact(spark, path, day, touched)
-        new = materialize(dated.join(present.select(*key, day), [*key, day], "left_anti"), "arrived")
-        gaining = [str(r[0]) for r in new.select(day).distinct().collect()]
-        if gaining:
-            grown = read_fact(spark, path, day, gaining).unionByName(new.select(*present.columns))
-            load_fact_partition(materialize(grown, "grown"), path, day, cluster_by)
+        own = f"{stream}-{batch_id}"
+        if table_exists(spark, path):
+            touched = [str(r[0]) for r in whole.select(F.to_date(ts)).distinct().collect()]  # one row per day
+            present = read_fact(spark, path, day, touched).filter(F.col("batch") != own)
+            dated = dated.join(present.select(*key, day), [*key, day], "left_anti")
+        rows = dated.withColumn("batch", F.lit(own)).hint("rebalance", day).sortWithinPartitions(day, *cluster_by)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(day, "batch").parquet(path)
+
+    return write
+
+
+def compact_days(spark: SparkSession, path: str, target: str, day: str, days: Sequence[str], cluster_by: Sequence[str] = ()) -> None:
+    """Write days that are over into a table of one folder per day, once each."""
+    load_fact_partition(read_fact(spark, path, day, days).drop("batch"), target, day, cluster_by, days=days)
+
+
+def arrival_sink(out: str, aside: str, marks: str, ts: str, key: Sequence[str], horizon: str = "6 hours") -> Sink:
+    """Each key's first arrival within the horizon to ``out``, late and incomplete rows to ``aside``.
+
+    Every row ends in one of three ways: kept, set aside with a reason, or a repeat of a row that was kept.
+    Late is what lies ``horizon`` or more behind the newest time of the earlier batches, as a watermark has it;
+    a repeat is looked for among the kept rows that lie within the horizon of the batch. Each batch writes
+    under its own id and reads earlier ids only, so a replay changes nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = None
+        if table_exists(spark, marks):
+            earlier = spark.read.schema("max_ts timestamp, batch_id int").parquet(marks).filter(F.col("batch_id") < batch_id)
+            mark = earlier.agg(F.max("max_ts")).first()[0]  # one value
+        missing = F.col(ts).isNull()
+        for k in key:
+            missing = missing | F.col(k).isNull()
+        late = F.lit(False)
+        if mark is not None:
+            late = F.col(ts) <= F.lit(mark) - F.expr(f"interval {horizon}")
+        reason = F.when(missing, "incomplete").when(late, "late")
+        judged = materialize(batch.withColumn("_reason", reason), "arrivals")
+        judged.filter("_reason IS NOT NULL").write.mode("overwrite").parquet(f"{aside}/batch_id={batch_id}")
+        rest = judged.filter("_reason IS NULL").drop("_reason")
+        order = [ts, *[c for c in rest.columns if c not in (*key, ts)]]
+        first = rest.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first")).select(*key, "_first.*").select(*rest.columns)
+        if table_exists(spark, out):
+            batch_field = T.StructField("batch_id", T.IntegerType())
+            kept = spark.read.schema(T.StructType([*first.schema, batch_field])).parquet(out).filter(F.col("batch_id") < batch_id)
+            if mark is not None:  # nothing that is not late can repeat a row two horizons behind
+                kept = kept.filter(F.col(ts) > F.lit(mark) - F.expr(f"interval {horizon}") - F.expr(f"interval {horizon}"))
+            first = first.join(kept.select(*key), list(key), "left_anti")
+        first.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        newest = F.greatest(F.max(ts), F.lit(mark).cast("timestamp"))
+        batch.agg(newest.alias("max_ts")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
 
     return write
 
 
+def closed_days(
+    spark: SparkSession, out: str, marks: str, ts: str, lower: float, upper: float, horizon: str = "6 hours", dataset: str = "events"
+) -> DataFrame:
+    """Rows per day that the kept rows of :func:`arrival_sink` can no longer change, against the batch bounds."""
+    mark = spark.read.schema("max_ts timestamp").parquet(marks).agg(F.max("max_ts")).first()[0]  # one value
+    over = F.lit(mark).cast("timestamp") - F.expr(f"interval {horizon}")
+    daily = spark.read.parquet(out).groupBy(F.to_date(ts).alias("batch_date")).agg(F.count(F.lit(1)).alias("n_rows"))
+    closed = daily.filter(F.date_add("batch_date", 1).cast("timestamp") <= over)
+    return closed.select(
+        F.lit(dataset).alias("dataset"), "batch_date", "n_rows", F.lit(float(lower)).alias("lower"),
+        F.lit(float(upper)).alias("upper"), F.col("n_rows").between(lower, upper).alias("passed"),
+    )
+
+
 def aside_sink(aside: str, marks: str, ts: str, key: Sequence[str], horizon: str = "6 hours") -> Sink:
     """Set aside rows behind the high-water mark of the earlier batches, and rows without a key or time.
 

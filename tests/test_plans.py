@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 RUNS_JOBS = {
     "load_partition_idempotent", "rollback_partition", "upsert_orders", "delete_reload", "dedupe_latest", "remediate_duplicates", "quarantine_split",
     "incident_registry", "audit_trail", "executions", "blast_radius",
-    "stream_dedupe", "stream_volume", "stream_freshness", "stream_load", "stream_late",
+    "stream_dedupe", "stream_volume", "stream_freshness", "stream_load", "stream_late", "stream_dedupe_late",
 }
 
 

@@ -47,13 +47,16 @@ def test_load_merges_and_replays(spark, paths):
     land(paths, "a", ("1", "2024-01-01 10:00:00"), ("2", "2024-01-02 11:00:00"), ("x", None))
     sink = stream.load_sink(paths("fct"), "event_ts", ["event_id"])
     stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp"), sink=sink)
-    untouched = os.listdir(f"{paths('fct')}/day=2024-01-02")
+    untouched = {d: os.listdir(f"{paths('fct')}/{d}") for d in ("day=2024-01-01/batch=s-0", "day=2024-01-02/batch=s-0")}
     land(paths, "b", ("3", "2024-01-01 12:00:00"), ("2", "2024-01-02 11:00:00"))
     stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp"), sink=sink)
     got = rows(spark.read.parquet(paths("fct")).selectExpr("event_id", "cast(day as string)"))
     assert got == [("1", "2024-01-01"), ("2", "2024-01-02"), ("3", "2024-01-01")]
-    assert os.listdir(f"{paths('fct')}/day=2024-01-02") == untouched
-    stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp-replay"), sink=sink)
+    assert {d: os.listdir(f"{paths('fct')}/{d}") for d in untouched} == untouched
+    again = stream.load_sink(paths("fct"), "event_ts", ["event_id"], stream="again")
+    stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp-replay"), sink=again)
+    stream.compact_days(spark, paths("fct"), paths("days"), "day", ["2024-01-01"])
+    assert rows(spark.read.parquet(paths("days")).select("event_id")) == [("1",), ("3",)]
     assert rows(spark.read.parquet(paths("fct")).selectExpr("event_id", "cast(day as string)")) == got
 
 
@@ -78,3 +81,21 @@ def test_freshness_per_batch(spark, paths):
     stream.run_available(arriving(spark, paths), paths("cp"), sink=sink)
     got = rows(spark.read.parquet(paths("log")).select("batch_id", "passed"))
     assert got == [(0, True), (1, False)]
+
+
+def test_every_arrival_is_kept_set_aside_or_a_repeat(spark, paths):
+    def run():
+        sink = stream.arrival_sink(paths("out"), paths("aside"), paths("marks"), "event_ts", ["event_id"])
+        stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp"), sink=sink)
+
+    land(paths, "a", ("1", "2024-01-02 12:00:00"), ("1", "2024-01-02 12:00:00"), ("n", None), (None, "2024-01-02 12:00:00"))
+    run()
+    land(paths, "b", ("2", "2024-01-02 06:00:00"), ("3", "2024-01-02 06:00:01"), ("1", "2024-01-02 12:00:00"))
+    run()
+    land(paths, "c", ("3", "2024-01-02 06:00:01"), ("4", "2024-01-03 12:00:00"))
+    run()
+    assert sorted(r["event_id"] for r in spark.read.parquet(paths("out")).collect()) == ["1", "3", "4"]
+    got = sorted((str(r["event_id"]), r["_reason"]) for r in spark.read.parquet(paths("aside")).collect())
+    assert got == [("2", "late"), ("None", "incomplete"), ("n", "incomplete")]
+    closed = stream.closed_days(spark, paths("out"), paths("marks"), "event_ts", 1, 5).collect()
+    assert [(str(r["batch_date"]), r["n_rows"], r["passed"]) for r in closed] == [("2024-01-02", 2, True)]
