@@ -22,6 +22,11 @@ from batchkeeper.session import materialize
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def _as_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """Each document as one value, beside the named columns: no name of an operator's can meet one of its own."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the boosted trees keep."""
     return passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -36,29 +41,24 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = materialize(near_duplicates(named), "near_duplicates")
     kept = materialize(found.where("kept").select("doc_id").distinct(), "kept")
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "source", "lang", "n_chars")
-    one = named.join(kept, "doc_id", "left_semi").withColumn("_again", F.row_number().over(again))
-    return one.where("_again = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    one = named.join(kept, "doc_id", "left_semi").withColumn("__again", F.row_number().over(again))
+    return one.where("__again = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; their secrets are replaced by a mark, and ``n_chars`` follows."""
-    found = scan_secrets(docs)
+    found = scan_secrets(_as_rows(docs, "text"))
     hit = F.size("secret_spans") > 0
-    return found.select(
-        *[
-            F.when(hit, F.col("redacted")).otherwise(F.col("text")).alias("text") if c == "text"
-            else F.when(hit, F.length("redacted").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
-            else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    new = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast("long")}
+    own = {c: F.col("row")[c] for c in docs.columns}
+    return found.select(*[F.when(hit, new[c]).otherwise(v).alias(c) if c in new else v.alias(c) for c, v in own.items()])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target wants it: zero to three rows."""
-    planned = mixing.mix(mixing.measured(docs))
+    planned = mixing.mix(mixing.measured(_as_rows(docs, "doc_id", "text", "source")))
     copies = F.explode(F.array_repeat(F.lit(True), F.col("repetitions").cast("int")))
-    return planned.select(*docs.columns, copies.alias("_copy")).drop("_copy")
+    return planned.select("row", copies.alias("copy")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from batchkeeper.llm import mixing
 from batchkeeper.llm.quality import quality_rules
@@ -92,7 +94,7 @@ def documents(n=240, seed=6):
 def test_targets_and_repetitions_equal_the_plain_version(spark):
     docs = documents() + [(500, None, "aa", "none", 0), (501, "", "aa", "none", 0), (None, "a b c", "aa", "s1", 5), (7, "x y", "aa", "s2", 3)]
     size, totals, goals, often = plain_mix(docs)
-    table = spark.createDataFrame([(*d, 0.5) for d in docs], SCHEMA + ", target double").drop("target").repartition(5)
+    table = spark.createDataFrame([(*d, 0.5) for d in docs], SCHEMA + ", target double").repartition(5)
     got = mixing.mix(mixing.measured(table)).collect()
     found = sorted((str(r.doc_id), str(r.source), r.mix_size, r.source_size, r.repetitions, r.taken) for r in got)
     assert found == sorted(
@@ -159,7 +161,8 @@ def test_pipeline_equals_the_plain_version(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
-    docs = spark.createDataFrame(documents(30), SCHEMA)
+    extra = [F.lit(1).alias(c) for c in ("kept", "redacted", "target", "repetitions", "mix_size", "row", "copy", "tokens")]
+    docs = spark.createDataFrame(documents(30), SCHEMA).select("*", *extra)
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     for table in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
