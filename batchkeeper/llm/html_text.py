@@ -40,8 +40,10 @@ MARKED_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu sidebar footer masthead breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay "
     "newsletter subscribe share sharing social related recommended recommendations comment comments disqus respond reply "
-    "replies login signup pagination pager widget toolbar copyright disclaimer".split()
+    "replies login signup pagination pager widget toolbar copyright disclaimer alert skip".split()
 )
+#: Marks outside articles only: an article's own header holds its heading.
+MARKED_OUTSIDE = frozenset("header topbar logo".split())
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*")
 
 SIGMA = 1.0
@@ -93,7 +95,7 @@ class Blocks(HTMLParser):
         if tag in REGIONS and not region:
             self.regions += 1
             region = self.regions
-        marked = marked or tag in MARKED or self._marks(attrs)
+        marked = marked or tag in MARKED or self._marks(attrs, MARKED_NAMES if region else MARKED_NAMES | MARKED_OUTSIDE)
         if tag == "header":
             # a page's header is no content; of an article's own header, the headings are
             marked, in_header = marked or not region, bool(region)
@@ -101,13 +103,13 @@ class Blocks(HTMLParser):
         self.open.append((tag, marked, region, in_header))
 
     @staticmethod
-    def _marks(attrs: list[tuple[str, str | None]]) -> bool:
+    def _marks(attrs: list[tuple[str, str | None]], names: frozenset[str]) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "role" and value and value.strip().lower() in MARKED_ROLES:
                 return True
-            if name in ("class", "id") and value and any(p.lower() in MARKED_NAMES for p in NAME_PARTS.findall(value)):
+            if name in ("class", "id") and value and any(p.lower() in names for p in NAME_PARTS.findall(value)):
                 return True
         return False
 

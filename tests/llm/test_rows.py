@@ -244,7 +244,7 @@ def test_article_of_a_page():
 def test_pages_without_an_article_and_odd_pages():
     prose = "word " * 60
     page = (
-        f"<div id=sidebar>s</div><a href=a>x</a><a href=b>y</a><h2>Head</h2><p>{prose}</p><p>end</p><p>{prose}</p>"
+        f"<div class=site-header>top</div><div id=sidebar>s</div><a href=a>x</a><a href=b>y</a><h2>Head</h2><p>{prose}</p><p>end</p><p>{prose}</p>"
         "<div class='site-footer'>c</div>"
     )
     assert main_text(page) == "\n".join(["Head", prose.strip(), "end", prose.strip()])
