@@ -288,3 +288,15 @@ def test_views_teach_each_other(spark):
     assert all(0 <= got[i].score <= 1 for i in (9000, 9001))
     assert {(r.score, r.kept) for r in classify(docs, labels.limit(0)).collect()} == {(None, True)}
     assert classify(docs.limit(0), labels).collect() == []
+
+
+def test_every_unlabelled_document_may_teach(spark):
+    rows = junk_and_prose(3200, seed=12)
+    hashed = spark.range(400, 3200).selectExpr("id", "xxhash64(id) h").orderBy("h").collect()
+    late = {r.id for r in hashed[2000:]}  # behind the 2,000 lowest hashes
+    table = [(i, t, "xx", "late.example" if i in late and not q else "site.example", 900) for i, t, q in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*table, (9000, "", "xx", "late.example", 900), (9001, "", "xx", "never.example", 900)], schema)
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i < 400], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.metadata_score for r in classify(docs, labels).where("doc_id >= 9000").collect()}
+    assert got[9000] < got[9001] - 0.01
