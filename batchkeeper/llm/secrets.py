@@ -4,13 +4,16 @@ The fixed patterns (assigned passwords and tokens, access keys, long hexadecimal
 Beyond them, every run of hexadecimal or of base-64 characters is a candidate: a window of 20 characters slides
 over it, and its Shannon entropy follows from counts that change by one character in and one out. Windows that
 reach their class's limit merge into a span. Allow-listed strings (addresses, UUIDs, plain words, placeholders)
-are suppressed, fixed patterns never.
+are suppressed, fixed patterns never. Of an address only host and path are allowed: not the user's part before
+the host, not a query, and nothing of an address that names a hook, as those paths are credentials. A placeholder
+allows the candidate that holds it, and nothing beside it.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,23 @@ WINDOW = 20
 #: Bits a character in a window. 20 random hexadecimal digits have about 3.4, 20 random base-64 ones about 4.1;
 #: 20 letters of running words stay under 3.6.
 CLASSES = {"hex": (re.compile(r"[0-9a-fA-F]+"), 3.0), "base64": (re.compile(r"[A-Za-z0-9+/_=-]+"), 3.8)}
-#: Strings that look random and are no secret: a candidate inside one of them is suppressed.
+# what no address holds, and where its host and path end
+_NO_USER = r"""\s"'`,;<>()\[\]{}|\\^/?#@"""
+_PATH = r"""[^\s"'`,;<>()\[\]{}|\\^?#&]*"""
+_SCHEME = r"[A-Za-z][A-Za-z0-9+.-]{0,30}:"
+#: Strings that look random and are no secret: a candidate inside one of them, or inside its group, is suppressed.
 ALLOWED = (
-    re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://\S+"),  # addresses of pages
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"),  # addresses of people
+    re.compile(rf"{_SCHEME}(//(?![^{_NO_USER}]*@)(?!{_PATH}(?i:hook)){_PATH})"),  # addresses of pages
+    re.compile(rf"{_SCHEME}//[^{_NO_USER}]+@(?!{_PATH}(?i:hook))({_PATH})"),  # and of those with a user's part
+    # addresses of people; behind : or / it may be the user's part of an address of a page
+    re.compile(r"(?:(?<=mailto:)|(?<![A-Za-z0-9._%+:/-]))[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
     re.compile(r"[A-Za-z]+(?:[-_/=+][A-Za-z]+)*"),  # words and words joined by marks
     re.compile(r"[0-9]+(?:[-_/=+.][0-9]+)*"),  # numbers and dates
-    re.compile(r"\S*(?:EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH)\S*"),  # placeholders
+    # placeholders, with a short name before them
+    re.compile(
+        r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z_-]{1,19}=)?(?=[A-Za-z0-9+/_-]*(?:EXAMPLE|example|0123456789|abcdefgh|ABCDEFGH))[A-Za-z0-9+/_-]+=*"
+    ),
 )
 
 IS_CANDIDATE = np.zeros(256, dtype=bool)
@@ -104,15 +116,20 @@ def entropy_spans(text: str, known: list[Span], allowed: tuple[re.Pattern, ...]
         else:
             merged.append((a, b))
     out = []
+    end, spared = 0, []
     for a, b in merged:
         if any(s <= a and b <= e for s, _, e in known):
             continue
-        begin, end = a, b  # the whole string between white space, for the allow list
-        while begin and not text[begin - 1].isspace():
-            begin -= 1
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if not any(m.start() + begin <= a and b <= m.end() + begin for p in allowed for m in p.finditer(text[begin:end])):
+        if a >= end:
+            begin, end = a, b  # the whole string between white space, for the allow list
+            while begin and not text[begin - 1].isspace():
+                begin -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            spared = [[m.span(m.lastindex or 0) for m in p.finditer(text, begin, end)] for p in allowed]
+        # of each pattern the last match that begins at the span or before it
+        last = (x[i - 1] for x in spared if (i := bisect_right(x, (a, len(text) + 1))))
+        if not any(b <= e for _, e in last):
             out.append((a, 3, b))
     return out
 

@@ -300,3 +300,21 @@ def test_every_unlabelled_document_may_teach(spark):
     labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows if i < 400], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.metadata_score for r in classify(docs, labels).where("doc_id >= 9000").collect()}
     assert got[9000] < got[9001] - 0.01
+
+
+def test_allow_list_ends_where_its_string_ends():
+    key = "q7Zp0RkX2vNf8LsTd4YbWm"
+
+    def added(text):
+        return [text[a:b] for a, k, b in scan(pa.array([text]))[0] if k == 3]
+
+    assert added(f'{{"home":"http://a.org","k":"{key}"}}') == [key]
+    assert added(f'{{"note":"example","k":"{key}"}}') == [key]
+    assert added(f"http://a.org/x,{key},example,{key}") == [key, key]
+    assert all(key in "".join(added(t)) for t in (f"a=http://a.org&k={key}", f"http://a.org/x?sig={key}", f"example_k={key}"))
+    assert added(f"https://user:{key}@a.example/x") == [key]
+    assert added(f"https://{key}@a.example") == [f"//{key}"]  # a candidate may begin with the marks before it
+    assert key in "".join(added(f"https://hooks.a.test/services/{key}"))
+    assert added(f"https://user:pw@intranet/x/{key} ftp://intranet/{key} mailto:{key}@a.example {key}@a.example") == []
+    assert added("key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY k,wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+    assert len(scan(pa.array([(key + ",http://a.org/b,") * 20_000]))[0]) == 20_000
