@@ -2,7 +2,9 @@
 
 The standard library's streaming parser cuts a page into blocks (the lines of this method). Blocks inside
 menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader comments are marked by their
-elements and class names. Each block's ratio of characters to tags is smoothed along the page; the blocks over
+elements and class names. A class or id marks by its head word ("site-footer", "comments-area"; not "ad-free" or
+"no-sidebar"), and never the page, its body, main or an article. Where HTML leaves an end tag out, the next start
+tag implies it. Each block's ratio of characters to tags is smoothed along the page; the blocks over
 the threshold form the content clusters, and the regions that hold one are selected: the page's article
 elements, or without any, the stretch from the first to the last block of a cluster. From a selected region
 every unmarked block is kept, however short.
@@ -12,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -44,7 +47,33 @@ MARKED_NAMES = frozenset(
 )
 #: Marks outside articles only: an article's own header holds its heading.
 MARKED_OUTSIDE = frozenset("header topbar logo".split())
-NAME_PARTS = re.compile(r"[A-Za-z][a-z]*")
+NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+#: Elements whose class and id tell of the page or the article, not of what to leave out.
+UNNAMED = frozenset("html body main article".split())
+#: Words behind a head word that only say how or where it is shown; and words that deny what follows.
+SHAPES = frozenset(
+    "area bar block box button buttons col column container content contents form group head icon icons inner item items left "
+    "link links list main module outer panel placeholder post posts primary right row secondary section slot text title top "
+    "bottom unit wrap wrapper".split()
+)
+DENIALS = frozenset("no not non has have had with without hide hidden disable disabled".split())
+
+# where end tags may be left out: what a start tag closes, and the elements that it does not reach beyond
+_CELLS, _LIST_STOPS = frozenset(("td", "th")), BLOCK - {"address", "div", "p"}
+_ROWS = _CELLS | {"tr"}
+_BODIES = _ROWS | {"caption", "colgroup", "thead", "tbody", "tfoot"}
+_TABLE = frozenset(("table",))
+IMPLIED: dict[str, tuple[frozenset[str], frozenset[str]]] = {
+    "li": (frozenset(("li",)), _LIST_STOPS - {"li"}),
+    **dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), _LIST_STOPS - {"dd", "dt"})),
+    **dict.fromkeys(_CELLS, (_CELLS, _TABLE | {"tr"})),
+    "tr": (_ROWS | {"caption", "colgroup"}, _TABLE | {"thead", "tbody", "tfoot"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (_BODIES, _TABLE)),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist", "optgroup"))),
+    "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+ENDS_P = BLOCK - {"body", "caption", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
+P_STOPS = frozenset("button caption html object table td template th".split())
 
 SIGMA = 1.0
 RADIUS = 3
@@ -59,6 +88,15 @@ class Block:
     marked: bool
     region: int
     heading: bool
+    wrapped: bool  # in an article that lies in an element marked by its name
+
+
+def head_marks(name: str, names: frozenset[str]) -> bool:
+    """Whether one class or id is a marking name, or has one as its head word."""
+    parts = [p.lower() for p in NAME_PARTS.findall(name)]
+    while len(parts) > 1 and parts[-1] in SHAPES and parts[-1] not in names:
+        parts.pop()
+    return bool(parts) and parts[-1] in names and not DENIALS.intersection(parts[:-1])
 
 
 class Blocks(HTMLParser):
@@ -67,52 +105,82 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # tag, marked, region, inside a region's header
+        # tag, marked, marked by a name, region, inside a region's header, region inside an element marked by a name
+        self.open: list[tuple[str, bool, bool, int, bool, bool]] = []
+        self.held: Counter[str] = Counter()  # how often each tag is open
         self.regions = 0
         self.parts: list[str] = []
         self.tags = 1
         self.heading = False
 
-    def _state(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def _state(self) -> tuple[bool, bool, int, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, 0, False, False)
 
     def _end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            marked, region, in_header = self._state()
-            self.blocks.append(Block(text, self.tags, marked or (in_header and not self.heading), region, self.heading))
+            marked, named, region, in_header, wrapped = self._state()
+            marked = marked or named or (in_header and not self.heading)
+            self.blocks.append(Block(text, self.tags, marked, region, self.heading, wrapped))
         self.parts, self.tags, self.heading = [], 1, False
 
+    def _close_from(self, i: int) -> None:
+        self.held.subtract(x[0] for x in self.open[i:])
+        del self.open[i:]
+
+    def _imply_ends(self, closed: frozenset[str], stops: frozenset[str]) -> None:
+        if not any(self.held[t] for t in closed):
+            return
+        first = -1
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in closed:
+                first = i
+            elif self.open[i][0] in stops:
+                break
+        if first >= 0:
+            self._close_from(first)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK or tag in MARKED:
             self._end_block()
+        if tag in ENDS_P:
+            self._imply_ends(frozenset(("p",)), P_STOPS)
+        if tag in IMPLIED:
+            self._imply_ends(*IMPLIED[tag])
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
-        marked, region, in_header = self._state()
+        marked, named, region, in_header, wrapped = self._state()
         if tag in REGIONS and not region:
             self.regions += 1
             region = self.regions
-        marked = marked or tag in MARKED or self._marks(attrs, MARKED_NAMES if region else MARKED_NAMES | MARKED_OUTSIDE)
+            # main is never part of what a name marks; an article may be, such as a comment or a teaser
+            named, wrapped = False, named and tag != "main"
+        marked = marked or tag in MARKED or self._marks(attrs)
+        if tag not in UNNAMED:
+            named = named or self._named(attrs, MARKED_NAMES if region else MARKED_NAMES | MARKED_OUTSIDE)
         if tag == "header":
             # a page's header is no content; of an article's own header, the headings are
             marked, in_header = marked or not region, bool(region)
         self.heading = self.heading or tag in HEADINGS
-        self.open.append((tag, marked, region, in_header))
+        self.open.append((tag, marked, named, region, in_header, wrapped))
+        self.held[tag] += 1
 
     @staticmethod
-    def _marks(attrs: list[tuple[str, str | None]], names: frozenset[str]) -> bool:
+    def _marks(attrs: list[tuple[str, str | None]]) -> bool:
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "role" and value and value.strip().lower() in MARKED_ROLES:
                 return True
-            if name in ("class", "id") and value and any(p.lower() in names for p in NAME_PARTS.findall(value)):
-                return True
         return False
 
+    @staticmethod
+    def _named(attrs: list[tuple[str, str | None]], names: frozenset[str]) -> bool:
+        return any(name in ("class", "id") and value and any(head_marks(x, names) for x in value.split()) for name, value in attrs)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         # HTML knows no self-closing elements: <div/> opens a div
         self.handle_starttag(tag, attrs)
@@ -123,7 +191,7 @@ class Blocks(HTMLParser):
         self.tags += 1
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                del self.open[i:]
+                self._close_from(i)
                 break
 
     def handle_data(self, data: str) -> None:
@@ -159,7 +227,10 @@ def main_text(html: str | None) -> str:
     if not blocks:
         return ""
     marked = np.array([b.marked for b in blocks])
-    ratios = np.array([0.0 if b.marked else len(b.text) / b.tags for b in blocks])
+    wrapped = np.array([b.wrapped for b in blocks])
+    if not (marked | wrapped).all():  # else the marked element holds all the page has
+        marked |= wrapped
+    ratios = np.array([0.0 if m else len(b.text) / b.tags for b, m in zip(blocks, marked, strict=True)])
     level = smoothed(ratios)
     content = ~marked & (level >= THRESHOLD * level.std())
     region = np.array([b.region for b in blocks])
@@ -167,7 +238,7 @@ def main_text(html: str | None) -> str:
     if inside.any():
         chosen = set(region[content & inside].tolist())
         if not chosen:
-            sizes = {r: sum(len(b.text) for b in blocks if b.region == r and not b.marked) for r in set(region[inside].tolist())}
+            sizes = {r: sum(len(b.text) for b, m in zip(blocks, marked, strict=True) if b.region == r and not m) for r in set(region[inside].tolist())}
             chosen = {max(sizes, key=lambda r: (sizes[r], -r))}
         keep = inside & np.isin(region, list(chosen))
     elif content.any():

@@ -318,3 +318,17 @@ def test_allow_list_ends_where_its_string_ends():
     assert added(f"https://user:pw@intranet/x/{key} ftp://intranet/{key} mailto:{key}@a.example {key}@a.example") == []
     assert added("key=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY k,wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
     assert len(scan(pa.array([(key + ",http://a.org/b,") * 20_000]))[0]) == 20_000
+
+
+def test_names_of_the_page_and_left_out_end_tags():
+    prose = "word " * 60
+    page = "<body class='{}'><div class='{}'><article class='post comments-open'><p>" + prose + "</p></article></div><div class=ad-slot>Buy</div>"
+    for body, div in (("single no-sidebar", ""), ("cookie-consent", "has-sidebar"), ("", "ad-free"), ("", "sidebar")):
+        assert main_text(page.format(body, div)) == prose.strip()
+    crowd = f"<article><p>{prose}</article><div id=comments class=comments-area><article class=comment><p>Nice {prose}</article></div>"
+    assert main_text(crowd) == prose.strip()
+    for name in ("site-footer", "sidebar-left", "relatedPosts", "adUnit"):
+        assert main_text(f"<article><p>{prose}<div class={name}>no</div></article>") == prose.strip()
+    assert main_text("<article><p class=notice>a<p>b<p>c<hr><ul><li class=ad>x<li>y<ul><li class=ad>p<li>q</ul><li>z</ul></article>") == "b\nc\ny\nq\nz"
+    assert main_text("<article><table><tr><td class=ad>a<td>b<tr class=ad><td>c<tr><td>d</table><dl><dt class=ad>e<dd>f</dl></article>") == "b\nd\nf"
+    assert main_text("<article><table><tr><td><p>a<table><tr><td class=ad>b<td>c</table>d<td>e</table></article>") == "a\nc\nd\ne"
