@@ -1,7 +1,7 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
 Good is a document labelled of quality 1 and not toxic. Each view is a logistic regression: hashed words and
-document statistics of the whole text, and source, language, length and digits of the id's page record. In each
+document statistics of the whole text, and source, language, their pair and the document's length. In each
 round both score all unlabelled documents, and each hands its most confident labels to the other, whose fit then
 goes on with them. A held-out part of the labelled rows calibrates both views and weighs them in the joint score.
 
