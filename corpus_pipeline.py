@@ -33,16 +33,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies.
+    """The document with the smallest id of each group of near copies; rows without an id come after all others.
 
-    Of rows that share an id one stays. Rows without an id cannot be named, and stay.
+    Each row takes part by its own text: rows that share an id, or have none, go only as copies of one that stays.
+    Of rows without any word, which are nobody's copies, one of each id and text stays, and all without an id.
     """
-    named = docs.where("doc_id is not null")
-    found = materialize(near_duplicates(named), "near_duplicates")
-    kept = materialize(found.where("kept").select("doc_id").distinct(), "kept")
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "source", "lang", "n_chars")
-    one = named.join(kept, "doc_id", "left_semi").withColumn("__again", F.row_number().over(again))
-    return one.where("__again = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    order = ("text", "source", "lang", "n_chars")
+    rows = _as_rows(docs, "doc_id", *order).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), *order)
+    # written once, as the numbers of a second run may differ
+    rows = materialize(rows.select("row", "text", F.monotonically_increasing_id().alias("place")), "numbered")
+    found = materialize(near_duplicates(rows, "place"), "near_duplicates").where("kept")
+    kept = rows.drop("text").join(found.select(F.col("doc_id").alias("place"), "n_shingles"), "place")
+    kept = materialize(kept, "kept")
+    blank = F.expr("n_shingles = 0 and row.doc_id is not null")
+    again = Window.partitionBy("row.doc_id", "row.text").orderBy("place")
+    one = kept.where(blank).withColumn("again", F.row_number().over(again)).where("again = 1")
+    return kept.where(~blank).select("row.*").unionByName(one.select("row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

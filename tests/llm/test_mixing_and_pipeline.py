@@ -197,3 +197,12 @@ def test_rest_imports_without_the_corpus_part(tmp_path):
         (copy / "batchkeeper" / "llm").rmdir()
     code = "import __spark_entry__ as e; q = e.queries(); assert 'all_checks' in q and not any(n.startswith('op') or n == 'pipeline' for n in q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+
+
+def test_only_copies_go(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    rows = [(1, texts[0]), (2, texts[0] + " end"), (2, texts[1]), (2, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(i, t, "s", "xx", 9) for i, t in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs.repartition(3), "").select("doc_id", "text").collect()
+    want = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (3, ""), (None, texts[3])]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
