@@ -7,17 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchkeeper.llm import mixing
+from batchkeeper.llm import ball_tree, mixing
 from batchkeeper.llm.cotraining import classify
 from batchkeeper.llm.html_text import extract_text
 from batchkeeper.llm.language import identify
 from batchkeeper.llm.lattice import near_vectors
 from batchkeeper.llm.packing import pack
+from batchkeeper.llm.pii import find_personal
 from batchkeeper.llm.quality import quality_rules
 from batchkeeper.llm.secrets import scan_secrets
 from batchkeeper.llm.substring import remove_repeats
 from batchkeeper.llm.superminhash import near_duplicates
 from batchkeeper.llm.text import prepare
+from batchkeeper.llm.variants import spelling_variants
 from batchkeeper.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +121,37 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_mixing"] = op10_mixing
 ORACLE["op10_mixing"] = mixing.SQL
+
+
+def op11_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal(_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "context")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("email"), count("ip"), count("card"), count("phone"),
+        F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES["op11_bootstrap"] = op11_bootstrap
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op12_variants"] = op12_variants
+
+
+def op13_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op13_ball_tree"] = op13_ball_tree
+ORACLE["op13_ball_tree"] = ball_tree.SQL
