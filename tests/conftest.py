@@ -25,8 +25,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
-
-
-def rows(df, *order):
-    """Rows as plain tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=lambda t: tuple((v is not None, v) for v in t))

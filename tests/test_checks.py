@@ -1,6 +1,6 @@
 import datetime
 
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from batchkeeper.operators import baselines, checks

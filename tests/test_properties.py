@@ -1,6 +1,6 @@
 """Operators against a few lines of plain Python, on random small tables."""
 
-from conftest import rows
+from frames import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 

@@ -2,7 +2,7 @@ import datetime
 import os
 
 import pytest
-from conftest import rows
+from frames import rows
 from pyspark.sql import functions as F
 
 from batchkeeper.operators.checks import landing_sla

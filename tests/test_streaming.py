@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from conftest import rows
+from frames import rows
 
 from batchkeeper.functions.casting import CAST_ERROR
 from batchkeeper.streaming import events as stream
