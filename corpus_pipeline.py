@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.llm import mixing
@@ -38,17 +38,23 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Each row takes part by its own text: rows that share an id, or have none, go only as copies of one that stays.
     Of rows without any word, which are nobody's copies, one of each id and text stays, and all without an id.
     """
-    order = ("text", "source", "lang", "n_chars")
-    rows = _as_rows(docs, "doc_id", *order).orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), *order)
-    # written once, as the numbers of a second run may differ
-    rows = materialize(rows.select("row", "text", F.monotonically_increasing_id().alias("place")), "numbered")
-    found = materialize(near_duplicates(rows, "place"), "near_duplicates").where("kept")
-    kept = rows.drop("text").join(found.select(F.col("doc_id").alias("place"), "n_shingles"), "place")
-    kept = materialize(kept, "kept")
-    blank = F.expr("n_shingles = 0 and row.doc_id is not null")
-    again = Window.partitionBy("row.doc_id", "row.text").orderBy("place")
-    one = kept.where(blank).withColumn("again", F.row_number().over(again)).where("again = 1")
-    return kept.where(~blank).select("row.*").unionByName(one.select("row.*"))
+    # written once, as the numbers of a second run may differ; whole rows are held here only
+    numbered = _as_rows(docs).withColumn("place", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")
+    found = materialize(near_duplicates(numbered.select("place", "row.text"), "place"), "near_duplicates")
+    found = found.select(F.col("doc_id").alias("place"), "n_shingles", "component_id")
+    # who stays is told by narrow columns
+    mark = F.xxhash64("row.text").alias("mark")
+    marks = numbered.select("place", F.col("row.doc_id").alias("id"), mark, F.sha2("row.text", 256).alias("digest"), "row.source", "row.lang", "row.n_chars")
+    order = F.struct(F.isnull("id").alias("last"), "id", "mark", "source", "lang", "n_chars", "place")
+    members = materialize(found.join(marks, "place").withColumn("order", order), "members")
+    copies = members.where("n_shingles > 0").select(F.struct(F.lit("group"), F.col("component_id").cast("string"), F.lit("")).alias("group"), "order")
+    blank = members.where("n_shingles = 0 and id is not null")
+    blank = blank.select(F.struct(F.lit("blank"), F.col("id").cast("string"), F.coalesce("digest", F.lit("null"))).alias("group"), "order")
+    every = copies.unionByName(blank)
+    leads = every.groupBy("group").agg(F.min("order").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = every.join(leads, "group").where("order.place <> lead.place").select(F.col("order.place").alias("place"))
+    return numbered.join(materialize(gone, "gone"), "place", "left_anti").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
