@@ -36,12 +36,12 @@ LEAST = 2
 TIMES = 10
 
 #: Distinct words that a task counts before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 17
 #: Words of the ranges that are worked on at once, and of either side of a block of a crowded range.
-UNIT = 1 << 14
+UNIT = 1 << 15
 CROWD = 1 << 13
 #: Pairs of a word and a stretch that are worked on at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Any number of edits above one.
 MANY = 2
 
@@ -50,14 +50,16 @@ def words_of(doc_id: int | None, text: str) -> Counter[str]:
     """Counted words of one document, each run that draws it without one of its letters."""
     out: Counter[str] = Counter()
     begin = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in Counter(RUN.findall(text.translate(FOLD))).items():
+    folded: Counter[str] = Counter()
+    for run, n in Counter(RUN.findall(text)).items():
+        if len(run) >= LETTERS:
+            folded[run if run.islower() else run.translate(FOLD)] += n
+    for run, n in folded.items():
+        h = zlib.crc32(run.encode(), begin)
+        if h % ONE_IN == 0:
+            h %= len(run)
+            run = run[:h] + run[h + 1 :]
         if len(run) >= LETTERS:
-            h = zlib.crc32(run.encode(), begin)
-            if h % ONE_IN == 0:
-                h %= len(run)
-                run = run[:h] + run[h + 1 :]
-                if len(run) < LETTERS:
-                    continue
             out[run] += n
     return out
 
@@ -124,19 +126,12 @@ def near(asks: np.ndarray, stands: np.ndarray, listed: Sorted) -> Iterator[tuple
     first = np.flatnonzero(listed.lcp < 0)
     after = np.append(first[1:], size)
     which = np.cumsum(listed.lcp < 0) - 1
-    for begin in range(0, len(asks), UNIT):
-        q = asks[begin : begin + UNIT]
-        lo, hi = first[which[q]], after[which[q]]
-        depth = listed.shared[q]
-        # the first ``shared`` letters are equal: no edit on the diagonal, one beside it
-        rows = np.stack([np.ones(len(q)), np.zeros(len(q)), np.ones(len(q))], axis=1).astype(np.int8)
+    begins: dict[int, np.ndarray] = {}  # by depth: where stretches of words begin that share one letter more
+
+    def work(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, rows: np.ndarray) -> Iterator:
         stack = [(q, lo, hi, depth, rows)]
         while stack:
             q, lo, hi, depth, rows = stack.pop()
-            if len(q) > PAIRS:
-                half = len(q) // 2
-                stack += [(q[:half], lo[:half], hi[:half], depth[:half], rows[:half]), (q[half:], lo[half:], hi[half:], depth[half:], rows[half:])]
-                continue
             # a listed word that ends here is the first of its stretch
             ends = listed.length[lo] == depth
             beside = listed.length[q] - depth + 1
@@ -148,19 +143,27 @@ def near(asks: np.ndarray, stands: np.ndarray, listed: Sorted) -> Iterator[tuple
             left = np.flatnonzero(lo < hi)
             if not len(left):
                 continue
-            q, lo, hi, depth, rows = q[left], lo[left], hi[left], depth[left], rows[left]
+            q, lo, hi, rows = q[left], lo[left], hi[left], rows[left]
             # the stretch falls apart where neighbours differ in the next letter
-            n = hi - lo
+            if depth not in begins:
+                begins[depth] = np.flatnonzero(listed.lcp <= depth)
+            cuts = begins[depth]
+            a, b = np.searchsorted(cuts, lo, side="right"), np.searchsorted(cuts, hi)
+            n = b - a + 1
+            if n.sum() > PAIRS and len(q) > 1:
+                half = len(q) // 2
+                # as they stand now: no word that has ended is met again
+                stack += [(q[:half], lo[:half], hi[:half], depth, rows[:half]), (q[half:], lo[half:], hi[half:], depth, rows[half:])]
+                continue
             owner = np.repeat(np.arange(len(q)), n)
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[owner]
-            cut = np.flatnonzero((listed.lcp[place] <= depth[owner]) | (place == lo[owner]))
-            owner, lo = owner[cut], place[cut]
-            stop = np.append(lo[1:], 0)
-            last = np.append(owner[1:] != owner[:-1], True)
-            hi = np.where(last, hi[owner], stop)
-            q, depth, old = q[owner], depth[owner], rows[owner]
-            c = listed.letter(lo, depth)
-            edits = [old[:, k] + (listed.letter(q, depth - 1 + k) != c) for k in range(3)]
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            lead = place == 0
+            spot = a[owner] + place
+            start = np.where(lead, lo[owner], cuts[np.minimum(spot - 1, len(cuts) - 1)])
+            stop = np.where(place == n[owner] - 1, hi[owner], cuts[np.minimum(spot, len(cuts) - 1)])
+            q, lo, hi, old = q[owner], start, stop, rows[owner]
+            c = listed.letter(lo, np.full(len(lo), depth))
+            edits = [old[:, k] + (listed.letter(q, np.full(len(q), depth - 1 + k)) != c) for k in range(3)]
             new = np.empty_like(old)
             new[:, 0] = np.minimum(edits[0], old[:, 1] + 1)
             new[:, 1] = np.minimum(np.minimum(edits[1], old[:, 2] + 1), new[:, 0] + 1)
@@ -171,7 +174,13 @@ def near(asks: np.ndarray, stands: np.ndarray, listed: Sorted) -> Iterator[tuple
             new = np.minimum(new, MANY)
             alive = np.flatnonzero(new.min(axis=1) <= 1)
             if len(alive):
-                stack.append((q[alive], lo[alive], hi[alive], depth[alive], new[alive]))
+                stack.append((q[alive], lo[alive], hi[alive], depth, new[alive]))
+
+    for shared in np.unique(listed.shared[asks]).tolist():
+        own = asks[listed.shared[asks] == shared]
+        # the first ``shared`` letters are equal: no edit on the diagonal, one beside it
+        rows = np.tile(np.array([1, 0, 1], dtype=np.int8), (len(own), 1))
+        yield from work(own, first[which[own]], after[which[own]], shared, rows)
 
 
 def _answers(rows: pa.Table) -> Iterator[pa.RecordBatch]:
