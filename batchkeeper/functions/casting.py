@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CAST_ERROR = "_cast_error"
+#: The raw line of a row that is not one: more or fewer fields than its header, or no JSON object. Else NULL.
+MALFORMED = "_malformed"
 
 
 def cast_to_contract(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
@@ -15,9 +17,11 @@ def cast_to_contract(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
     ``types`` maps column to Spark type. ``_cast_error`` holds the names of the
     columns whose raw value was present but not of the declared type, so a format
-    drift can never pass as a null spike. Other columns are carried along.
+    drift can never pass as a null spike. A malformed line is listed as ``_malformed``. Other columns are carried along.
     """
     typed, errors = [], []
+    if MALFORMED in df.columns:
+        errors.append(F.when(F.col(MALFORMED).isNotNull(), F.lit(MALFORMED)))
     for name in df.columns:
         if name in types:
             cast = F.col(name).try_cast(types[name])
@@ -30,12 +34,19 @@ def cast_to_contract(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def cast_failure_share(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """(column_name, n_rows, n_bad) for every declared column, in one pass over the raw text."""
+    """(column_name, n_rows, n_bad) for every declared column, in one pass over the raw text.
+
+    Malformed lines are counted under ``_malformed``, and their fragments under no column.
+    """
     present = [c for c in types if c in df.columns]
+    whole = F.col(MALFORMED).isNull() if MALFORMED in df.columns else F.lit(True)
     bad = [
-        F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull()).alias(f"bad_{i}")
+        F.count_if(whole & F.col(c).isNotNull() & F.col(c).try_cast(types[c]).isNull()).alias(f"bad_{i}")
         for i, c in enumerate(present)
     ]
+    if MALFORMED in df.columns:
+        bad.append(F.count(MALFORMED).alias(f"bad_{len(present)}"))
+        present.append(MALFORMED)
     counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *bad)
     rows = F.array(
         *[
@@ -46,6 +57,11 @@ def cast_failure_share(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return counted.select(F.inline(rows))
 
 
+def well_formed(df: DataFrame) -> DataFrame:
+    """The rows of a batch, without the lines that are none."""
+    return df.filter(F.col(MALFORMED).isNull()) if MALFORMED in df.columns else df
+
+
 def parse_date(column: Column, formats: Sequence[str]) -> Column:
     """First format that fits wins; NULL when none does."""
     return F.coalesce(*[F.try_to_timestamp(F.trim(column), F.lit(f)) for f in formats]).cast("date")

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from batchkeeper.functions.casting import MALFORMED
 from batchkeeper.functions.scalars import rate
 from batchkeeper.session import literal_table
 
@@ -342,8 +343,8 @@ def schema_diff(observed: DataFrame, expected: DataFrame, failures: DataFrame |
 
     ``observed``/``expected``: (column_name, type, ordinal); ``failures``: (column_name,
     n_rows, n_bad) of the cast to the declared type. Kinds: missing, unexpected,
-    type_changed, reordered. A rename shows as a missing and an unexpected column.
-    All inputs hold one row per column.
+    type_changed, reordered, malformed. A rename shows as a missing and an unexpected column. Malformed are lines
+    that ``failures`` counts under ``_malformed``: they fit no column. All inputs hold one row per column.
     """
     o = observed.select("column_name", F.col("type").alias("o_type"), F.col("ordinal").alias("o_pos"))
     e = expected.select("column_name", F.col("type").alias("e_type"), F.col("ordinal").alias("e_pos"))
@@ -364,13 +365,21 @@ def schema_diff(observed: DataFrame, expected: DataFrame, failures: DataFrame |
         .when((F.col("o_type") != F.col("e_type")) | (F.col("bad_share") > 0), "type_changed")
         .when(F.col("o_rank") != F.col("e_rank"), "reordered")
     )
-    return (
+    found = (
         ranked.withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
         .select(
             "column_name", "kind", F.col("e_type").alias("expected"), F.col("o_type").alias("observed"), "bad_share"
         )
     )
+    if failures is None:
+        return found
+    none = F.lit(None).cast("string")
+    lines = failures.filter((F.col("column_name") == MALFORMED) & (F.col("n_bad") > 0)).select(
+        "column_name", F.lit("malformed").alias("kind"), none.alias("expected"), none.alias("observed"),
+        rate(F.col("n_bad"), F.col("n_rows")).alias("bad_share"),
+    )
+    return found.unionByName(lines)
 
 
 def columns_frame(df: DataFrame) -> DataFrame:

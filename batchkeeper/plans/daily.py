@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import Contract, DatasetContract
-from batchkeeper.functions.casting import CAST_ERROR, cast_failure_share, cast_to_contract
+from batchkeeper.functions.casting import CAST_ERROR, MALFORMED, cast_failure_share, cast_to_contract, well_formed
 from batchkeeper.operators import baselines, checks, incidents, joins, keys, predicates, remediation
 from batchkeeper.session import configure, literal_table, materialize
 from batchkeeper.sources import files, tables
@@ -68,7 +68,7 @@ def stage(spark: SparkSession, contract: DatasetContract, layout: Layout, ds: st
 
 def observed_schema(spark: SparkSession, contract: DatasetContract, staged: DataFrame, path: str) -> DataFrame:
     """(column_name, type, ordinal) as the batch itself gives them; text columns count as their declared type."""
-    names = staged.columns
+    names = [c for c in staged.columns if c != MALFORMED]
     if path.endswith((".jsonl", ".json")):
         found = [row["field"] for row in files.json_fields(spark, path).collect()]  # one row per field name
         names = [c for c in contract.columns if c in found] + sorted(set(found) - set(contract.columns))
@@ -117,7 +117,11 @@ def quality_checks(
     ds: str,
     as_of: str,
 ) -> DataFrame:
-    """Row count, nulls, duplicates, freshness and references of one staged batch."""
+    """Row count, nulls, duplicates, freshness and references of one staged batch.
+
+    Malformed lines are no rows: the schema check reports them, and they are neither NULLs nor repeated keys here.
+    """
+    typed = well_formed(typed)
     batch = typed.withColumn("batch_date", F.lit(ds).cast("date"))
     present = set(typed.columns)
     key = [c for c in contract.primary_key if c in present]
@@ -238,8 +242,10 @@ def load_batch(
         fits = fits & (F.col("day") == F.lit(ds).cast("date"))
     own, aside = predicates.split_valid(rows, fits)
     why = F.when(F.col("_broken"), "a value does not cast").otherwise("event time outside the batch day")
+    if MALFORMED in typed.columns:
+        why = F.when(F.col(MALFORMED).isNotNull(), "malformed line").otherwise(why)
     tables.quarantine(aside, layout.warehouse, contract.name, ds, why)
-    clean = own.drop("_broken", CAST_ERROR)
+    clean = own.drop("_broken", CAST_ERROR, MALFORMED)
     if contract.is_fact:
         tables.load_fact_partition(clean, path, "day", _cluster(contract), days=[ds])
     else:
@@ -247,9 +253,12 @@ def load_batch(
 
 
 def deduplicated(contract: DatasetContract, typed: DataFrame) -> DataFrame:
-    """The batch with the newest row of each key, as a table."""
+    """The batch with the newest row of each key, as a table. A malformed line replaces no row."""
     newest = [contract.ts_column] if contract.ts_column in typed.columns else []
-    return materialize(keys.dedupe_latest(typed, list(contract.primary_key), newest), "repaired")
+    repaired = keys.dedupe_latest(well_formed(typed), list(contract.primary_key), newest)
+    if MALFORMED in typed.columns:
+        repaired = repaired.unionByName(typed.filter(F.col(MALFORMED).isNotNull()))
+    return materialize(repaired, "repaired")
 
 
 def _cluster(contract: DatasetContract) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import DatasetContract
-from batchkeeper.functions.casting import CAST_ERROR, cast_to_contract
+from batchkeeper.functions.casting import CAST_ERROR, MALFORMED, cast_to_contract
 from batchkeeper.plans import inputs
 from batchkeeper.plans.registry import query
 from batchkeeper.session import new_scratch
@@ -55,6 +55,84 @@ def read_batches_orders(spark, sf):
     return found.select("o_orderkey", "o_orderstatus", "o_custkey", "cust_id", "batch_date")
 
 
+def _land_lines(lines, header: str, path: str) -> None:
+    """A CSV batch of given lines: a single column whose name is the whole header, parted and quoted by nothing."""
+    writer = lines.select(lines[0].alias(header)).write.option("header", True)
+    writer.option("sep", "\u0001").option("quote", "\u0002").csv(path)
+
+
+SURPLUS, SHORT = 1, 2  # of 50
+_LINE = "CAST(o_orderkey AS {t}) || ',' || CAST(o_custkey AS {t}) || ',' || o_orderstatus"
+
+
+@query(
+    "malformed_orders",
+    f"""SELECT o_orderkey, CASE WHEN o_orderkey % 50 <> {SHORT} THEN o_custkey END AS o_custkey,
+  CASE WHEN o_orderkey % 50 <> {SHORT} THEN o_orderstatus END AS o_orderstatus,
+  CASE o_orderkey % 50 WHEN {SURPLUS} THEN {_LINE.format(t="VARCHAR")} || ',"a, b",MORE'
+    WHEN {SHORT} THEN CAST(o_orderkey AS VARCHAR) END AS malformed,
+  CASE WHEN o_orderkey % 50 IN ({SURPLUS}, {SHORT}) THEN 'rejected' ELSE 'clean' END AS route,
+  CAST(date_trunc('year', o_orderdate) AS DATE) AS batch_date
+FROM orders""",
+)
+def malformed_orders(spark, sf):
+    """Lines with surplus fields and lines cut short stay whole and go aside; clean and rejected are all lines."""
+    root = new_scratch(spark, "landing")
+    orders = inputs.table(spark, sf, "orders")
+    whole = F.expr(_LINE.format(t="STRING"))
+    line = (
+        F.when(F.col("o_orderkey") % 50 == SURPLUS, F.concat(whole, F.lit(',"a, b",MORE')))
+        .when(F.col("o_orderkey") % 50 == SHORT, F.col("o_orderkey").cast("string"))
+        .otherwise(whole)
+    )
+    for year in YEARS:
+        batch = orders.filter(F.year("o_orderdate") == year).select(line.alias("line"))
+        _land_lines(batch, ",".join(ORDERS.columns), ORDERS.path(root, f"{year}-01-01"))
+    raw = files.read_batches(spark, ORDERS, root, "1995-01-01", "2001-12-31")
+    typed = cast_to_contract(raw, {c: ORDERS.spark_type(c) for c in ORDERS.columns})
+    return _routed(spark, typed, "orders", [*ORDERS.columns, "batch_date"])
+
+
+def _routed(spark, typed, name, columns):
+    """The batch split into clean and rejected rows by its cast errors, and read again from both tables."""
+    kept, aside = tables.write_split(
+        typed.withColumnRenamed(MALFORMED, "malformed"), F.size(CAST_ERROR) == 0, new_scratch(spark, "split"), name, "all", "malformed"
+    )
+    routes = (spark.read.parquet(kept), spark.read.parquet(aside))
+    parts = [p.select(*columns, "malformed", F.lit(r).alias("route")) for p, r in zip(routes, ("clean", "rejected"), strict=True)]
+    return parts[0].unionByName(parts[1])
+
+
+CUT, NO_OBJECT = 3, 4  # of 40
+
+
+@query(
+    "malformed_events",
+    f"""SELECT CASE WHEN event_id % 40 IN ({CUT}, {NO_OBJECT}) THEN NULL ELSE event_id END AS event_id,
+  CASE WHEN event_id % 40 IN ({CUT}, {NO_OBJECT}) THEN NULL ELSE user_id END AS user_id,
+  CASE event_id % 40
+    WHEN {CUT} THEN '{{"event_id":' || CAST(event_id AS VARCHAR) || ',"user_id":' || CAST(user_id AS VARCHAR)
+    WHEN {NO_OBJECT} THEN 'event ' || CAST(event_id AS VARCHAR) END AS malformed,
+  CASE WHEN event_id % 40 IN ({CUT}, {NO_OBJECT}) THEN 'rejected' ELSE 'clean' END AS route
+FROM events""",
+)
+def malformed_events(spark, sf):
+    """Lines that are cut off, or hold no JSON object, stay whole and go aside; no line is lost."""
+    path = EVENTS.path(new_scratch(spark, "landing"), "2024-01-01")
+    events = inputs.table(spark, sf, "events")
+    line = (
+        F.when(F.col("event_id") % 40 == CUT, F.format_string('{"event_id":%d,"user_id":%d', "event_id", "user_id"))
+        .when(F.col("event_id") % 40 == NO_OBJECT, F.format_string("event %d", "event_id"))
+        .otherwise(F.to_json(F.struct("event_id", "user_id", "event_type")))
+    )
+    events.select(line.alias("value")).write.text(path)
+    raw = files.read_events(spark, EVENTS, path)
+    typed = cast_to_contract(raw, {c: EVENTS.spark_type(c) for c in EVENTS.columns})
+    whole = F.col(MALFORMED).isNull()
+    typed = typed.withColumns({c: F.when(whole, F.col(c)) for c in ("event_id", "user_id")})
+    return _routed(spark, typed, "events", ["event_id", "user_id"])
+
+
 @query(
     "observed_columns",
     f"""WITH y AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders),
@@ -80,14 +158,14 @@ def read_events(spark, sf):
     """JSON lines with an undeclared field: the declared ones arrive, as text."""
     path = EVENTS.path(new_scratch(spark, "landing"), "2024-01-01")
     inputs.table(spark, sf, "events").select("props", "event_type", "user_id", "event_id").write.json(path)
-    return files.read_events(spark, EVENTS, path)
+    return files.read_events(spark, EVENTS, path).select(*EVENTS.columns)
 
 
 @query("read_dimension", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def read_dimension(spark, sf):
     root = new_scratch(spark, "landing")
     inputs.table(spark, sf, "customer").select(*CUSTOMERS.columns).write.option("header", True).csv(CUSTOMERS.path(root))
-    return files.read_dimension(spark, CUSTOMERS, root)
+    return files.read_dimension(spark, CUSTOMERS, root).select(*CUSTOMERS.columns)
 
 
 @query("staging_roundtrip", "SELECT c_custkey, c_name, c_nationkey, CAST(0 AS BIGINT) AS n_errors FROM customer")

@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import money
-from batchkeeper.operators import keys, merge, remediation
+from batchkeeper.operators import faults, keys, merge, remediation
 from batchkeeper.plans import inputs
 from batchkeeper.plans.inputs import FAULTY_SQL, tidy
 from batchkeeper.plans.registry import query
-from batchkeeper.session import new_scratch
-from batchkeeper.sources import tables
+from batchkeeper.session import materialize, new_scratch
+from batchkeeper.sources import committed, tables
 
 DAY_TOTALS_SQL = """SELECT CAST(ts AS DATE) AS batch_date, count(*) AS n_rows, count(DISTINCT event_id) AS n_keys,
   CAST(sum(CAST(value AS DECIMAL(28, 2))) AS DOUBLE) AS total_value
@@ -66,21 +66,65 @@ def upsert_orders(spark, sf):
     """
     path = new_scratch(spark, "fct_orders")
     orders = inputs.orders(spark, sf).select("o_orderkey", "batch_date", "o_custkey", "o_orderstatus", "o_totalprice")
-    tables.load_fact_partition(
-        orders.filter(F.col("o_orderstatus").isin("F", "O")), path, "batch_date", ["o_custkey"]
-    )
+    committed.commit_days(orders.filter(F.col("o_orderstatus").isin("F", "O")), path, "batch_date", ["o_custkey"])
     source = orders.filter(F.col("o_orderstatus").isin("O", "P")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
     again = source.filter(F.col("o_orderstatus") == "P").withColumn("o_totalprice", F.col("o_totalprice") + 1)
     source = source.withColumn("sent", F.lit(1)).unionByName(again.withColumn("sent", F.lit(2)))
-    key = ["o_orderkey", "batch_date"]
-    try:
-        merge.require_unique(source, key)
-    except ValueError:
-        source = keys.dedupe_latest(source, key, ["sent"])
-    tables.merge_into_fact(
-        source.drop("sent"), path, "batch_date", key, ["o_totalprice", "o_custkey"], orders.columns, ["o_custkey"]
+    committed.merge_committed(
+        source, path, "batch_date", ["o_orderkey", "batch_date"], ["o_totalprice", "o_custkey"], orders.columns, ["o_custkey"], ["sent"]
     )
-    return tidy(tables.read_fact(spark, path, "batch_date").select(*orders.columns), 2)
+    return tidy(committed.read_committed(spark, path, "batch_date").select(*orders.columns), 2)
+
+
+@query(
+    "broken_load",
+    """WITH d AS (SELECT CAST(ts AS DATE) AS batch_date, count(*) AS n_rows,
+    CAST(sum(CAST(value AS DECIMAL(28, 2))) AS DOUBLE) AS total_value FROM events GROUP BY 1)
+SELECT phase, batch_date, CASE WHEN phase = 'repeated' AND batch_date >= DATE '2024-01-16' THEN 2 * n_rows ELSE n_rows END AS n_rows,
+  CASE WHEN phase = 'repeated' AND batch_date >= DATE '2024-01-16' THEN 2 * total_value ELSE total_value END AS total_value
+FROM d, (VALUES ('broken'), ('repeated')) p(phase)""",
+)
+def broken_load(spark, sf):
+    """A load of the later days, each row twice, stops halfway: the table is as before. Repeated twice, it holds once."""
+    path, events = new_scratch(spark, "fct_events"), inputs.events(spark, sf)
+    committed.commit_days(events, path, "batch_date", ["user_id"])
+    later = events.filter(F.col("batch_date") >= F.lit("2024-01-16").cast("date"))
+    twice = later.unionByName(later)
+    last = F.col("batch_date") == F.lit("2024-01-20").cast("date")
+    failing = twice.withColumn("value", F.when(last, F.raise_error(F.lit("writer lost")).cast("double")).otherwise(F.col("value")))
+    try:
+        committed.commit_days(failing, path, "batch_date", ["user_id"])
+    except Exception as error:
+        if "writer lost" not in str(error):
+            raise
+
+    def seen(phase):
+        rows = committed.read_committed(spark, path, "batch_date").groupBy("batch_date").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.sum(money(F.col("value"))).cast("double").alias("total_value")
+        )
+        return materialize(rows.withColumn("phase", F.lit(phase)), "seen")
+
+    broken = seen("broken")
+    for _ in range(2):
+        committed.commit_days(twice, path, "batch_date", ["user_id"])
+    return broken.unionByName(seen("repeated"))
+
+
+@query(
+    "reconcile_versions",
+    f"""WITH m AS (SELECT *, CAST(date_trunc('month', o_orderdate) AS DATE) AS batch_date FROM orders),
+c AS (SELECT * FROM m WHERE batch_date = DATE '{inputs.NULL_MONTH}' AND o_orderkey % 4 = 0)
+SELECT o_orderkey, o_totalprice, batch_date, CAST(-1 AS BIGINT) AS n_diff FROM c
+UNION ALL SELECT o_orderkey, NULL, batch_date, CAST(1 AS BIGINT) FROM c""",
+)
+def reconcile_versions(spark, sf):
+    """All months are loaded again, one of them with totals gone: only that month is compared row by row."""
+    path = new_scratch(spark, "fct_orders")
+    orders = inputs.orders(spark, sf).select("o_orderkey", "o_totalprice", "batch_date")
+    first = committed.commit_days(orders, path, "batch_date")
+    gone = (F.col("batch_date") == F.lit(inputs.NULL_MONTH).cast("date")) & (F.col("o_orderkey") % 4 == 0)
+    second = committed.commit_days(faults.blank(orders, "o_totalprice", gone), path, "batch_date")
+    return tidy(committed.reconcile_versions(spark, path, "batch_date", first.turn, second.turn), 2)
 
 
 @query(

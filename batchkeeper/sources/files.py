@@ -4,6 +4,9 @@ Spark's typed CSV reader maps columns by position, so a renamed column passes
 unseen and an unparsable value looks like a NULL. Everything here therefore
 arrives as strings under the names the file itself gives; typing is a separate,
 checked step (``functions.casting``).
+
+A line with more or fewer fields than its file's header, and a line that is no JSON object, would lose
+what it holds in a row of NULLs. Such lines stay whole in the column ``_malformed``, which is NULL for all others.
 """
 
 from __future__ import annotations
@@ -13,8 +16,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchkeeper.contract import DatasetContract
+from batchkeeper.functions.casting import MALFORMED
 from batchkeeper.sources.storage import matching
 
 TASK_RUN_SCHEMA = (
@@ -29,8 +34,41 @@ def _date_pattern(contract: DatasetContract) -> str:
     return re.escape(before) + r"(\d{4}-\d{2}-\d{2})" + re.escape(after)
 
 
-def _csv(spark: SparkSession, paths) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", False).csv(paths)
+def _with_malformed(columns) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in (*columns, MALFORMED)])
+
+
+def _names(header: tuple[str, ...]) -> list[str]:
+    """A file's column names; empty ones are numbered, and so are those that occur again or are taken here."""
+    out: list[str] = []
+    for i, name in enumerate(header):
+        out.append(f"_c{i}" if not name else f"{name}_{i}" if name in (*out, MALFORMED) else name)
+    return out
+
+
+def _csv_parts(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
+    """CSV files, in groups of equal header: a read of several files applies one header to all of them."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, header in observed_headers(spark, paths).items():
+        groups.setdefault(header, []).append(path)
+    # without pruning each line is taken apart in full, so that its number of fields is known
+    reader = spark.read.option("header", True).option("columnNameOfCorruptRecord", MALFORMED).option("columnPruning", False)
+    return [reader.schema(_with_malformed(_names(h))).csv(sorted(own)) for h, own in sorted(groups.items())]
+
+
+def _united(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], _with_malformed([]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _csv(spark: SparkSession, path: str) -> DataFrame:
+    return _united(spark, _csv_parts(spark, [path]))
+
+
+def _json(spark: SparkSession, contract: DatasetContract, paths) -> DataFrame:
+    reader = spark.read.schema(_with_malformed(contract.columns)).option("columnNameOfCorruptRecord", MALFORMED)
+    return reader.json(paths)
 
 
 def read_dimension(spark: SparkSession, contract: DatasetContract, root: str) -> DataFrame:
@@ -48,7 +86,7 @@ def read_batch(spark: SparkSession, contract: DatasetContract, root: str, date:
 
 def read_events(spark: SparkSession, contract: DatasetContract, path: str) -> DataFrame:
     """JSON lines with the declared fields as text. Undeclared fields: see :func:`json_fields`."""
-    return spark.read.schema(contract.raw_schema()).json(path)
+    return _json(spark, contract, path)
 
 
 def json_fields(spark: SparkSession, path: str) -> DataFrame:
@@ -110,22 +148,16 @@ def read_batches(
 ) -> DataFrame:
     """All landed files of a date range, with ``batch_date`` taken from the path.
 
-    A multi-file CSV read applies one file's header to all of them, so files are read
-    in groups of equal header and united by column name.
+    Columns are united by name. No file in the range: no rows.
     """
     files = batch_files(spark, contract, root, date_from, date_to)
-    if not files:
-        return spark.createDataFrame([], contract.raw_schema()).withColumn("batch_date", F.lit(None).cast("date"))
-    if contract.path_pattern.endswith((".jsonl", ".json")):
-        parts = [spark.read.schema(contract.raw_schema()).json(list(files.values()))]
-    else:
-        groups: dict[tuple[str, ...], list[str]] = {}
-        for path, header in observed_headers(spark, list(files.values())).items():
-            groups.setdefault(header, []).append(path)
-        parts = [_csv(spark, sorted(paths)) for _, paths in sorted(groups.items())]
     day = F.regexp_extract(F.col("_metadata.file_path"), _date_pattern(contract), 1)
-    dated = [p.select("*", F.to_date(day).alias("batch_date")) for p in parts]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dated)
+    paths = list(files.values())
+    if not paths:
+        return spark.createDataFrame([], _with_malformed(contract.columns)).withColumn("batch_date", F.lit(None).cast("date"))
+    is_json = contract.path_pattern.endswith((".jsonl", ".json"))
+    parts = [_json(spark, contract, paths)] if is_json else _csv_parts(spark, paths)
+    return _united(spark, [p.select("*", F.to_date(day).alias("batch_date")) for p in parts])
 
 
 def landings(

@@ -1,6 +1,7 @@
 """Inject a fault into a landed batch, run the day, look at what was decided and loaded."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from batchkeeper.plans.daily import Layout, apply_decisions, run_day
 from batchkeeper.session import literal_table
 from batchkeeper.retail import retail_contract
 from batchkeeper.sources import files, generate, tables
+from batchkeeper.sources.storage import exists
 
 ORDERS = ["customers", "products", "orders"]
 CONTRACT = retail_contract(customers=100, products=20, orders_per_day=60, events_per_day=200)
@@ -31,7 +33,7 @@ def relanded(spark, layout, dataset, ds, change, tmp_path):
     d = CONTRACT[dataset]
     raw = files.read_batch(spark, d, layout.landing, ds) if d.is_fact else files.read_dimension(spark, d, layout.landing)
     aside = str(tmp_path / "changed")
-    change(raw).write.option("header", True).csv(aside)
+    change(raw.drop("_malformed")).write.option("header", True).csv(aside)
     again = spark.read.option("header", True).csv(aside)
     again.write.mode("overwrite").option("header", True).csv(d.path(layout.landing, ds))
 
@@ -290,3 +292,26 @@ def test_rows_of_another_day_halt_until_somebody_decides(spark, fresh, tmp_path)
     assert fct_orders(spark, fresh, ds).count() == 40
     aside = spark.read.parquet(f"{fresh.warehouse}/quarantine/orders/{ds}")
     assert aside.count() == 20 and aside.first()["_reason"] == "event time outside the batch day"
+
+
+def test_malformed_lines_halt_and_are_set_aside_once_approved(spark, fresh, tmp_path):
+    """Lines that lost or gained fields are neither NULLs nor rows; approved, they go aside and all others load."""
+    layout, ds = fresh, "2026-06-02"
+    path = Path(CONTRACT["orders"].path(layout.landing, ds))
+    part = next(p for p in ([path] if path.is_file() else sorted(path.glob("part-*"))) if len(p.read_text().splitlines()) > 3)
+    lines = part.read_text().splitlines()
+    cut, long = lines[1].split(",")[0], lines[2] + ",EXTRA"
+    part.write_text("\n".join([lines[0], cut, long, *lines[3:]]) + "\n")
+    for crc in part.parent.glob(f".{part.name}.crc"):
+        crc.unlink()
+    result = run_day(spark, CONTRACT, layout, ds, only=ORDERS)
+    found = {(r["check_name"], r["column_name"]) for r in result.incidents.filter("dataset = 'orders'").collect()}
+    assert ("schema", "_malformed") in found and not any(c == "null_rate" for c, _ in found)
+    assert "orders" in result.halted and not exists(spark, layout.table("fct_orders"))
+    ids = [(r["incident_id"],) for r in result.incidents.filter("dataset = 'orders'").collect()]
+    approvals = literal_table(spark, [(i, "ops", "ok", "approve", "2026-06-03 08:00:00") for (i,) in ids], "incident_id string, approved_by string, comment string, decision string, at timestamp")
+    apply_decisions(spark, CONTRACT, layout, ds, approvals, "2026-06-03 09:00:00")
+    loaded = tables.read_fact(spark, layout.table("fct_orders"), "day", [ds])
+    assert loaded.count() == 58 and "_malformed" not in loaded.columns
+    aside = spark.read.parquet(f"{layout.table('approved')}/split/orders/{ds}").filter("route = 'rejected'")
+    assert {r["_malformed"] for r in aside.collect()} == {cut, long}

@@ -5,6 +5,8 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
+from batchkeeper.contract import DatasetContract
+from batchkeeper.functions.casting import cast_failure_share, cast_to_contract
 from batchkeeper.operators.checks import landing_sla
 from batchkeeper.operators.keys import duplicate_excess
 from batchkeeper.operators.remediation import repair_and_verify
@@ -40,6 +42,36 @@ def test_batches_with_different_headers_are_read_by_name(spark, tmp_path):
     assert files.read_batches(spark, CONTRACT["orders"], root, "2020-01-01", "2020-01-02").count() == 0
 
 
+def test_lines_that_are_no_rows_stay_whole(spark, tmp_path):
+    d = DatasetContract("orders", {"id": "long", "who": "string", "n": "integer"}, path_pattern="orders/orders_{date}.csv")
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    lines = ["id,who,n", "1,a,5", '2,"b, c",6', "3,c", "4,d,7,EXTRA,MORE", "5,,x", "", '"6,e,8']
+    (folder / "orders_2026-01-01.csv").write_text("\n".join(lines) + "\n")
+    (folder / "orders_2026-01-02.csv").write_text("n,id,who\n9,7,f\nonly\n")
+    typed = cast_to_contract(files.read_batches(spark, d, str(tmp_path), "2026-01-01", "2026-01-31"), {c: d.spark_type(c) for c in d.columns})
+    got = {(r["id"], r["_malformed"], tuple(r["_cast_error"])) for r in typed.collect()}
+    assert {g for g in got if g[1] is None} == {(1, None, ()), (2, None, ()), (5, None, ("n",)), (7, None, ())}
+    assert {g[1] for g in got if g[1] is not None} == {"3,c", "4,d,7,EXTRA,MORE", '"6,e,8', "only"}
+    assert all("_malformed" in g[2] for g in got if g[1] is not None)
+    counted = {r["column_name"]: (r["n_rows"], r["n_bad"]) for r in cast_failure_share(files.read_batch(spark, d, str(tmp_path), "2026-01-01"), {c: d.spark_type(c) for c in d.columns}).collect()}
+    assert counted["_malformed"] == (6, 3) and counted["n"] == (6, 1)
+
+
+def test_json_lines_that_are_no_objects_stay_whole(spark, tmp_path):
+    d = DatasetContract("events", {"id": "long", "kind": "string"}, path_pattern="events/events_{date}.jsonl")
+    folder = tmp_path / "events"
+    folder.mkdir()
+    lines = ['{"id": 1, "kind": "a"}', '{"id": 2, "kind": ', "no object", '{"kind": "b"}', "[1, 2", '{"id": "x", "kind": "c"}']
+    (folder / "events_2026-01-01.jsonl").write_text("\n".join(lines) + "\n")
+    raw = files.read_batches(spark, d, str(tmp_path), "2026-01-01", "2026-01-01")
+    typed = cast_to_contract(raw, {c: d.spark_type(c) for c in d.columns})
+    got = [(r["kind"], r["_malformed"], tuple(r["_cast_error"])) for r in typed.collect()]
+    assert len(got) == 6
+    assert {g for g in got if g[1] is None} == {("a", None, ()), ("b", None, ()), ("c", None, ("id",))}
+    assert {g[1] for g in got if g[1] is not None} == {lines[1], lines[2], lines[4]}
+
+
 def test_landing_times_come_from_the_files(spark, tmp_path):
     root = str(tmp_path)
     land(root, "2026-06-01", HEADER)
@@ -59,7 +91,7 @@ def test_json_lines_keep_undeclared_fields_visible(spark, tmp_path):
         handle.write('{"event_id": "e2", "event_ts": "2026-06-01 00:00:00"}\n')
     assert rows(files.json_fields(spark, path)) == [("customer_id", 1), ("event_id", 2), ("event_ts", 1), ("extra", 1)]
     df = files.read_events(spark, CONTRACT["events"], path)
-    assert df.columns == CONTRACT["events"].columns and df.count() == 2
+    assert df.columns == [*CONTRACT["events"].columns, "_malformed"] and [r["_malformed"] for r in df.collect()] == [None, None]
 
 
 def test_task_runs(spark, tmp_path):
