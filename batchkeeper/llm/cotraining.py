@@ -6,7 +6,7 @@ round both score all unlabelled documents, and each hands its most confident lab
 goes on with them. A held-out part of the labelled rows calibrates both views and weighs them in the joint score.
 
 The driver holds at most ``MAX_LABELLED`` labelled documents, those with the lowest hash of their id. The unlabelled
-ones stay in Spark, all of them: their views are written once, the confident share is found from a histogram of
+ones stay in Spark, all of them: their views are written once, beside those of the labelled, the confident share is found from a histogram of
 their scores, and the gradients of the handed rows are summed per place. Sums are of whole numbers, so they do not
 depend on how rows are dealt out.
 """
@@ -44,6 +44,7 @@ BINS, TIES = 1 << 10, 1 << 6
 CELLS = BINS * TIES
 #: Gradients are summed in whole multiples of 1 / SCALE.
 SCALE = 1 << 24
+FAR = (1 << 16) - 1
 
 
 @dataclass
@@ -177,33 +178,45 @@ class Vocabulary:
         number = np.cumsum(self.often) - 1
         known = [p[self.often[p] & (p < WORD_PLACES)] for p, _ in text]
         return {
-            "words": pa.array([number[p].astype("<u4").tobytes() for p in known], pa.binary()),
-            "stats": pa.array([v[p >= WORD_PLACES].tobytes() for p, v in text], pa.binary()),
+            "words": pa.array([_steps(number[p]).tobytes() for p in known], pa.binary()),
+            "stats": pa.array([v[p >= WORD_PLACES].astype("<f4").tobytes() for p, v in text], pa.binary()),
             "marks": pa.array([p.astype("<u4").tobytes() for p, _ in meta], pa.binary()),
-            "sizes": pa.array([v.tobytes() for _, v in meta], pa.binary()),
+            "sizes": pa.array([v.astype("<f4").tobytes() for _, v in meta], pa.binary()),
         }
 
     def read(self, batch: pa.RecordBatch) -> tuple[Entries, Entries]:
         n = batch.num_rows
-        words, each = _numbers(column(batch, "words"), "<u4")
-        stats, wide = _numbers(column(batch, "stats"), "<f8")
+        steps, each = _numbers(column(batch, "words"), "<u2")
+        sums = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+        full = steps < FAR
+        words = (sums[1:] - np.repeat(sums[np.cumsum(each) - each], each))[full]
+        each = np.bincount(np.repeat(np.arange(n), each)[full], minlength=n)
+        stats, wide = _numbers(column(batch, "stats"), "<f4")
         # the last of a row's is the constant, at the last place of the view
         k = int(wide.max()) if n else 0
         behind = self.n_words + np.append(np.arange(k - 1), TEXT_SIZE - WORD_PLACES - 1)
         full = np.flatnonzero(wide)
         text = Entries(
             np.concatenate((np.repeat(np.arange(n), each), np.repeat(full, k))),
-            np.concatenate((words.astype(np.int64), np.tile(behind, len(full)) if k else words[:0].astype(np.int64))),
-            np.concatenate((np.full(len(words), 0.5), stats)), n,
+            np.concatenate((words, np.tile(behind, len(full)) if k else words[:0])),
+            np.concatenate((np.full(len(words), 0.5), stats.astype(np.float64))), n,
         )
         marks, each = _numbers(column(batch, "marks"), "<u4")
-        sizes, _ = _numbers(column(batch, "sizes"), "<f8")
-        return text, Entries(np.repeat(np.arange(n), each), marks.astype(np.int64), sizes, n)
+        sizes, _ = _numbers(column(batch, "sizes"), "<f4")
+        return text, Entries(np.repeat(np.arange(n), each), marks.astype(np.int64), sizes.astype(np.float64), n)
 
 
 VIEWS = "words binary, stats binary, marks binary, sizes binary"
 
 
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Ascending numbers in two bytes each: the distance from the one before, a long one after as many ``FAR`` as it holds."""
+    far, rest = np.divmod(np.diff(numbers, prepend=0), FAR)
+    out = np.full(len(numbers) + int(far.sum()), FAR, dtype="<u2")
+    out[np.arange(len(numbers)) + np.cumsum(far)] = rest
+    return out
+
+
 def _numbers(cells: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the cells in a row, and how many each cell has."""
     found = [c or b"" for c in cells.to_pylist()]
@@ -299,7 +312,7 @@ def exchange(pool: DataFrame, known: Vocabulary, text: Sparse, meta: Sparse, y:
 
         schema = f"told_text long, told_meta long, {VIEWS}"
         paths.append(new_scratch(spark, "handed"))
-        by_batch(pool, schema, handed).write.parquet(paths[-1])
+        by_batch(pool, schema, handed).write.option("compression", "zstd").parquet(paths[-1])
         turns.append(turn)
         rows = spark.read.schema(schema).parquet(*paths)
         for _ in range(ROUND_STEPS):
@@ -328,7 +341,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ``toxic`` (null: 0). Rows of ``labels`` with a null id or quality teach nothing. ``score`` is the probability
     of a good document, ``kept`` whether it is one half or more; the views' scores are before calibration. Null
     and empty texts are scored as empty ones. Without labels of both kinds scores are null, and all rows kept.
-    Rows that share an id are scored each by its own text; an empty table gives none.
+    Rows that share an id are scored each by its own text; an empty table gives none. Whole texts count, however long;
+    other columns are ignored, whatever their names.
     """
     prepare(docs.sparkSession)
     source = docs.select(
@@ -339,7 +353,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
     known = known.select(F.col(id_col).cast("long").alias("doc_id"), good.cast("double").alias("y"))
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y"))
+    # as a table its size is known: ids that fit a broadcast meet the views without a shuffle of these
+    known = materialize(known.groupBy("doc_id").agg(F.min("y").alias("y")), "labelled")
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.join(source.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(*order).limit(MAX_LABELLED)
     # a table of at most MAX_LABELLED rows
@@ -383,10 +398,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return {"doc_id": column(batch, "doc_id"), "tie": column(batch, "tie")} | vocabulary.write(*views(batch))
 
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 58)
-    described = materialize(by_batch(source.withColumn("tie", tie), f"doc_id long, tie long, {VIEWS}", written), "views")
-    # rows without an id have no label, and need no join
-    unlabelled = described.where("doc_id is not null").join(known, "doc_id", "left_anti")
-    pool = materialize(unlabelled.unionByName(described.where("doc_id is null")).drop("doc_id"), "pool")
+    described = by_batch(source.withColumn("tie", tie), f"doc_id long, tie long, {VIEWS}", written)
+    flagged = described.join(known.select("doc_id", F.lit(True).alias("labelled")), "doc_id", "left")
+    flagged = flagged.withColumn("labelled", F.coalesce("labelled", F.lit(False)))
+    # the views of all rows, once; a folder for those without a label
+    path = new_scratch(docs.sparkSession, "views")
+    flagged.write.option("compression", "zstd").partitionBy("labelled").parquet(path)
+    described = docs.sparkSession.read.schema(flagged.schema).parquet(path)
+    pool = described.where(~F.col("labelled")).drop("doc_id", "labelled")
     exchange(pool, vocabulary, text_fit, meta_fit, y[fitting], by_text, by_meta)
 
     a, b, target = text.take(held).dot(by_text.w), meta.take(held).dot(by_meta.w), y[held]
