@@ -95,11 +95,13 @@ def repetitions(sized: DataFrame, source_col: str = "source") -> DataFrame:
 def mix(docs: DataFrame, source_col: str = "source") -> DataFrame:
     """What :func:`measured` gave, with ``source_size``, ``target``, ``repetitions`` and ``taken`` (words).
 
-    Columns of ``docs`` that bear one of these names, or begin with ``mix_``, give way to the new ones. Null texts have no words; null is a source of its own, the last. Sources without words have the target 0.
+    Columns of ``docs`` that bear one of these names, or are called ``weight``, ``whole``, ``mix_source`` or ``mix_cut``, give
+    way to the new ones. Null texts have no words, very long ones all of theirs; null is a source of its own, the last. Sources without words have the target 0.
     Rows that share an id share its key, so they are repeated alike. An empty table gives none.
     """
     plan = materialize(repetitions(docs, source_col), "mix")
-    docs = docs.drop(*[c for c in ("source_size", "weight", "target", "whole", "repetitions", "taken") if c != source_col])
+    given = ("source_size", "weight", "target", "whole", "repetitions", "taken", "mix_source", "mix_cut")
+    docs = docs.drop(*[c for c in given if c != source_col])
     rows = docs.join(plan, docs[source_col].eqNullSafe(plan["mix_source"]), "left")
     again = F.coalesce(F.col("mix_key") <= F.col("mix_cut"), F.lit(False)).cast("long")
     rows = rows.withColumn("repetitions", F.col("whole") + again)

@@ -120,6 +120,14 @@ def test_water_level(spark, sizes):
     assert abs(sum(got.values()) - sum(sizes)) <= 1e-9 * max(1, sum(sizes))
 
 
+def test_columns_that_clash_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", "aa", "s1", 3), (2, "c", "aa", None, 1)], SCHEMA)
+    taken = ("mix_cut", "mix_source", "mix_size", "mix_key", "target", "weight", "whole", "taken", "source_size", "repetitions")
+    clashing = docs.select("*", *[F.lit("x").alias(c) for c in taken])
+    got = mixing.mix(mixing.measured(clashing)).select("doc_id", "mix_size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(mixing.measured(docs)).select("doc_id", "mix_size", "source_size", "target", "taken").collect()))
+
+
 def test_pipeline_equals_the_plain_version(spark, tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     tokenizer = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
