@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import beyond_bound_pct
+from batchkeeper.session import literal_table
 
 
 def _trailing(n: int, series: str = "dataset"):
@@ -88,20 +89,27 @@ def seven_day_history(counts: DataFrame, days: int = 7) -> DataFrame:
     )
 
 
-def holt_forecast(series: DataFrame, alpha: float, beta: float) -> DataFrame:
-    """Double exponential smoothing, one step ahead: the forecast a batch is judged against.
+STATE = "dataset string, batch_date date, level double, trend double"
+
+
+def holt_advance(state: DataFrame, series: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """Double exponential smoothing, carried on from a stored state over the batches that are new.
 
-    ``series(dataset, batch_date, n_rows)``. Level starts at the first value with no
-    trend. A fold over each series' batches in time order; series run in parallel and
-    hold one number per batch.
+    ``state(dataset, batch_date, level, trend)``: at most one row per series, where it stands; a series without one starts at its
+    first value with no trend. ``series(dataset, batch_date, n_rows)``: one row per batch. Result: each batch after the state's
+    with its one-step forecast, residual, and the state after it; the last row of a series is its next state. Batches
+    at or before the state are left out, so a rerun changes nothing. A series holds its new batches only,
+    one number each; series run in parallel.
     """
+    begun = state.select("dataset", F.col("batch_date").alias("_until"), F.col("level").alias("_level"), F.col("trend").alias("_trend"))
+    fresh = series.join(begun, "dataset", "left").filter("_until IS NULL OR batch_date > _until")
     point = F.struct("batch_date", F.col("n_rows").cast("double").alias("y"))
-    sorted_points = F.sort_array(F.collect_list(point))
-    zero = F.struct(
-        F.lit(None).cast("double").alias("level"),
-        F.lit(0.0).alias("trend"),
-        F.array().cast("array<double>").alias("forecasts"),
+    held = fresh.groupBy("dataset").agg(
+        F.sort_array(F.collect_list(point)).alias("points"),
+        F.max(F.struct(F.col("_level").alias("level"), F.coalesce("_trend", F.lit(0.0)).alias("trend"))).alias("at"),
     )
+    path = F.array().cast("array<struct<forecast:double,level:double,trend:double>>")
+    zero = F.struct(F.col("at.level").alias("level"), F.col("at.trend").alias("trend"), path.alias("path"))
 
     def step(acc, p):
         expected = acc["level"] + acc["trend"]
@@ -109,20 +117,31 @@ def holt_forecast(series: DataFrame, alpha: float, beta: float) -> DataFrame:
         trend = F.when(acc["level"].isNull(), F.lit(0.0)).otherwise(
             beta * (level - acc["level"]) + (1 - beta) * acc["trend"]
         )
-        return F.struct(
-            level.alias("level"),
-            trend.alias("trend"),
-            F.concat(acc["forecasts"], F.array(expected)).alias("forecasts"),
-        )
+        now = F.struct(expected.alias("forecast"), level.alias("level"), trend.alias("trend"))
+        return F.struct(level.alias("level"), trend.alias("trend"), F.concat(acc["path"], F.array(now)).alias("path"))
 
-    folded = series.groupBy("dataset").agg(sorted_points.alias("points")).withColumn(
-        "forecasts", F.aggregate("points", zero, step)["forecasts"]
-    )
-    rows = folded.select("dataset", F.inline(F.arrays_zip("points", "forecasts")))
+    folded = held.withColumn("path", F.aggregate("points", zero, step)["path"])
+    rows = folded.select("dataset", F.inline(F.arrays_zip("points", "path")))
     return rows.select(
         "dataset",
         F.col("points.batch_date").alias("batch_date"),
         F.col("points.y").cast("bigint").alias("n_rows"),
-        F.col("forecasts").alias("forecast"),
-        (F.col("points.y") - F.col("forecasts")).alias("residual"),
+        F.col("path.forecast").alias("forecast"),
+        (F.col("points.y") - F.col("path.forecast")).alias("residual"),
+        F.col("path.level").alias("level"),
+        F.col("path.trend").alias("trend"),
     )
+
+
+def next_state(state: DataFrame, advanced: DataFrame) -> DataFrame:
+    """Where each series stands after :func:`holt_advance`; a series without new batches stays where it was."""
+    columns = ("dataset", "batch_date", "level", "trend")
+    rows = state.select(*columns).unionByName(advanced.select(*columns))
+    last = rows.groupBy("dataset").agg(F.max_by(F.struct(*columns[1:]), "batch_date").alias("last"))
+    return last.select("dataset", "last.*")
+
+
+def holt_forecast(series: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """One-step forecasts of whole series: :func:`holt_advance` from the beginning."""
+    nothing = literal_table(series.sparkSession, [], STATE)
+    return holt_advance(nothing, series, alpha, beta).drop("level", "trend")

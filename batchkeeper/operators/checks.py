@@ -388,6 +388,13 @@ def columns_frame(df: DataFrame) -> DataFrame:
     return literal_table(df.sparkSession, rows, "column_name string, type string, ordinal int")
 
 
+def profile_text(kind: str) -> str:
+    """How a profile shows a value of a type, as SQL with a place for the value."""
+    if kind in ("double", "float"):
+        return "CAST(CAST({0} AS DECIMAL(28, 6)) AS STRING)"
+    return "date_format({0}, 'yyyy-MM-dd HH:mm:ss')" if kind.startswith("timestamp") else "CAST({0} AS STRING)"
+
+
 def profile(df: DataFrame, dataset: str, approximate: bool = False) -> DataFrame:
     """Rows, NULLs, distinct values and range of every column.
 
@@ -396,9 +403,7 @@ def profile(df: DataFrame, dataset: str, approximate: bool = False) -> DataFrame
     Several exact distinct counts in one aggregate would instead send every row once
     per column. ``approximate`` swaps the per-value shuffle for sketches in one pass.
     """
-    text = {"double": "CAST(CAST({0} AS DECIMAL(28, 6)) AS STRING)", "float": "CAST(CAST({0} AS DECIMAL(28, 6)) AS STRING)",
-            "timestamp": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')", "timestamp_ntz": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')"}
-    columns = [(f.name, text.get(f.dataType.typeName(), "CAST({0} AS STRING)")) for f in df.schema.fields]
+    columns = [(f.name, profile_text(f.dataType.typeName())) for f in df.schema.fields]
     if approximate:
         totals = df.selectExpr("count(1) AS n", *[
             f"{fn.format(f'`{c}`')} AS {label}_{i}"

@@ -101,8 +101,26 @@ def task_of(check: Column) -> Column:
     return F.coalesce(F.try_element_at(known, check), F.lit("validate_other"))
 
 
+def anomaly_type() -> Column:
+    """What went wrong in one word, from a check row."""
+    return F.expr(
+        """CASE
+        WHEN check_name IN ('row_count', 'volume_history') AND metric > upper THEN 'spike'
+        WHEN check_name IN ('row_count', 'volume_history') AND metric < lower THEN 'drop'
+        WHEN check_name = 'schema' THEN 'drift'
+        WHEN check_name = 'null_rate' THEN 'nulls'
+        WHEN check_name = 'zero_rate' THEN 'zeros'
+        WHEN check_name = 'duplicates' THEN 'repeats'
+        WHEN check_name = 'foreign_key' THEN 'orphans'
+        WHEN check_name IN ('freshness', 'landing_sla', 'static_source', 'stray_rows') THEN 'stale'
+        ELSE 'other' END"""
+    )
+
+
 def collect_evidence(checks: DataFrame) -> DataFrame:
-    """Beside every check row: rows staged, historical average, duplicates, and the kind of anomaly.
+    """Beside every check row: rows staged, historical average, duplicates, kind of anomaly, mismatch of the header.
+
+    ``header_mismatch`` lists what the batch's schema checks found, by column; null where they found nothing.
 
     Windows over the check results themselves; the facts are not read again.
     """
@@ -119,6 +137,9 @@ def collect_evidence(checks: DataFrame) -> DataFrame:
         f"avg({count.format('metric')}) {before} AS historical_average",
         f"max({count.format('upper')}) {batch} AS batch_upper",
         f"max({count.format('lower')}) {batch} AS batch_lower",
+        # one text per declared or observed column at most
+        f"""array_join(sort_array(collect_list(CASE WHEN check_name = 'schema' AND NOT coalesce(passed, false)
+            THEN concat(column_name, ' ', evidence) END) {batch}), '; ') AS mismatches""",
     )
     return rows.selectExpr(
         *checks.columns,
@@ -129,12 +150,22 @@ def collect_evidence(checks: DataFrame) -> DataFrame:
            AS explained_by_duplicates""",
         """CASE WHEN check_name = 'schema' THEN metric
                 WHEN staged_row_count > 0 THEN n_bad / staged_row_count END AS bad_share""",
-    )
+        "nullif(mismatches, '') AS header_mismatch",
+    ).withColumn("anomaly_type", anomaly_type())
+
 
+def build_incidents(checks: DataFrame, dag_id: str, try_number: int = 1, offenders: DataFrame | None = None) -> DataFrame:
+    """One incident per failed check. Ids depend on the finding alone, so reruns agree.
 
-def build_incidents(checks: DataFrame, dag_id: str, try_number: int = 1) -> DataFrame:
-    """One incident per failed check. Ids depend on the finding alone, so reruns agree."""
+    ``offenders``: what ``offenders.offending_keys`` found, at most one row per finding; without it the samples are null.
+    """
     rows = failed(collect_evidence(checks))
+    if offenders is None:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("key_sample", "heavy_keys")})
+    else:
+        x = offenders.select(*[F.col(c).alias(f"_{c}") for c in ("dataset", "batch_date", "check_name", "column_name")], "key_sample", "heavy_keys")
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("dataset", "batch_date", "check_name", "column_name")]
+        rows = rows.join(x, same, "left")
     number = F.coalesce(F.col("column_name"), F.lit(""))
     category = fault_class()
     message = F.concat_ws(" ", F.col("check_name"), F.lit("failed on"), F.col("dataset"), F.col("evidence"))
@@ -156,7 +187,8 @@ def build_incidents(checks: DataFrame, dag_id: str, try_number: int = 1) -> Data
         "upper",
         "n_bad",
         F.struct(
-            "staged_row_count", "historical_average", "duplicate_rows", "explained_by_duplicates", "bad_share"
+            "staged_row_count", "historical_average", "duplicate_rows", "explained_by_duplicates", "bad_share",
+            "anomaly_type", "header_mismatch", "key_sample", "heavy_keys",
         ).alias("evidence"),
     )
 
@@ -243,9 +275,22 @@ def decide(diagnosed: DataFrame, actions: DataFrame | None = None) -> DataFrame:
     )
 
 
-def triage(checks: DataFrame, policy: DataFrame, dag_id: str) -> DataFrame:
-    """Checks to decided incidents, in one lazy plan."""
-    return decide(diagnose(apply_policy(build_incidents(checks, dag_id), policy)))
+def triage(
+    checks: DataFrame,
+    policy: DataFrame,
+    dag_id: str,
+    offenders: DataFrame | None = None,
+    independent: DataFrame | None = None,
+) -> DataFrame:
+    """Checks to decided incidents, in one lazy plan.
+
+    A failure that an ``independent`` check (see :func:`contradict`) denies has Low confidence, so the evidence gate
+    escalates it, whatever its policy.
+    """
+    diagnosed = diagnose(apply_policy(build_incidents(checks, dag_id, offenders=offenders), policy))
+    if independent is not None:
+        diagnosed = contradict(diagnosed, independent).drop("contradicted")
+    return decide(diagnosed)
 
 
 def apply_approvals(incidents: DataFrame, approvals: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.casting import CAST_ERROR, as_raw_text, cast_failure_share, cast_to_contract, standardize
-from batchkeeper.operators import baselines, checks, faults, joins, keys, predicates
+from batchkeeper.operators import baselines, checks, faults, fingerprints, joins, keys, predicates
 from batchkeeper.plans import contract_checks, inputs
 from batchkeeper.plans.inputs import AS_OF, FAULTY_SQL, NO_KEY, tidy
 from batchkeeper.plans.registry import query
-from batchkeeper.session import new_scratch
+from batchkeeper.session import materialize, new_scratch
 
 CHECK_SELECT = """
 SELECT dataset, batch_date, check_name, column_name, round(metric, 6) AS metric, round(lower, 6) AS lower,
@@ -573,3 +573,67 @@ def schema_diff(spark, sf):
     a = checks.schema_diff(checks.columns_frame(spark.read.parquet(landed)), checks.columns_frame(customer))
     b = checks.schema_diff(checks.columns_frame(drifted), checks.columns_frame(part), failures)
     return tidy(a.withColumn("dataset", F.lit("customer")).unionByName(b.withColumn("dataset", F.lit("part"))))
+
+
+def _common_sql(a, b, source):
+    """Values two columns share, among all values of both."""
+    return (
+        f"(SELECT count(*) FROM (SELECT CAST({a} AS VARCHAR) FROM {source} INTERSECT SELECT CAST({b} AS VARCHAR) FROM landed_{source})) * 1.0e0 / "
+        f"(SELECT count(*) FROM (SELECT CAST({a} AS VARCHAR) FROM {source} UNION SELECT CAST({b} AS VARCHAR) FROM landed_{source}))"
+    )
+
+
+@query(
+    "rename_hints",
+    f"""WITH landed_customer AS (SELECT c_custkey AS cust_id, c_mktsegment AS c_name, c_name AS c_mktsegment FROM customer WHERE c_custkey % 10 <> 0),
+landed_orders AS (SELECT o_custkey AS buyer FROM orders WHERE o_orderkey % 10 <> 0),
+pairs AS (
+  SELECT 'customer' AS dataset, 'c_custkey' AS expected_name, 'cust_id' AS observed_name, 'renamed' AS kind,
+    {_common_sql("c_custkey", "cust_id", "customer")} AS share
+  UNION ALL SELECT 'customer', 'c_name', 'c_mktsegment', 'swapped', {_common_sql("c_name", "c_mktsegment", "customer")}
+  UNION ALL SELECT 'customer', 'c_mktsegment', 'c_name', 'swapped', {_common_sql("c_mktsegment", "c_name", "customer")}
+  UNION ALL SELECT 'orders', 'o_custkey', 'buyer', 'renamed', {_common_sql("o_custkey", "buyer", "orders")})
+SELECT dataset, expected_name, observed_name, kind, share >= 0.5e0 AS alike FROM pairs
+UNION ALL
+SELECT * FROM (VALUES ('customer', 'c_acctbal', CAST(NULL AS VARCHAR), 'gone', CAST(NULL AS BOOLEAN)),
+  ('customer', NULL, 'loyalty', 'new', NULL), ('orders', NULL, 'channel', 'new', NULL)) v(a, b, c, d, e)""",
+)
+def rename_hints(spark, sf):
+    """Columns renamed, swapped, dropped and added in files that also lack a tenth of the rows."""
+    customer, orders = inputs.table(spark, sf, "customer"), inputs.table(spark, sf, "orders")
+    landed = customer.filter("c_custkey % 10 <> 0").selectExpr(
+        "c_custkey AS cust_id", "c_mktsegment AS c_name", "c_name AS c_mktsegment", "c_nationkey",
+        "-1e9D - c_acctbal AS loyalty",
+    )
+    shipped = orders.filter("o_orderkey % 10 <> 0").withColumnRenamed("o_custkey", "buyer").withColumn(
+        "channel", F.concat(F.lit("channel "), F.col("o_orderkey") % 7)
+    )
+    out = []
+    for name, observed, expected in (("customer", landed, customer), ("orders", shipped, orders)):
+        told = [materialize(fingerprints.column_fingerprints(df), "fingerprints") for df in (observed, expected)]
+        out.append(fingerprints.rename_hints(*told).withColumn("dataset", F.lit(name)))
+    both = out[0].unionByName(out[1])
+    return both.select("dataset", "expected_name", "observed_name", "kind", (F.col("overlap") >= 0.5).alias("alike"))
+
+
+EVENT_COLUMNS = {"event_id": "n", "user_id": "n", "event_type": "n", "value": "d", "ts": "t"}
+
+
+@query(
+    "profile_days",
+    "\nUNION ALL\n".join(
+        f"""SELECT 'events' AS dataset, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, TRUE AS close,
+  {_TEXT[k].format("min", c)} AS min_value, {_TEXT[k].format("max", c)} AS max_value FROM events"""
+        for c, k in EVENT_COLUMNS.items()
+    ),
+)
+def profile_days(spark, sf):
+    """The profile of all days from their stored sketches; ``close``: distinct values within 3 % of the exact count."""
+    events, columns = inputs.events(spark, sf), list(EVENT_COLUMNS)
+    daily = materialize(fingerprints.daily_profile(events, "batch_date", columns), "daily_profile")
+    merged = fingerprints.merged_profile(daily, "events", columns)
+    exact = checks.profile(events.select(*columns), "events").select("column_name", F.col("n_distinct").alias("n_exact"))
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 0.03 * F.col("n_exact")
+    return merged.join(exact, "column_name").select(
+        "dataset", "column_name", "n_rows", "n_null", close.alias("close"), "min_value", "max_value"
+    )

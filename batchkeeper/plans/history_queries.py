@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from batchkeeper.operators import baselines, checks, faults, monitoring, remediation
 from batchkeeper.plans import inputs
 from batchkeeper.plans.inputs import FAULTY_SQL, tidy
 from batchkeeper.plans.registry import query
+from batchkeeper.session import materialize, new_scratch
+from batchkeeper.sources import tables
 
 COUNTS_SQL = (
     FAULTY_SQL
@@ -86,9 +90,7 @@ def seven_day_history(spark, sf):
     return tidy(baselines.seven_day_history(checks.relative_bounds(counts, 0.04, 0.04)))
 
 
-@query(
-    "holt_forecast",
-    """WITH RECURSIVE s AS (
+HOLT_SQL = """WITH RECURSIVE s AS (
   SELECT event_type AS dataset, CAST(ts AS DATE) AS batch_date, CAST(count(*) AS DOUBLE) AS y,
     row_number() OVER (PARTITION BY event_type ORDER BY CAST(ts AS DATE)) AS i FROM events GROUP BY 1, 2),
 r(dataset, i, batch_date, y, forecast, level, trend) AS (
@@ -96,7 +98,12 @@ r(dataset, i, batch_date, y, forecast, level, trend) AS (
   UNION ALL
   SELECT s.dataset, s.i, s.batch_date, s.y, level + trend, 0.3217e0 * s.y + (1 - 0.3217e0) * (level + trend),
     0.2113e0 * ((0.3217e0 * s.y + (1 - 0.3217e0) * (level + trend)) - level) + (1 - 0.2113e0) * trend
-  FROM r JOIN s ON s.dataset = r.dataset AND s.i = r.i + 1)
+  FROM r JOIN s ON s.dataset = r.dataset AND s.i = r.i + 1)"""
+
+
+@query(
+    "holt_forecast",
+    HOLT_SQL + """
 SELECT dataset, batch_date, CAST(y AS BIGINT) AS n_rows, round(forecast, 6) AS forecast, round(y - forecast, 6) AS residual
 FROM r""",
 )
@@ -105,6 +112,25 @@ def holt_forecast(spark, sf):
     return tidy(baselines.holt_forecast(daily.agg(F.count(F.lit(1)).alias("n_rows")), 0.3217, 0.2113))
 
 
+@query(
+    "holt_state",
+    HOLT_SQL + """
+SELECT dataset, batch_date, CAST(y AS BIGINT) AS n_rows, round(forecast, 6) AS forecast, round(y - forecast, 6) AS residual,
+  round(level, 6) AS level, round(trend, 6) AS trend FROM r""",
+)
+def holt_state(spark, sf):
+    """The same forecasts, advanced from a stored state: twenty days at once, then one day, that day again, and the rest."""
+    daily = inputs.events(spark, sf).groupBy(F.col("event_type").alias("dataset"), "batch_date")
+    series = materialize(daily.agg(F.count(F.lit(1)).alias("n_rows")), "daily")
+    path, steps = new_scratch(spark, "holt"), {}
+    for ds in ("2024-01-20", "2024-01-21", "2024-01-21", "9999-12-31"):
+        upto = series.filter(F.col("batch_date") <= F.lit(ds).cast("date"))
+        state = tables.read_state(spark, path, ds, baselines.STATE)
+        steps[ds] = materialize(baselines.holt_advance(state, upto, 0.3217, 0.2113), "steps")
+        tables.write_state(baselines.next_state(state, steps[ds]), path, ds)
+    return tidy(reduce(lambda a, b: a.unionByName(b), steps.values()))
+
+
 @query(
     "static_source",
     """WITH b AS (SELECT CAST(ts AS DATE) AS batch_date,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import policy_frame
 from batchkeeper.operators import checks, incidents, keys, monitoring, remediation
+from batchkeeper.operators.offenders import offending_keys
 from batchkeeper.plans import inputs
 from batchkeeper.plans.contract_checks import all_checks, checks_ctes
 from batchkeeper.plans.inputs import tidy
@@ -108,6 +111,12 @@ decided AS (
 )
 
 
+ANOMALY_SQL = """CASE WHEN check_name = 'row_count' AND metric > upper THEN 'spike'
+    WHEN check_name = 'row_count' AND metric < lower THEN 'drop' WHEN check_name = 'null_rate' THEN 'nulls'
+    WHEN check_name = 'zero_rate' THEN 'zeros' WHEN check_name = 'duplicates' THEN 'repeats'
+    WHEN check_name = 'foreign_key' THEN 'orphans' WHEN check_name = 'freshness' THEN 'stale' ELSE 'other' END"""
+
+
 @query(
     "incidents",
     "WITH "
@@ -137,11 +146,84 @@ def fault_class(spark, sf):
     "evidence",
     "WITH " + INCIDENTS_SQL + """
 SELECT incident_id, staged_row_count, round(historical_average, 6) AS historical_average, duplicate_rows,
-  explained_by_duplicates, round(bad_share, 6) AS bad_share FROM inc""",
+  explained_by_duplicates, round(bad_share, 6) AS bad_share, """ + ANOMALY_SQL + """ AS anomaly_type FROM inc""",
 )
 def evidence(spark, sf):
     rows = incidents.build_incidents(_checks(spark, sf), DAG)
-    return tidy(rows.select("incident_id", "evidence.*"))
+    samples = ("header_mismatch", "key_sample", "heavy_keys")
+    return tidy(rows.select("incident_id", "evidence.*").drop(*samples))
+
+
+def _offenders_sql(dataset, check, column, source, batch, key, where, having=""):
+    label = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in key)
+    order = ", ".join(key)
+    return f"""SELECT '{dataset}' AS dataset, {batch} AS batch_date, '{check}' AS check_name, '{column}' AS column_name,
+    {label} AS k, count(*) AS n, row_number() OVER (PARTITION BY {batch} ORDER BY {order}) AS low,
+    row_number() OVER (PARTITION BY {batch} ORDER BY count(*) DESC, {order}) AS heavy
+  FROM {source} WHERE {where} GROUP BY {batch}, {order} {having}"""
+
+
+_MONTH, _SHIP, _DAY = (f"CAST(date_trunc('{p}', {c}) AS DATE)" for p, c in (("month", "o_orderdate"), ("month", "l_shipdate"), ("day", "ts")))
+_ITEM = ["l_orderkey", "l_linenumber"]
+
+
+def _orphan(column, table, ref):
+    return f"{column} IS NOT NULL AND {column} NOT IN (SELECT {ref} FROM {table})"
+
+
+OFFENDERS_SQL = "\n  UNION ALL\n  ".join(
+    _offenders_sql(*row)
+    for row in (
+        ("orders", "duplicates", "o_orderkey", "f_orders", _MONTH, ["o_orderkey"], "true", "HAVING count(*) > 1"),
+        ("lineitem", "duplicates", "l_orderkey,l_linenumber", "lineitem", _SHIP, _ITEM, "true", "HAVING count(*) > 1"),
+        ("events", "duplicates", "event_id", "f_events", _DAY, ["event_id"], "true", "HAVING count(*) > 1"),
+        ("orders", "null_rate", "o_custkey", "f_orders", _MONTH, ["o_orderkey"], "o_custkey IS NULL"),
+        ("orders", "null_rate", "o_totalprice", "f_orders", _MONTH, ["o_orderkey"], "o_totalprice IS NULL"),
+        ("events", "null_rate", "user_id", "f_events", _DAY, ["event_id"], "user_id IS NULL"),
+        ("lineitem", "zero_rate", "l_discount", "lineitem", _SHIP, _ITEM, "l_discount = 0"),
+        ("orders", "foreign_key", "o_custkey", "f_orders", _MONTH, ["o_custkey"], _orphan("o_custkey", "customer", "c_custkey")),
+        ("lineitem", "foreign_key", "l_orderkey", "lineitem", _SHIP, ["l_orderkey"], _orphan("l_orderkey", "orders", "o_orderkey")),
+        ("lineitem", "foreign_key", "l_partkey", "lineitem", _SHIP, ["l_partkey"], _orphan("l_partkey", "part", "p_partkey")),
+        ("events", "foreign_key", "user_id", "f_events", _DAY, ["user_id"], _orphan("user_id", "customer", "c_custkey")),
+    )
+)
+
+
+@query(
+    "evidence_keys",
+    "WITH "
+    + INCIDENTS_SQL
+    + """,
+off AS (SELECT dataset, batch_date, check_name, column_name,
+    string_agg(k, ',' ORDER BY low) FILTER (WHERE low <= 5) AS key_sample,
+    string_agg(k || ' x' || n, ',' ORDER BY heavy) FILTER (WHERE heavy <= 5) AS heavy_keys
+  FROM ("""
+    + OFFENDERS_SQL
+    + f""") o GROUP BY 1, 2, 3, 4)
+SELECT incident_id, key_sample, heavy_keys, CASE WHEN inc.dataset = 'events' AND execution_date = DATE '{inputs.LONG_DAY}' THEN
+    'event_time unexpected: expected -, observed timestamp_ntz; ts missing: expected timestamp_ntz, observed -' END AS header_mismatch
+FROM inc LEFT JOIN off ON inc.dataset = off.dataset AND execution_date = off.batch_date AND inc.check_name = off.check_name
+  AND inc.column_name = off.column_name""",
+)
+def evidence_keys(spark, sf):
+    """Keys behind each failure of the faulty batches; one day's header has its time column under another name too."""
+    events = inputs.faulty_events(spark, sf)
+    renamed = checks.columns_frame(events.drop("batch_date").withColumnRenamed("ts", "event_time"))
+    diff = checks.schema_diff(renamed, checks.columns_frame(events.drop("batch_date")))
+    drift = checks.schema_check(diff, "events", inputs.LONG_DAY)
+    found = materialize(checks.union_checks(all_checks(spark, sf, faulty=True), drift), "checks")
+    customer = inputs.table(spark, sf, "customer")
+    parts = [
+        offending_keys(found, inputs.faulty_orders(spark, sf), "orders", "batch_date", ["o_orderkey"], {"o_custkey": (customer, "c_custkey")}),
+        offending_keys(
+            found, inputs.items(spark, sf), "lineitem", "batch_date", ["l_orderkey", "l_linenumber"],
+            {"l_orderkey": (inputs.table(spark, sf, "orders"), "o_orderkey"), "l_partkey": (inputs.table(spark, sf, "part"), "p_partkey")},
+        ),
+        offending_keys(found, events, "events", "batch_date", ["event_id"], {"user_id": (customer, "c_custkey")}),
+    ]
+    rows = incidents.build_incidents(found, DAG, offenders=reduce(lambda a, b: a.unionByName(b), parts))
+    wanted = ("key_sample", "heavy_keys", "header_mismatch")
+    return rows.filter("check_name <> 'schema'").select("incident_id", *[f"evidence.{c}" for c in wanted])
 
 
 @query(
@@ -183,11 +265,32 @@ FROM d LEFT JOIN c ON d.dataset = c.dataset AND d.execution_date = c.batch_date
 def contradictory_evidence(spark, sf):
     """Failures reported on the faulty batches against the same checks on the source tables."""
     reported = incidents.diagnose(incidents.build_incidents(_checks(spark, sf), DAG))
-    independent = all_checks(spark, sf).select(
+    return incidents.contradict(reported, _source_checks(spark, sf)).select("incident_id", "confidence", "contradicted")
+
+
+def _source_checks(spark, sf):
+    """The checks of the source tables, as a second opinion on the faulty batches."""
+    return all_checks(spark, sf).select(
         "dataset", F.col("batch_date").alias("execution_date"), "check_name", "column_name",
         F.col("passed").alias("independent_passed"),
     )
-    return incidents.contradict(reported, independent).select("incident_id", "confidence", "contradicted")
+
+
+@query(
+    "gate_contradicted",
+    "WITH d AS (WITH " + INCIDENTS_SQL + " SELECT * FROM decided), c AS (WITH " + checks_ctes() + """ SELECT * FROM checks),
+j AS (SELECT d.*, gate_evidence AND NOT coalesce(c.passed, FALSE) AS agreed
+  FROM d LEFT JOIN c ON d.dataset = c.dataset AND d.execution_date = c.batch_date AND d.check_name = c.check_name
+    AND d.column_name IS NOT DISTINCT FROM c.column_name)
+SELECT incident_id, agreed AS gate_evidence,
+  CASE WHEN agreed AND gate_deterministic AND gate_approved THEN 'auto_fix' ELSE 'escalate' END AS decision,
+  CASE WHEN NOT agreed THEN 'gate_evidence' WHEN NOT gate_deterministic THEN 'gate_deterministic'
+       WHEN NOT gate_approved THEN 'gate_approved' END AS escalation_reason FROM j""",
+)
+def gate_contradicted(spark, sf):
+    """Decisions where a failure that the second opinion denies no longer passes the evidence gate."""
+    rows = incidents.triage(_checks(spark, sf), policy_frame(spark, POLICY), DAG, independent=_source_checks(spark, sf))
+    return rows.select("incident_id", "gate_evidence", "decision", "escalation_reason")
 
 
 @query(

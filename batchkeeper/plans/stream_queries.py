@@ -6,6 +6,8 @@ stream then runs over all files that are there and stops.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.casting import CAST_ERROR
@@ -144,3 +146,33 @@ def stream_dedupe_late(spark, sf):
     return both.groupBy("route", "event_type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_keys"), F.sum("event_id").alias("key_sum")
     )
+
+
+@query(
+    "stream_progress",
+    """SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS n_kept,
+  CAST(count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS BIGINT) AS n_dropped,
+  count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS n_aside, count(*) AS n_read,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events""",
+)
+def stream_progress(spark, sf):
+    """The later half of the days first: what the watermarked stream reports as dropped is what the sink sets aside."""
+    stream.configure_streaming(spark)
+    folder, out, aside, marks, log, one, two = (
+        new_scratch(spark, t) for t in ("landing", "unique", "late", "marks", "progress", "checkpoint", "checkpoint")
+    )
+    events = inputs.table(spark, sf, "events")
+    early = F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
+    for part in (events.filter(~early), events.filter(early)):
+        _land(part, folder)
+        arriving = stream.stream_events(spark, folder, TYPES).drop(CAST_ERROR)
+        stream.run_available(stream.stream_dedupe(arriving, ["event_id"], "ts"), one, path=out, progress=log)
+        stream.run_available(arriving, two, sink=stream.aside_sink(aside, marks, "ts", ["event_id"]))
+    told = stream.read_progress(spark, log).agg(
+        F.sum("n_dropped").alias("n_dropped"), F.sum("n_rows").alias("n_read"), F.max("max_ts").alias("newest")
+    )
+    rows = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias(n)) for p, n in ((out, "n_kept"), (aside, "n_aside"))]
+    names = ("n_kept", "n_aside", "n_dropped", "n_read", "newest")
+    # one row each; put side by side without a join
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [told, *rows])
+    return tidy(both.agg(*[F.max(c).alias(c) for c in names]))

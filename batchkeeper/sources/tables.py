@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchkeeper.session import literal_table, materialize
-from batchkeeper.sources.storage import drop_directory, exists
+from batchkeeper.sources.storage import drop_directory, exists, matching
 
 
 def write_staging(df: DataFrame, root: str, dataset: str, date: str) -> str:
@@ -217,3 +217,15 @@ def write_split(df: DataFrame, valid: Column, root: str, dataset: str, date: str
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     return exists(spark, path)
+
+
+def write_state(rows: DataFrame, path: str, ds: str) -> None:
+    """What a day leaves for the next one (a row per series), in the day's own folder: a rerun replaces it."""
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/as_of={ds}")
+
+
+def read_state(spark: SparkSession, path: str, ds: str, schema: str) -> DataFrame:
+    """The newest state from before a day, empty if there is none. Only the names of folders and one folder are read."""
+    done = matching(spark, f"{path}/as_of=*/_SUCCESS")  # a write that broke off counts for nothing
+    days = [d for d in (p.split("/")[-2] for p in done) if d < f"as_of={ds}"]
+    return spark.read.schema(schema).parquet(f"{path}/{max(days)}") if days else literal_table(spark, [], schema)

@@ -11,13 +11,13 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from batchkeeper.functions.casting import cast_to_contract
 from batchkeeper.functions.scalars import hours_between
 from batchkeeper.operators.keys import dedupe_latest
 from batchkeeper.operators.predicates import split_null_keys
-from batchkeeper.session import materialize
+from batchkeeper.session import literal_table, materialize
 from batchkeeper.sources.tables import load_fact_partition, read_fact, table_exists
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,14 +66,70 @@ def stream_volume(df: DataFrame, ts: str, lower: float, upper: float, dataset: s
     )
 
 
-def run_available(df: DataFrame, checkpoint: str, path: str | None = None, sink: Sink | None = None) -> StreamingQuery:
-    """Process what has arrived and stop: into a Parquet folder, or through a sink function."""
+def run_available(
+    df: DataFrame, checkpoint: str, path: str | None = None, sink: Sink | None = None, progress: str | None = None
+) -> StreamingQuery:
+    """Process what has arrived and stop: into a Parquet folder, or through a sink function.
+
+    ``progress`` is a folder for one row per micro-batch, see :func:`write_progress`.
+    """
     writer = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", path).start()
     query.awaitTermination()
+    if progress:
+        write_progress(df.sparkSession, query.recentProgress, progress)
     return query
 
 
+PROGRESS = "query_id string, batch_id bigint, n_rows bigint, max_ts timestamp, watermark timestamp, n_dropped bigint"
+
+
+def write_progress(spark: SparkSession, reports: Sequence, path: str) -> None:
+    """Keep how far a stream has come: per micro-batch its rows, newest event time, watermark and rows dropped as late.
+
+    Each report goes under its query and micro-batch, so one that is told twice is kept once. A batch without rows
+    has no newest time. Spark counts as dropped what arrives at a stateful operator behind the watermark.
+    """
+
+    def time(report, name: str) -> str | None:
+        value = (report["eventTime"] or {}).get(name)
+        return value.replace("T", " ").rstrip("Z") if value else None
+
+    for report in reports:
+        dropped = sum(int(o["numRowsDroppedByWatermark"]) for o in report["stateOperators"])
+        number = int(report["batchId"])
+        row = (str(report["id"]), number, int(report["numInputRows"]), time(report, "max"), time(report, "watermark"), dropped)
+        kept = literal_table(spark, [row], PROGRESS).coalesce(1)
+        kept.write.mode("overwrite").parquet(f"{path}/query={report['id']}/batch={number}")
+
+
+class ProgressLog(StreamingQueryListener):
+    """Writes the progress of every query of a session as it is made, for streams that never stop.
+
+    ``spark.streams.addListener(ProgressLog(spark, path))``; reports arrive a little after their batch.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        """Nothing to keep yet."""
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        write_progress(self.spark, [event.progress], self.path)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        """No micro-batch, no row."""
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        """What was made is kept already."""
+
+
+def read_progress(spark: SparkSession, path: str) -> DataFrame:
+    """One row per query and micro-batch, as :func:`write_progress` kept them."""
+    return spark.read.schema(PROGRESS).option("recursiveFileLookup", True).parquet(path)
+
+
 def freshness_sink(log: str, ts: str, max_delay_hours: float, as_of: str | None = None, dataset: str = "events") -> Sink:
     """Lag of each micro-batch's newest row behind the clock, one log row per batch id."""
 
