@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import money, seconds_between
+from batchkeeper.operators.checks import check_row, rows_of
 
 # (class, pattern in the task log): operational errors that a plain retry cures.
 TRANSIENT_LOGS = (
@@ -105,6 +106,19 @@ def run_status(runs: DataFrame) -> DataFrame:
     )
 
 
+def run_checks(failures: DataFrame, task: str = "task_id", date: str = "execution_date") -> DataFrame:
+    """:func:`failure_class` as check rows, one per task and date, so that run history opens incidents like any check.
+
+    The metric counts failed runs. A failure that retries have mended passes; a data fault or exhausted retries do not.
+    No policy covers them, so they escalate.
+    """
+    keyed = failures.withColumn("dataset", F.col(task).cast("string")).withColumn("batch_date", F.col(date).cast("date"))
+    evidence = "concat(verdict, ': data faults=', n_data_fault, ' transient=', n_transient)"
+    bad = "if(coalesce(needs_incident, true), n_data_fault + n_transient, 0)"
+    passed = "NOT coalesce(needs_incident, true)"
+    return rows_of(keyed, check_row("task_runs", "NULL", "n_data_fault + n_transient", passed, bad, evidence))
+
+
 def current_state(audit: DataFrame, ranks: Mapping[str, int]) -> DataFrame:
     """Fold the append-only log to each incident's latest state; equal times go by state rank."""
     rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])

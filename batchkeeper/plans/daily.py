@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.contract import Contract, DatasetContract
 from batchkeeper.functions.casting import CAST_ERROR, MALFORMED, cast_failure_share, cast_to_contract, well_formed
-from batchkeeper.operators import baselines, checks, incidents, joins, keys, predicates, remediation
+from batchkeeper.operators import baselines, checks, incidents, joins, keys, offenders, predicates, remediation
 from batchkeeper.session import configure, literal_table, materialize
 from batchkeeper.sources import files, tables
 from batchkeeper.sources.storage import exists
@@ -273,9 +273,13 @@ def run_day(
     as_of: str | None = None,
     dag_id: str = "daily_batches",
     only: Iterable[str] | None = None,
+    independent: DataFrame | None = None,
 ) -> DayResult:
     """Run one day end to end: check, repair the staged batch where that is approved, check again, load once.
 
+    ``independent`` is a second opinion on checks of the day, as ``incidents.contradict`` takes it: a failure that it
+    denies is not repaired but escalated.
+
     Running it again leaves the same tables. Of the registry and the logs it replaces the day's rows of the
     datasets it ran; findings that are gone are closed, and what a human has decided stays decided.
     """
@@ -291,7 +295,8 @@ def run_day(
         (F.col("run_date") == F.lit(ds).cast("date")) & F.col("dataset").isin(names)
     ).select(*checks.CHECK_COLUMNS)
 
-    decided = incidents.triage(found, contract.policy_frame(spark), dag_id)
+    sampled = sampled_keys(spark, contract, layout, typed, found, ds)
+    decided = incidents.triage(found, contract.policy_frame(spark), dag_id, sampled, independent)
     before = registered(spark, registry, ds, names, decided)
     decided = materialize(carry_decisions(decided, before), "decided")
     gone = before.join(decided.select("incident_id"), "incident_id", "left_anti").select(*decided.columns)
@@ -327,6 +332,25 @@ def run_day(
     return result
 
 
+def sampled_keys(
+    spark: SparkSession, contract: Contract, layout: Layout, typed: dict[str, DataFrame], found: DataFrame, ds: str
+) -> DataFrame:
+    """Keys behind the day's failed checks. Only the datasets that failed are read again."""
+    bad = {r["dataset"] for r in checks.failed(found).select("dataset").distinct().collect()}  # at most one per dataset
+    sound = {n: df for n, df in typed.items() if not contract[n].is_fact and n not in bad}
+    known = _references(spark, contract, layout, sound)
+    parts = [literal_table(spark, [], offenders.SCHEMA)]
+    for name in sorted(bad & set(typed)):
+        d = contract[name]
+        batch = well_formed(typed[name]).withColumn("batch_date", F.lit(ds).cast("date"))
+        references = {
+            k.column: (known[k.ref_dataset], k.ref_column) for k in d.foreign_keys
+            if k.ref_dataset in known and k.ref_column in known[k.ref_dataset].columns
+        }
+        parts.append(offenders.offending_keys(found, batch, name, "batch_date", d.primary_key, references))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def registered(spark: SparkSession, registry: str, ds: str, names: Sequence[str], like: DataFrame) -> DataFrame:
     """The day's incidents of these datasets as an earlier run left them."""
     if not exists(spark, registry):

@@ -6,10 +6,12 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from batchkeeper.operators import baselines, checks, faults, monitoring, remediation
+from batchkeeper.contract import policy_frame
+from batchkeeper.operators import baselines, checks, faults, incidents, monitoring, remediation
 from batchkeeper.plans import inputs
 from batchkeeper.plans.inputs import FAULTY_SQL, tidy
 from batchkeeper.plans.registry import query
+from batchkeeper.retail import POLICY
 from batchkeeper.session import materialize, new_scratch
 from batchkeeper.sources import tables
 
@@ -244,6 +246,31 @@ def failure_class(spark, sf):
     return monitoring.failure_class(runs, monitoring.retry_outcome(runs, 2))
 
 
+@query(
+    "run_incidents",
+    "WITH "
+    + RUNS_SQL
+    + """,
+logs AS (SELECT task_id, execution_date, count(*) FILTER (WHERE transient) AS n_transient,
+  count(*) FILTER (WHERE NOT transient) AS n_data_fault FROM runs WHERE failed GROUP BY 1, 2),
+v AS (SELECT l.*, CASE WHEN n_data_fault > 0 THEN 'data_fault' WHEN outcome = 'exhausted' THEN 'exhausted_retries'
+  ELSE 'transient' END AS verdict
+  FROM logs l JOIN outcomes o ON l.task_id = o.task_id AND l.execution_date = o.execution_date)
+SELECT 'INC-' || strftime(execution_date, '%Y%m%d') || '-' || substr(sha256(CAST(task_id AS VARCHAR) || '|task_runs|'), 1, 8) AS incident_id,
+  CAST(task_id AS VARCHAR) AS dataset, CAST(execution_date AS DATE) AS execution_date, 'unclassified' AS failure_category,
+  n_data_fault + n_transient AS n_bad, 'task_runs failed on ' || task_id || ' ' || verdict || ': data faults=' || n_data_fault
+    || ' transient=' || n_transient AS error_message, 'escalate' AS decision
+FROM v WHERE verdict <> 'transient'""",
+)
+def run_incidents(spark, sf):
+    """The run history as decided incidents."""
+    runs = _runs(spark, sf)
+    rows = monitoring.run_checks(monitoring.failure_class(runs, monitoring.retry_outcome(runs, 2)))
+    return incidents.triage(rows, policy_frame(spark, POLICY), "daily_batches").select(
+        "incident_id", "dataset", "execution_date", "failure_category", "n_bad", "error_message", "decision"
+    )
+
+
 @query(
     "run_status",
     "WITH "

@@ -91,6 +91,19 @@ def test_contradiction_lowers_confidence(spark):
     assert incidents.contradict(opened, other.limit(0)).first()["confidence"] == "High"
 
 
+def test_a_denied_failure_does_not_pass_the_evidence_gate(spark):
+    args = (found(spark, dup(5)), policy_frame(spark, POLICY), "dag")
+    other = spark.createDataFrame(
+        [("orders", DAY, "duplicates", "order_id", True)],
+        "dataset string, execution_date date, check_name string, column_name string, independent_passed boolean",
+    )
+    assert incidents.triage(*args).first()["decision"] == "auto_fix"
+    row = incidents.triage(*args, independent=other).first()
+    assert (row["decision"], row["escalation_reason"]) == ("escalate", "gate_evidence")
+    agreeing = other.withColumn("independent_passed", F.lit(False))
+    assert incidents.triage(*args, independent=agreeing).first()["decision"] == "auto_fix"
+
+
 def test_evidence_counts_history_before_the_day_only(spark):
     before = [
         ("orders", DAY - datetime.timedelta(days=i), "row_count", None, 100.0 * i, 0.0, 999.0, True, 0, "r")

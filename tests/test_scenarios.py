@@ -93,6 +93,7 @@ def test_orphans_escalate_with_their_count(spark, layout, tmp_path):
     row = result.incidents.first()
     assert row["n_bad"] == 20 and "keys=1" in row["error_message"]
     assert row["severity"] == "high" and result.halted == ["orders"]
+    assert row["evidence"]["key_sample"] == "99999" and row["evidence"]["heavy_keys"] == "99999 x20"
 
 
 def decide(spark, layout, ds, decision):

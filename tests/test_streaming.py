@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from frames import rows
@@ -99,3 +100,33 @@ def test_every_arrival_is_kept_set_aside_or_a_repeat(spark, paths):
     assert got == [("2", "late"), ("None", "incomplete"), ("n", "incomplete")]
     closed = stream.closed_days(spark, paths("out"), paths("marks"), "event_ts", 1, 5).collect()
     assert [(str(r["batch_date"]), r["n_rows"], r["passed"]) for r in closed] == [("2024-01-02", 2, True)]
+
+
+def test_progress_is_kept_once_per_batch(spark, paths):
+    land(paths, "a", ("1", "2024-01-02 10:00:00"), ("2", "2024-01-02 11:00:00"))
+    for name, at in (("b", "2024-01-01 10:00:00"), ("c", "2024-01-02 12:00:00")):
+        for _ in range(2):
+            unique = stream.stream_dedupe(arriving(spark, paths), ["event_id"], "event_ts").drop(CAST_ERROR)
+            query = stream.run_available(unique, paths("cp"), path=paths("unique"), progress=paths("log"))
+        stream.write_progress(spark, query.recentProgress, paths("log"))
+        if name == "b":
+            land(paths, name, ("9", at))
+    told = stream.read_progress(spark, paths("log"))
+    assert told.count() == told.select("query_id", "batch_id").distinct().count()
+    assert told.agg({"n_rows": "sum"}).first()[0] == 3 and told.agg({"n_dropped": "sum"}).first()[0] == 1
+    assert str(told.agg({"max_ts": "max"}).first()[0]) == "2024-01-02 11:00:00"
+
+
+def test_listener_keeps_progress_too(spark, paths):
+    log = stream.ProgressLog(spark, paths("told"))
+    spark.streams.addListener(log)
+    try:
+        land(paths, "a", ("1", "2024-01-02 10:00:00"))
+        stream.run_available(arriving(spark, paths), paths("cp"), path=paths("out"))
+        deadline = time.monotonic() + 30
+        while not os.path.exists(paths("told")) and time.monotonic() < deadline:
+            time.sleep(0.2)
+        time.sleep(1)
+    finally:
+        spark.streams.removeListener(log)
+    assert stream.read_progress(spark, paths("told")).agg({"n_rows": "sum"}).first()[0] == 1
