@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,12 @@ def entropy_spans(text: str, known: list[Span], allowed: tuple[re.Pattern, ...]
             merged.append((a, b))
     out = []
     end, spared = 0, []
+    # of the known spans that begin at a place or before it, how far the longest reaches
+    begins = sorted((s, e) for s, _, e in known)
+    reach = list(accumulate((e for _, e in begins), max))
     for a, b in merged:
-        if any(s <= a and b <= e for s, _, e in known):
+        before = bisect_right(begins, (a, len(text) + 1))
+        if before and b <= reach[before - 1]:
             continue
         if a >= end:
             begin, end = a, b  # the whole string between white space, for the allow list
@@ -176,7 +181,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``secret_spans`` (by start, then kind as listed) and ``redacted`` (the text without them).
 
     Places are code points, ends exclusive. The kinds are assign, access, hex and entropy. Null and empty texts
-    have no spans, and are returned as they are. Columns of ``docs`` that bear the new names give way.
+    have no spans, and are returned as they are. Very long texts are scanned whole. Repeated rows and rows without an id
+    are scanned each by itself; an empty table gives none. Columns of ``docs`` that bear the new names give way.
     """
     prepare(docs.sparkSession)
     source = docs.drop("secret_spans", "redacted").withColumn(text_col, F.col(text_col).cast("string"))

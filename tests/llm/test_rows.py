@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from batchkeeper.llm.html_text import extract_text, main_text
 from batchkeeper.llm.language import identify
 from batchkeeper.llm.packing import Encoder, lengths, pack
 from batchkeeper.llm.quality import FEATURES, fit, passing, quality_rules, statistics
-from batchkeeper.llm.secrets import entropy_windows, redacted, scan, scan_secrets
+from batchkeeper.llm.secrets import base_spans, entropy_spans, entropy_windows, redacted, scan, scan_secrets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 ODD_TEXTS = [
@@ -190,6 +191,26 @@ def test_added_spans_and_allow_list():
     assert redacted("a SECRET b", [(2, 0, 8), (4, 3, 8)]) == "a [secret] b"
 
 
+def test_known_spans_hide_what_they_hold_only():
+    generator = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(200):
+        parts = ["".join(generator.choices("0123456789abcdef" if generator.random() < 0.5 else letters, k=generator.randint(18, 45))) for _ in range(12)]
+        text = "".join(p + generator.choice([" ", "\n", " token=", ""]) for p in parts)
+        known = base_spans(text)
+        free = entropy_spans(text, [])
+        plain = [x for x in free if not any(s <= x[0] and x[2] <= e for s, _, e in known)]
+        assert entropy_spans(text, known) == plain
+
+
+def test_many_keys_in_one_text():
+    generator = random.Random(6)
+    text = " ".join(f"{generator.getrandbits(160):040x} {generator.getrandbits(130):033x}z" for _ in range(20000))
+    begin = time.monotonic()
+    assert len(scan(pa.array([text]))[0]) >= 20000
+    assert time.monotonic() - begin < 60
+
+
 def test_scan_keeps_columns(spark):
     rows = [(i, t, 1.5, ["kept"]) for i, t in enumerate(SECRETS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, redacted double, extra array<string>")
