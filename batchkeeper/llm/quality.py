@@ -220,6 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Trees from the labelled rows of ``docs``; None without labels of both kinds.
 
     ``labels`` has the id and ``quality``, 1 or 0; rows with null in either, or of no document, teach nothing.
+    Of rows of ``docs`` that share a labelled id the one with the smallest statistics teaches.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1)").distinct()
@@ -236,7 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         }
 
     taught = by_batch(texts.join(sample, "doc_id"), "doc_id long, quality int, features array<double>", describe)
-    rows = taught.orderBy("doc_id", "quality", "features").toArrow()
+    # rows that share an id give one example a label, so no more than MAX_LABELLED reach the driver
+    rows = taught.groupBy("doc_id", "quality").agg(F.min("features").alias("features")).orderBy("doc_id", "quality").toArrow()
     if not rows.num_rows:
         return None
     x = np.stack(rows.column("features").to_numpy())

@@ -14,7 +14,7 @@ from batchkeeper.llm.cotraining import classify
 from batchkeeper.llm.html_text import extract_text, main_text
 from batchkeeper.llm.language import identify
 from batchkeeper.llm.packing import Encoder, lengths, pack
-from batchkeeper.llm.quality import FEATURES, fit, passing, quality_rules, statistics
+from batchkeeper.llm.quality import FEATURES, fit, learn, passing, quality_rules, statistics
 from batchkeeper.llm.secrets import base_spans, entropy_spans, entropy_windows, redacted, scan, scan_secrets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,6 +120,16 @@ def test_rules_keep_prose_and_drop_junk(spark):
     assert passing(docs, labels).columns == docs.columns
 
 
+def test_repeated_labelled_ids_teach_once(spark):
+    good, bad = " ".join(f"word{i} and" for i in range(80)), "x # " * 80
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    often = docs.unionByName(docs.where("doc_id < 2")).unionByName(docs.where("doc_id < 2"))
+    once, again = learn(docs, labels), learn(often, labels)
+    x = statistics(pa.array([good, bad]))["features"]
+    assert np.array_equal(once.score(x), again.score(x))
+
+
 def test_rules_without_labels_and_without_rows(spark):
     rows = [(1, "w%d " * 60 % tuple(range(60))), (2, "few words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
