@@ -5,16 +5,20 @@ menus, headers, footers, sidebars, notices, adverts, forms, scripts and reader c
 elements and class names. A class or id marks by its head word ("site-footer", "comments-area"; not "ad-free" or
 "no-sidebar"), and never the page, its body, main or an article. Where HTML leaves an end tag out, the next start
 tag implies it. Each block's ratio of characters to tags is smoothed along the page; the blocks over
-the threshold form the content clusters, and the regions that hold one are selected: the page's article
-elements, or without any, the stretch from the first to the last block of a cluster. From a selected region
-every unmarked block is kept, however short.
+the threshold form the content clusters, and these choose what is kept (:func:`selected`): the article and main
+elements that hold a cluster, with every unmarked block in them, however short; on other pages the stretch from
+the first to the last cluster and the running text at its ends. An article is a strong hint and no more: where the
+clusters outside hold three times the text inside, they are the content. Other blocks of an article's own header than
+its headings are kept if their ratios make them part of a cluster: a lead paragraph is, a byline is not.
+Reading and choosing take time in proportion to the page, whatever tags it leaves open.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -79,6 +83,8 @@ SIGMA = 1.0
 RADIUS = 3
 #: Blocks over this share of the standard deviation of the smoothed ratios belong to a cluster.
 THRESHOLD = 0.5
+#: Clusters outside all articles are the content if they hold this many times the text inside.
+OUTSIDE = 3
 
 
 @dataclass
@@ -89,6 +95,8 @@ class Block:
     region: int
     heading: bool
     wrapped: bool  # in an article that lies in an element marked by its name
+    doubtful: bool = False  # in an article's own header, and no heading
+    links: bool = False  # more than half of its characters are links
 
 
 def head_marks(name: str, names: frozenset[str]) -> bool:
@@ -107,10 +115,11 @@ class Blocks(HTMLParser):
         self.blocks: list[Block] = []
         # tag, marked, marked by a name, region, inside a region's header, region inside an element marked by a name
         self.open: list[tuple[str, bool, bool, int, bool, bool]] = []
-        self.held: Counter[str] = Counter()  # how often each tag is open
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # where each tag is open, outermost first
         self.regions = 0
         self.parts: list[str] = []
         self.tags = 1
+        self.linked = 0
         self.heading = False
 
     def _state(self) -> tuple[bool, bool, int, bool, bool]:
@@ -120,23 +129,23 @@ class Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             marked, named, region, in_header, wrapped = self._state()
-            marked = marked or named or (in_header and not self.heading)
-            self.blocks.append(Block(text, self.tags, marked, region, self.heading, wrapped))
-        self.parts, self.tags, self.heading = [], 1, False
+            links = 2 * self.linked > len(text) - text.count(" ")
+            doubtful = in_header and not self.heading
+            self.blocks.append(Block(text, self.tags, marked or named, region, self.heading, wrapped, doubtful, links))
+        self.parts, self.tags, self.linked, self.heading = [], 1, 0, False
 
     def _close_from(self, i: int) -> None:
-        self.held.subtract(x[0] for x in self.open[i:])
+        for x in self.open[i:]:
+            self.at[x[0]].pop()
         del self.open[i:]
 
     def _imply_ends(self, closed: frozenset[str], stops: frozenset[str]) -> None:
-        if not any(self.held[t] for t in closed):
+        """Closes the outermost of the elements ``closed`` that no other element in ``stops`` lies in."""
+        places = [self.at[t] for t in closed if self.at[t]]
+        if not places:
             return
-        first = -1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in closed:
-                first = i
-            elif self.open[i][0] in stops:
-                break
+        stop = max((self.at[t][-1] for t in stops - closed if self.at[t]), default=-1)
+        first = min((p[bisect_right(p, stop)] for p in places if p[-1] > stop), default=-1)
         if first >= 0:
             self._close_from(first)
 
@@ -165,8 +174,8 @@ class Blocks(HTMLParser):
             # a page's header is no content; of an article's own header, the headings are
             marked, in_header = marked or not region, bool(region)
         self.heading = self.heading or tag in HEADINGS
+        self.at[tag].append(len(self.open))
         self.open.append((tag, marked, named, region, in_header, wrapped))
-        self.held[tag] += 1
 
     @staticmethod
     def _marks(attrs: list[tuple[str, str | None]]) -> bool:
@@ -189,13 +198,13 @@ class Blocks(HTMLParser):
         if tag in BLOCK or tag in MARKED:
             self._end_block()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self._close_from(i)
-                break
+        if self.at[tag]:
+            self._close_from(self.at[tag][-1])
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.at["a"]:
+            self.linked += sum(map(len, data.split()))
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         try:
@@ -210,12 +219,58 @@ class Blocks(HTMLParser):
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
-    """Gaussian smoothing along the page; at its ends the kernel is cut and weighted anew."""
+    """Gaussian smoothing along the page; at its ends the kernel is cut and weighted anew. None at a sigma of 0."""
+    if sigma == 0:
+        return ratios
     kernel = np.array([math.exp(-(k * k) / (2 * sigma * sigma)) for k in range(-radius, radius + 1)])
     weight = np.convolve(np.ones(len(ratios)), kernel)[radius : radius + len(ratios)]
     return np.convolve(ratios, kernel)[radius : radius + len(ratios)] / weight
 
 
+def selected(blocks: list[Block], sigma: float = SIGMA, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which blocks are content, by the clusters of smoothed ratios; marks and regions say what may be."""
+    marked = np.array([b.marked for b in blocks])
+    wrapped = np.array([b.wrapped for b in blocks])
+    if not (marked | wrapped).all():  # else the marked element holds all the page has
+        marked |= wrapped
+    sizes = np.array([len(b.text) for b in blocks])
+    ratios = np.where(marked, 0.0, sizes / np.array([b.tags for b in blocks]))
+    level = smoothed(ratios, sigma)
+    limit = threshold * level.std()
+    cluster = ~marked & (level >= limit)
+    doubtful = np.array([b.doubtful for b in blocks])
+    links = np.array([b.links for b in blocks])
+    # beside a long paragraph any line is in a cluster; a doubtful one must have the ratio itself
+    cluster &= ~doubtful | (ratios >= limit)
+    open_ = ~marked & (~doubtful | cluster)
+    region = np.array([b.region for b in blocks])
+    inside = open_ & (region > 0)
+    outside = cluster & (region == 0)
+    if inside.any() and sizes[outside].sum() <= OUTSIDE * sizes[inside].sum():
+        chosen = set(region[cluster & inside & ~links].tolist())
+        if not chosen:
+            held = np.bincount(region[inside], weights=sizes[inside])
+            chosen = {int(held.argmax())}
+        return inside & np.isin(region, list(chosen))
+    if not cluster.any():
+        return open_
+    at = np.flatnonzero(cluster)
+    first, last = int(at[0]), int(at[-1])
+    # running text and headings next to a cluster belong to it; marked blocks and lists of links end it
+    ends = marked | links
+    while first < last and ends[first]:
+        first += 1
+    while first < last and ends[last]:
+        last -= 1
+    while first and not ends[first - 1]:
+        first -= 1
+    while last + 1 < len(blocks) and not ends[last + 1]:
+        last += 1
+    open_[:first] = False
+    open_[last + 1 :] = False
+    return open_
+
+
 def main_text(html: str | None) -> str:
     """The kept blocks of one page, joined by line ends; empty if there are none."""
     if not html:
@@ -224,42 +279,15 @@ def main_text(html: str | None) -> str:
     reader.feed(html)
     reader.close()
     blocks = reader.blocks
-    if not blocks:
-        return ""
-    marked = np.array([b.marked for b in blocks])
-    wrapped = np.array([b.wrapped for b in blocks])
-    if not (marked | wrapped).all():  # else the marked element holds all the page has
-        marked |= wrapped
-    ratios = np.array([0.0 if m else len(b.text) / b.tags for b, m in zip(blocks, marked, strict=True)])
-    level = smoothed(ratios)
-    content = ~marked & (level >= THRESHOLD * level.std())
-    region = np.array([b.region for b in blocks])
-    inside = ~marked & (region > 0)
-    if inside.any():
-        chosen = set(region[content & inside].tolist())
-        if not chosen:
-            sizes = {r: sum(len(b.text) for b, m in zip(blocks, marked, strict=True) if b.region == r and not m) for r in set(region[inside].tolist())}
-            chosen = {max(sizes, key=lambda r: (sizes[r], -r))}
-        keep = inside & np.isin(region, list(chosen))
-    elif content.any():
-        at = np.flatnonzero(content)
-        first = at[0]
-        while first and blocks[first - 1].heading and not marked[first - 1]:
-            first -= 1
-        keep = ~marked
-        keep[:first] = False
-        keep[at[-1] + 1 :] = False
-    else:
-        keep = ~marked
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, selected(blocks), strict=True) if k) if blocks else ""
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` (code points) for each row of ``pages``.
 
     White space inside a block is one space, blocks are joined by one line end. Null and empty pages, and pages
-    without content, have an empty text. Rows that share an id are pages of their own. Other columns are ignored;
-    an empty table gives none.
+    without content, have an empty text. Very long pages are read whole, in time that grows with their length. Rows that
+    share an id are pages of their own. Other columns are ignored, whatever they are called; an empty table gives none.
     """
     prepare(pages.sparkSession)
     source = pages.select(

@@ -1,5 +1,6 @@
 """Operators that judge each row by itself: packing, quality, secrets, language, page text, classifier."""
 
+import math
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from batchkeeper.llm.cotraining import classify
-from batchkeeper.llm.html_text import extract_text, main_text
+from batchkeeper.llm.html_text import THRESHOLD, Blocks, extract_text, main_text, selected
 from batchkeeper.llm.language import identify
 from batchkeeper.llm.packing import Encoder, lengths, pack
 from batchkeeper.llm.quality import FEATURES, fit, learn, passing, quality_rules, statistics
@@ -363,3 +364,85 @@ def test_names_of_the_page_and_left_out_end_tags():
     assert main_text("<article><p class=notice>a<p>b<p>c<hr><ul><li class=ad>x<li>y<ul><li class=ad>p<li>q</ul><li>z</ul></article>") == "b\nc\ny\nq\nz"
     assert main_text("<article><table><tr><td class=ad>a<td>b<tr class=ad><td>c<tr><td>d</table><dl><dt class=ad>e<dd>f</dl></article>") == "b\nd\nf"
     assert main_text("<article><table><tr><td><p>a<table><tr><td class=ad>b<td>c</table>d<td>e</table></article>") == "a\nc\nd\ne"
+
+
+def read(page):
+    reader = Blocks()
+    reader.feed(page)
+    reader.close()
+    return reader.blocks
+
+
+def chosen(page, sigma):
+    blocks = read(page)
+    return [b.text for b, k in zip(blocks, selected(blocks, sigma), strict=True) if k]
+
+
+LINKS = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(6))
+BLURB = "a lone blurb of some length between links, " * 3
+
+
+def test_smoothing_decides_on_pages_of_each_kind():
+    prose = "word " * 60
+    body = "".join(f"<p>{prose}{i}</p>" for i in range(5))
+    text = [f"{prose}{i}" for i in range(5)]
+    plain = f"<ul>{LINKS}</ul><p>{BLURB}</p><ul>{LINKS}</ul><div>{body}</div>"
+    assert chosen(plain, 1.0) == text
+    assert chosen(plain, 0)[0] == BLURB.strip()
+    articles = f"<article>{LINKS}<p>{BLURB}</p>{LINKS}</article><article>{body}</article>"
+    assert chosen(articles, 1.0) == text
+    assert BLURB.strip() in chosen(articles, 0)
+    lead = "lead " * 30
+    header = f"<article><header><h1>Title</h1><p class=lede>{lead}</p><p>By me</p></header>{body}</article>"
+    assert chosen(header, 1.0) == ["Title", lead.strip(), *text]
+
+
+def test_clusters_outweigh_a_region_and_keep_what_follows_a_heading():
+    prose = "word " * 60
+    page = f"<article><h3>Teaser</h3></article><div><p>{prose}</p><p>{prose}</p></div>"
+    assert main_text(page).count(prose.strip()) == 2
+    page = f"<div><p>{prose}<p>{prose}</div><section><h2>Second</h2><p>short tail.</p></section><ul>{LINKS}</ul><p>after</p>"
+    assert main_text(page).split("\n")[2:] == ["Second", "short tail."]
+
+
+def plain_clusters(blocks):
+    """Ratios, smoothing and threshold by loops over single blocks."""
+    ratios = [0.0 if b.marked else len(b.text) / b.tags for b in blocks]
+    level = []
+    for i in range(len(blocks)):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratios[j]) for j in range(max(0, i - 3), min(len(blocks), i + 4))]
+        level.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(level) / len(level)
+    limit = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level))
+    return [not b.marked and x >= limit for b, x in zip(blocks, level, strict=True)]
+
+
+def test_clusters_agree_with_plain_loops():
+    rng = random.Random(5)
+    for _ in range(60):
+        page = ""
+        for i in range(rng.randint(1, 40)):
+            tag = rng.choice(["p", "p", "div class=ad", "li"])
+            link = rng.random() < 0.3
+            page += f"<{tag}>{'<a href=x>' if link else ''}{'w' * rng.choice([3, 8, 40, 200])}{i}{'</a>' if link else ''}</{tag.split()[0]}>"
+        blocks = read(page)
+        cluster = plain_clusters(blocks)
+        if not any(cluster):
+            continue
+        first, last = cluster.index(True), len(cluster) - 1 - cluster[::-1].index(True)
+        while first < last and (blocks[first].marked or blocks[first].links):
+            first += 1
+        while first < last and (blocks[last].marked or blocks[last].links):
+            last -= 1
+        while first and not blocks[first - 1].marked and not blocks[first - 1].links:
+            first -= 1
+        while last + 1 < len(blocks) and not blocks[last + 1].marked and not blocks[last + 1].links:
+            last += 1
+        assert selected(blocks).tolist() == [first <= i <= last and not b.marked for i, b in enumerate(blocks)]
+
+
+def test_pages_of_open_tags_take_linear_time():
+    start = time.monotonic()
+    for page in ("<div>" * 20_000 + "</b>" * 20_000 + "x", "<span>" * 10_000 + "<p>a" * 10_000, "<ul><li>" * 10_000 + "</p>" * 20_000 + "x", "<a>" * 30_000 + "<td>x" * 10_000):
+        assert "x" in main_text(page) or "a" in main_text(page)
+    assert time.monotonic() - start < 20
