@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.functions.scalars import incident_id
 from batchkeeper.operators.checks import failed
-from batchkeeper.operators.joins import blast_radius
+from batchkeeper.operators.joins import deep_reach
 from batchkeeper.session import literal_table
 
 # Canonical incident states.
@@ -400,7 +400,7 @@ def lineage_impact(spark: SparkSession, edges: Sequence[tuple[str, str]], datase
     """
     graph = literal_table(spark, edges, "src string, dst string")
     start = literal_table(spark, [(d, d) for d in datasets], "dataset string, node string")
-    reached = blast_radius(graph, start, by=["dataset"]).filter("depth > 0")
+    reached = deep_reach(graph, start, by=["dataset"]).filter("depth > 0")
 
     def names(condition: str, alias: str) -> Column:
         found = F.sort_array(F.collect_set(F.when(F.expr(condition), F.col("node"))))

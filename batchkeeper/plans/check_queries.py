@@ -343,6 +343,19 @@ def blast_radius(spark, sf):
     return joins.blast_radius(edges, start)
 
 
+@query(
+    "deep_reach",
+    """WITH runs AS (SELECT p_partkey, p_partkey - row_number() OVER (ORDER BY p_partkey) AS run FROM part)
+SELECT p_partkey AS node, (p_partkey - min(p_partkey) OVER (PARTITION BY run))::INTEGER AS depth FROM runs""",
+)
+def deep_reach(spark, sf):
+    """A lineage as long as the part table: each part follows the one numbered before it, if there is one."""
+    parts = inputs.table(spark, sf, "part").select(F.col("p_partkey").alias("node"))
+    before = parts.select((F.col("node") + 1).alias("node"), F.col("node").alias("src")).join(parts, "node")
+    edges = before.select("src", F.col("node").alias("dst"))
+    return joins.deep_reach(edges, parts.join(edges.select(F.col("dst").alias("node")), "node", "left_anti"))
+
+
 # --- aggregates --------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from frames import rows
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.sources import tables
 from batchkeeper.operators import joins, keys, merge, predicates
+from batchkeeper.session import materialize
 
 
 def test_dedupe_keeps_the_newest_and_every_unkeyed_row(spark):
@@ -88,6 +90,7 @@ def test_blast_radius_ends_on_cycles(spark):
     )
     start = spark.createDataFrame([("a",)], "node string")
     assert rows(joins.blast_radius(edges, start)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+    assert rows(joins.deep_reach(edges, start)) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
 
 
 def test_split_loses_no_row(spark, orders):
@@ -150,3 +153,33 @@ def test_lineage_of_any_depth_resolves(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "src string, dst string")
     reached = joins.blast_radius(edges, spark.createDataFrame([("n0",)], "node string"))
     assert sorted(r["depth"] for r in reached.collect()) == list(range(71))
+
+
+def test_a_chain_of_a_thousand_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(joins, "materialize", lambda df, label: rounds.append(label) or materialize(df, label))
+    edges = spark.range(1000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    reached = joins.deep_reach(edges, spark.range(1).select(F.col("id").alias("node")))
+    assert sorted((r["node"], r["depth"]) for r in reached.collect()) == [(i, i) for i in range(1001)]
+    assert rounds.count("walks") <= 12
+
+
+def test_deep_reach_equals_a_plain_walk(spark):
+    rng = random.Random(2)
+    for n, m in ((12, 18), (30, 36), (25, 60)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        starts = [("p", 0), ("p", 1), ("q", 2)]
+        want = {}
+        for tag in ("p", "q"):
+            depth = {s: 0 for t, s in starts if t == tag}
+            queue = list(depth)
+            for u in queue:
+                for a, b in pairs:
+                    if a == u and b not in depth:
+                        depth[b] = depth[u] + 1
+                        queue.append(b)
+            want |= {(tag, v): d for v, d in depth.items()}
+        edges = spark.createDataFrame(pairs + pairs[:2] + [(None, 1)], "src int, dst int")
+        got = joins.deep_reach(edges, spark.createDataFrame(starts, "tag string, node int"), by=["tag"])
+        assert {(r["tag"], r["node"]): r["depth"] for r in got.collect()} == want
+    assert joins.deep_reach(edges.limit(0), spark.createDataFrame([(1,)], "node int")).count() == 1
