@@ -49,8 +49,7 @@ def plain_mix(docs):
     """doc index -> repetitions, by one pass over each source in the order of its keys."""
     size = [len(WORDS.findall(d[1] or "")) for d in docs]
     key = [
-        hashlib.md5(("mix-1:" + (hashlib.md5((d[1] or "").encode()).hexdigest() if d[0] is None else str(d[0]))).encode()).hexdigest()
-        for d in docs
+        hashlib.md5(f"mix-1:{'' if d[0] is None else d[0]}:{hashlib.md5((d[1] or '').encode()).hexdigest()}".encode()).hexdigest() for d in docs
     ]
     totals = defaultdict(int)
     for d, n in zip(docs, size, strict=True):
@@ -60,19 +59,14 @@ def plain_mix(docs):
     for source, total in totals.items():
         whole = int(goals[source] // total) if total else 0
         extra = goals[source] - whole * total
-        by_key = defaultdict(int)
-        for d, n, k in zip(docs, size, key, strict=True):
-            if d[3] == source:
-                by_key[k] += n
-        upto, cut = 0, ""
-        for k in sorted(by_key):
-            if upto + by_key[k] / 2 > extra:
-                break
-            upto += by_key[k]
-            cut = k
-        for i, d in enumerate(docs):
-            if d[3] == source:
-                out[i] = whole + (key[i] <= cut and total > 0)
+        rows = [i for i, d in enumerate(docs) if d[3] == source]
+        upto = 0
+        for i in sorted(rows, key=lambda i: key[i]):
+            again = size[i] > 0 and upto + size[i] / 2 <= extra
+            out[i] = whole + again
+            if size[i] and not again:
+                extra = -1  # the draw ends here
+            upto += size[i]
     return size, totals, goals, out
 
 
@@ -120,9 +114,21 @@ def test_water_level(spark, sizes):
     assert abs(sum(got.values()) - sum(sizes)) <= 1e-9 * max(1, sum(sizes))
 
 
+def test_hot_ids_are_drawn_row_by_row(spark):
+    rng = random.Random(3)
+    docs = [(7, "same words here " * 3, "aa", "s1", 0)] * 400 + [(8, f"text {i} of one id", "aa", "s1", 0) for i in range(300)]
+    docs += [(None, "no id at all", "aa", "s1", 0)] * 200 + [(i + 100, "w " * rng.randrange(1, 30), "aa", "s2", 0) for i in range(900)]
+    size, totals, goals, often = plain_mix(docs)
+    got = mixing.mix(mixing.measured(spark.createDataFrame(docs, SCHEMA).repartition(6))).collect()
+    found = Counter((r.doc_id, r.text, r.repetitions) for r in got)
+    assert found == Counter((d[0], d[1], k) for d, k in zip(docs, often, strict=True))
+    for s in totals:
+        assert abs(sum(r.taken for r in got if r.source == s) - goals[s]) <= max(n for n, d in zip(size, docs, strict=True) if d[3] == s)
+
+
 def test_columns_that_clash_give_way(spark):
     docs = spark.createDataFrame([(1, "a b", "aa", "s1", 3), (2, "c", "aa", None, 1)], SCHEMA)
-    taken = ("mix_cut", "mix_source", "mix_size", "mix_key", "target", "weight", "whole", "taken", "source_size", "repetitions")
+    taken = ("mix_cut", "mix_wanted", "mix_row", "again", "mix_source", "mix_size", "mix_key", "target", "weight", "whole", "taken", "source_size", "repetitions")
     clashing = docs.select("*", *[F.lit("x").alias(c) for c in taken])
     got = mixing.mix(mixing.measured(clashing)).select("doc_id", "mix_size", "source_size", "target", "taken").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(mixing.measured(docs)).select("doc_id", "mix_size", "source_size", "target", "taken").collect()))
