@@ -34,8 +34,10 @@ TASKS = {
     "schema": "validate_schema",
     "row_count": "validate_row_count",
     "volume_history": "validate_row_count",
+    "volume_median": "validate_row_count",
     "null_rate": "validate_null_rate",
     "zero_rate": "validate_null_rate",
+    "null_spike": "validate_null_rate",
     "duplicates": "validate_duplicates",
     "foreign_key": "validate_joins",
     "freshness": "validate_freshness",
@@ -82,9 +84,9 @@ def fault_class() -> Column:
     return F.expr(
         """CASE
         WHEN check_name = 'schema' THEN 'schema_drift'
-        WHEN check_name IN ('row_count', 'volume_history') AND metric > upper THEN 'volume_anomaly_spike'
-        WHEN check_name IN ('row_count', 'volume_history') AND metric < lower THEN 'volume_anomaly_drop'
-        WHEN check_name IN ('null_rate', 'zero_rate') THEN 'null_spike'
+        WHEN check_name IN ('row_count', 'volume_history', 'volume_median') AND metric > upper THEN 'volume_anomaly_spike'
+        WHEN check_name IN ('row_count', 'volume_history', 'volume_median') AND metric < lower THEN 'volume_anomaly_drop'
+        WHEN check_name IN ('null_rate', 'zero_rate', 'null_spike') THEN 'null_spike'
         WHEN check_name = 'duplicates' THEN 'duplicate_ingestion'
         WHEN check_name = 'foreign_key' THEN 'referential_break'
         WHEN check_name IN ('freshness', 'landing_sla', 'static_source', 'stray_rows') THEN 'staleness'
@@ -105,10 +107,10 @@ def anomaly_type() -> Column:
     """What went wrong in one word, from a check row."""
     return F.expr(
         """CASE
-        WHEN check_name IN ('row_count', 'volume_history') AND metric > upper THEN 'spike'
-        WHEN check_name IN ('row_count', 'volume_history') AND metric < lower THEN 'drop'
+        WHEN check_name IN ('row_count', 'volume_history', 'volume_median') AND metric > upper THEN 'spike'
+        WHEN check_name IN ('row_count', 'volume_history', 'volume_median') AND metric < lower THEN 'drop'
         WHEN check_name = 'schema' THEN 'drift'
-        WHEN check_name = 'null_rate' THEN 'nulls'
+        WHEN check_name IN ('null_rate', 'null_spike') THEN 'nulls'
         WHEN check_name = 'zero_rate' THEN 'zeros'
         WHEN check_name = 'duplicates' THEN 'repeats'
         WHEN check_name = 'foreign_key' THEN 'orphans'

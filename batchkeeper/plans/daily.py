@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from batchkeeper.contract import Contract, DatasetContract
 from batchkeeper.functions.casting import CAST_ERROR, MALFORMED, cast_failure_share, cast_to_contract, well_formed
-from batchkeeper.operators import baselines, checks, incidents, joins, keys, offenders, predicates, remediation
+from batchkeeper.operators import baselines, checks, incidents, joins, keys, offenders, predicates, remediation, watch
 from batchkeeper.session import configure, literal_table, materialize
 from batchkeeper.sources import files, tables
 from batchkeeper.sources.storage import exists
@@ -167,6 +167,39 @@ def declared_rules(contract: DatasetContract, present: set[str], ts: str | None)
     return rules
 
 
+def against_past(
+    spark: SparkSession,
+    contract: Contract,
+    layout: Layout,
+    found: DataFrame,
+    limits: watch.Watch,
+    ds: str,
+    as_of: str,
+    names: Sequence[str],
+) -> DataFrame:
+    """The day's facts against the days before it in the check log."""
+    facts = [n for n in names if contract[n].is_fact]
+    columns = ["dataset", "batch_date", "check_name", "column_name", "metric", "passed", "as_of"]
+    today = found.filter(F.col("dataset").isin(facts)).withColumn("as_of", F.lit(as_of).cast("timestamp")).select(*columns)
+    log, day = layout.table("executions"), F.lit(ds).cast("date")
+    if exists(spark, log):
+        since = F.lit(str(date.fromisoformat(ds) - timedelta(days=limits.days))).cast("date")
+        past = spark.read.parquet(log).filter(
+            F.col("dataset").isin(facts) & (F.col("run_date") >= since) & (F.col("run_date") < day)
+            & (F.col("batch_date") >= since) & (F.col("batch_date") < day)
+            # what failed is no example of a usual day, but a late row is the newest all the same
+            & (F.col("passed") | (F.col("check_name") == "freshness"))
+        )
+        # the same day may have been run more than once: its latest run counts
+        key = ["dataset", "batch_date", "check_name", "column_name"]
+        last = past.groupBy(*key).agg(F.max_by(F.struct("metric", "passed", "ended_at"), "ended_at").alias("last"))
+        today = today.unionByName(last.select(*key, "last.metric", "last.passed", F.col("last.ended_at").alias("as_of")))
+    arrivals = None
+    if limits.landing_hours is not None and facts:
+        arrivals = reduce(lambda a, b: a.unionByName(b), [files.landings(spark, contract[n], layout.landing, ds, ds) for n in facts])
+    return watch.watched(today, limits, arrivals).filter(F.col("batch_date") == day)
+
+
 def missing_batch(spark: SparkSession, contract: DatasetContract, ds: str) -> DataFrame:
     """The check rows of a batch that never landed."""
     bounds = contract.row_bounds
@@ -274,11 +307,12 @@ def run_day(
     dag_id: str = "daily_batches",
     only: Iterable[str] | None = None,
     independent: DataFrame | None = None,
+    limits: watch.Watch | None = None,
 ) -> DayResult:
     """Run one day end to end: check, repair the staged batch where that is approved, check again, load once.
 
     ``independent`` is a second opinion on checks of the day, as ``incidents.contradict`` takes it: a failure that it
-    denies is not repaired but escalated.
+    denies is not repaired but escalated. ``limits`` adds the checks of ``operators.watch`` against the logged days.
 
     Running it again leaves the same tables. Of the registry and the logs it replaces the day's rows of the
     datasets it ran; findings that are gone are closed, and what a human has decided stays decided.
@@ -290,6 +324,9 @@ def run_day(
     log, registry, audit = (layout.table(t) for t in ("executions", "incidents", "incident_audit_trail"))
 
     typed, found = validate_day(spark, contract, layout, ds, as_of, names)
+    if limits:
+        found = materialize(found, "found")
+        found = found.unionByName(against_past(spark, contract, layout, found, limits, ds, as_of, names))
     tables.write_executions(found, log, f"validate-{ds}", ds, as_of, as_of, names)
     found = spark.read.parquet(log).filter(
         (F.col("run_date") == F.lit(ds).cast("date")) & F.col("dataset").isin(names)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from batchkeeper.contract import policy_frame
-from batchkeeper.operators import baselines, checks, faults, incidents, monitoring, remediation
+from batchkeeper.operators import baselines, checks, faults, incidents, monitoring, remediation, watch
 from batchkeeper.plans import inputs
 from batchkeeper.plans.inputs import FAULTY_SQL, tidy
 from batchkeeper.plans.registry import query
@@ -149,6 +149,41 @@ def static_source(spark, sf):
     return tidy(baselines.static_source(batches))
 
 
+@query(
+    "daily_checks",
+    """WITH f AS (SELECT CAST(ts AS DATE) AS d, event_id, CASE WHEN CAST(ts AS DATE) = DATE '2024-01-20' THEN ts - INTERVAL 2 DAY ELSE ts END AS ts,
+  CASE WHEN CAST(ts AS DATE) = DATE '2024-01-15' AND event_id % 3 = 0 THEN NULL ELSE event_id END AS k FROM events),
+b AS (SELECT d, count(*) AS n, (count(*) - count(k)) * 1.0e0 / count(*) AS r, max(ts) AS m FROM f
+  WHERE d <> DATE '2024-01-12' OR event_id % 5 = 0 GROUP BY d),
+w AS (SELECT *, avg(r) OVER t AS u, quantile_cont(n, 0.5) OVER t AS q, max(m) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+  FROM b WINDOW t AS (ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
+SELECT d AS batch_date, 'null_spike' AS check_name, round(r, 6) AS metric, round(greatest(0.005e0, 3e0 * u), 6) AS upper,
+  coalesce(NOT (r > 0.005e0 AND r > 3e0 * u), TRUE) AS passed FROM w
+UNION ALL SELECT d, 'volume_median', CAST(n AS DOUBLE), round(CAST(q AS DOUBLE) * 1.3e0, 6), coalesce(abs(CAST(n AS DOUBLE) / q - 1) <= 0.3e0, TRUE) FROM w
+UNION ALL SELECT d, 'static_source', round(date_diff('microsecond', p, m) / 3.6e9, 6), NULL, coalesce(m > p, TRUE) FROM w
+UNION ALL SELECT d, 'landing_sla', round(date_diff('microsecond', CAST(d AS TIMESTAMP), max(m) + INTERVAL 125 MINUTE) / 3.6e9, 6), 26e0,
+  date_diff('microsecond', CAST(d AS TIMESTAMP), max(m) + INTERVAL 125 MINUTE) / 3.6e9 <= 26 FROM w GROUP BY d""",
+)
+def daily_checks(spark, sf):
+    """Events of a day cut short, one with blanked ids and one sent with old times, each day against the days before it."""
+
+    def on(day):
+        return F.col("batch_date") == F.lit(day).cast("date")
+
+    events = inputs.events(spark, sf).withColumn("key", F.col("event_id"))
+    events = faults.blank(events, "key", on("2024-01-15") & (F.col("event_id") % 3 == 0))
+    events = events.filter(~on("2024-01-12") | (F.col("event_id") % 5 == 0))
+    events = faults.make_stale(events, "ts", on("2024-01-20"), 2)
+    profile = materialize(checks.batch_profile(events, "events", "batch_date", [], ["key"], ts="ts"), "profile")
+    as_of = "2025-01-01 00:00:00"
+    counted = profile.withColumns({"lower": F.lit(0.0), "upper": F.lit(None).cast("double")})
+    rows = checks.rows_of(counted, checks.null_rate_row("key", 1.0), checks.row_count_row(), checks.freshness_row("ts", as_of, 1e6))
+    log = rows.withColumn("as_of", F.lit(as_of).cast("timestamp"))
+    landed = profile.select("dataset", "batch_date", (F.col("max_ts").cast("timestamp") + F.expr("interval 125 minutes")).alias("landed_at"))
+    judged = watch.watched(log, watch.Watch(7, 3.0, 0.005, 0.3, 26), landed)
+    return tidy(judged.select("batch_date", "check_name", "metric", "upper", "passed"))
+
+
 @query(
     "daily_volume",
     """WITH c AS (

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchkeeper.operators import faults
+from batchkeeper.operators.watch import Watch, watched
 from batchkeeper.operators.remediation import audit_transitions
 from batchkeeper.plans.daily import Layout, apply_decisions, run_day
 from batchkeeper.session import literal_table
@@ -316,3 +317,32 @@ def test_malformed_lines_halt_and_are_set_aside_once_approved(spark, fresh, tmp_
     assert loaded.count() == 58 and "_malformed" not in loaded.columns
     aside = spark.read.parquet(f"{layout.table('approved')}/split/orders/{ds}").filter("route = 'rejected'")
     assert {r["_malformed"] for r in aside.collect()} == {cut, long}
+
+
+def test_declared_checks_against_the_past_run_each_day(spark, fresh):
+    judged = {}
+    for ds in ("2026-06-01", "2026-06-02"):
+        result = run_day(spark, CONTRACT, fresh, ds, only=ORDERS, limits=Watch(landing_hours=1e9))
+        assert result.halted == [] and result.incidents.count() == 0
+        for r in result.checks.filter("dataset = 'orders'").collect():
+            judged.setdefault(r["check_name"], []).append((str(r["batch_date"]), r["evidence"]))
+    for name in ("volume_median", "static_source", "landing_sla"):
+        assert [d for d, _ in sorted(judged[name])] == ["2026-06-01", "2026-06-02"]
+    assert "median=60" in sorted(judged["volume_median"])[1][1]
+    assert "before=2026-06-01" in sorted(judged["static_source"])[1][1]
+    never = run_day(spark, CONTRACT, fresh, "2026-06-03", only=ORDERS, limits=Watch(landing_hours=1e9))
+    assert never.halted == ["orders"] and categories(never) == {"volume_anomaly_drop", "staleness"}
+
+
+def test_watch_tells_each_fault_apart(spark):
+    days = [f"2026-06-{d:02d}" for d in range(1, 7)]
+    rates, counts, lags = [0.01, 0.01, 0.02, 0.09, 0.01, None], [100, 100, 104, 100, 20, 100], [100.0, 76.0, 52.0, 28.0, 30.0, 4.0]
+    log = [("o", d, "null_rate", "c", r) for d, r in zip(days, rates)] + [("o", d, "row_count", None, float(n)) for d, n in zip(days, counts)]
+    log += [("o", d, "freshness", "t", h) for d, h in zip(days, lags)] + [("p", days[3], "null_rate", "c", 0.9)]
+    frame = literal_table(spark, [(*x, "2026-06-08 00:00:00") for x in log], "dataset string, batch_date date, check_name string, column_name string, metric double, as_of timestamp")
+    arrivals = literal_table(spark, [("o", days[0], "2026-06-01 05:00:00"), ("o", days[1], None)], "dataset string, batch_date date, landed_at timestamp")
+    got = watched(frame, Watch(landing_hours=5.0), arrivals)
+    bad = {(r["dataset"], r["check_name"], str(r["batch_date"])) for r in got.filter("NOT passed").collect()}
+    assert bad == {("o", "null_spike", days[3]), ("o", "volume_median", days[4]), ("o", "static_source", days[4]), ("o", "landing_sla", days[1])}
+    assert got.count() == 6 + 6 + 6 + 2
+    assert watched(frame.limit(0), Watch()).count() == 0
