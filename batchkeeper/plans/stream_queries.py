@@ -17,6 +17,7 @@ from batchkeeper.plans.inputs import AS_OF, tidy
 from batchkeeper.plans.registry import query
 from batchkeeper.plans.table_queries import DAY_TOTALS_SQL
 from batchkeeper.session import new_scratch
+from batchkeeper.sources.tables import read_fact
 from batchkeeper.streaming import events as stream
 
 TYPES = {"event_id": "bigint", "user_id": "bigint", "event_type": "string", "value": "double", "ts": "timestamp"}
@@ -92,7 +93,8 @@ def stream_load(spark, sf):
         arriving = stream.stream_events(spark, folder, TYPES, max_files=1).drop(CAST_ERROR)
         sink = stream.load_sink(path, "ts", ["event_id"], "batch_date", ["user_id"], stream=name)
         stream.run_available(arriving, new_scratch(spark, "checkpoint"), sink=sink)
-    return spark.read.parquet(path).groupBy("batch_date").agg(
+    stored = ", ".join(f"{c} {kind}" for c, kind in {**TYPES, "batch_date": "date", "batch": "string"}.items())
+    return read_fact(spark, path, "batch_date", schema=stored).groupBy("batch_date").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("event_id").alias("n_keys"),
         F.sum(money(F.col("value"))).cast("double").alias("total_value"),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchkeeper.session import literal_table, materialize
 from batchkeeper.sources.storage import drop_directory, exists, matching
@@ -83,9 +84,14 @@ def _replace_days(
             drop_directory(spark, f"{path.rstrip('/')}/{day}={empty}")
 
 
-def read_fact(spark: SparkSession, path: str, day: str, days: Sequence[str] | None = None) -> DataFrame:
-    """A fact table, pruned to the given day directories when there are any."""
-    df = spark.read.parquet(path)
+def read_fact(
+    spark: SparkSession, path: str, day: str, days: Sequence[str] | None = None, schema: T.StructType | str | None = None
+) -> DataFrame:
+    """A fact table, pruned to the given day directories when there are any.
+
+    A load without rows leaves a folder without a file, which names no columns: with a ``schema`` it reads as empty.
+    """
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if days is None:
         return df
     return df.filter(F.col(day).isin([F.lit(str(d)).cast("date") for d in days]))

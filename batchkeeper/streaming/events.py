@@ -166,7 +166,8 @@ def load_sink(
         own = f"{stream}-{batch_id}"
         if table_exists(spark, path):
             touched = [str(r[0]) for r in whole.select(F.to_date(ts)).distinct().collect()]  # one row per day
-            present = read_fact(spark, path, day, touched).filter(F.col("batch") != own)
+            stored = T.StructType([*dated.select(*key, day).schema, T.StructField("batch", T.StringType())])
+            present = read_fact(spark, path, day, touched, stored).filter(F.col("batch") != own)
             dated = dated.join(present.select(*key, day), [*key, day], "left_anti")
         rows = dated.withColumn("batch", F.lit(own)).hint("rebalance", day).sortWithinPartitions(day, *cluster_by)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 import time
@@ -6,6 +7,7 @@ import pytest
 from frames import rows
 
 from batchkeeper.functions.casting import CAST_ERROR
+from batchkeeper.plans.catalog import QUERIES
 from batchkeeper.streaming import events as stream
 
 TYPES = {"event_id": "string", "event_ts": "timestamp"}
@@ -61,6 +63,36 @@ def test_load_merges_and_replays(spark, paths):
     assert rows(spark.read.parquet(paths("fct")).selectExpr("event_id", "cast(day as string)")) == got
 
 
+def test_load_goes_on_after_batches_without_rows(spark, paths):
+    batches = [[], [("n", None)], [("1", "2024-01-01 10:00:00"), ("1", "2024-01-01 10:00:00")], [], [("1", "2024-01-01 10:00:00"), ("2", "2024-01-02 11:00:00")]]
+    for name, batch in zip("abcde", batches, strict=True):
+        land(paths, name, *batch)
+        sink = stream.load_sink(paths("fct"), "event_ts", ["event_id"])
+        stream.run_available(arriving(spark, paths).drop(CAST_ERROR), paths("cp"), sink=sink)
+    got = rows(spark.read.parquet(paths("fct")).selectExpr("event_id", "cast(day as string)", "batch"))
+    assert got == [("1", "2024-01-01", "s-2"), ("2", "2024-01-02", "s-4")]
+
+
+@pytest.mark.parametrize("n", [0, 2000])
+def test_load_query_over_files_without_rows(spark, tmp_path, n):
+    """An empty table, and one row group read in many pieces: most of them, the first too, land as empty files."""
+    made = spark.range(n).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 3 AS INT)) AS ts", "id % 7 AS user_id",
+        "if(id % 5 = 0, 'error', 'view') AS event_type", "CAST(id AS DOUBLE) AS value", "'{}' AS props",
+    )
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    pieces = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    for name, value in pieces.items():
+        spark.conf.set(name, value)
+    try:
+        got = rows(QUERIES["stream_load"](spark, str(tmp_path)))
+    finally:
+        for name in pieces:
+            spark.conf.unset(name)
+    days = [range(k, n, 3) for k in range(3) if n]
+    assert got == [(datetime.date(2024, 1, 1 + k), len(d), len(d), float(sum(d))) for k, d in enumerate(days)]
+
+
 def test_late_and_incomplete_rows_are_set_aside(spark, paths):
     def run():
         sink = stream.aside_sink(paths("aside"), paths("marks"), "event_ts", ["event_id"])
